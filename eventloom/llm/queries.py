@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP3_SQL, op3_chat
+from .licences import op10_licences
+from .shards import op9_shards
+from .topk import OP4_SQL, op4_topk
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_chat": op3_chat,
+    "op4_topk": op4_topk,
+    "op9_shards": op9_shards,
+    "op10_licences": op10_licences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op4_topk": OP4_SQL}
