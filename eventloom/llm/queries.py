@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP3_SQL, op3_chat
 from .licences import op10_licences
+from .pages import op7_pages
 from .shards import op9_shards
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op1_toxicity
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_chat": op3_chat,
     "op4_topk": op4_topk,
+    "op7_pages": op7_pages,
     "op9_shards": op9_shards,
     "op10_licences": op10_licences,
 }
