@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op2_bpe
 from .chat import OP3_SQL, op3_chat
 from .licences import op10_licences
 from .pages import op7_pages
@@ -15,6 +16,7 @@ from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_topk": op4_topk,
     "op7_pages": op7_pages,
