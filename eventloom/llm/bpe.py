@@ -1,13 +1,17 @@
 """Byte-level BPE: distinct words are merged by Spark's higher-order functions over a literal rank map.
 
-1. Each block of documents (about ``block_bytes`` of text, dealt by a hash) yields its distinct words.
-2. The distinct words of all blocks are encoded once. A word is an array of hex pieces, one a byte; a fold over its
-   length merges the adjacent pair of the lowest rank, leftmost first, until no pair has a rank. The ranks are a literal:
-   an array of small maps, chosen by the checksum of the piece, so a lookup does not scan 50,000 entries.
-3. Each block gets the ids of its own words and strings them together; decoding concatenates the pieces' bytes.
+One narrow pass, without a shuffle, in three steps that each task streams through:
+
+1. The task splits its documents and sends on every word when it first meets it, and each document as the numbers of
+   its words. Tasks cover about ``task_bytes`` of text (scan splits are put together, not dealt anew), because a word is
+   encoded once a task.
+2. A word becomes an array of hex pieces, one a byte; a fold over its length merges the adjacent pair of the lowest
+   rank, leftmost first, until no pair has a rank. The ranks are a literal: an array of small maps, chosen by the
+   checksum of the piece, so a lookup does not scan 50,000 entries.
+3. The ids of the words are strung together for each document; decoding concatenates the pieces' bytes.
 
 The fold does work quadratic in a word's length, so words over ``LONG`` bytes are merged where they stand, with a heap.
-A block bounds what a task holds; a single document is never cut.
+A task forgets its words after ``KNOWN`` of them, so its memory does not follow the size of its share.
 
 Defined cases: null texts are empty; empty texts have no ids; lone surrogates cannot occur; repeated rows stay.
 """
@@ -15,7 +19,6 @@ Defined cases: null texts are empty; empty texts have no ids; lone surrogates ca
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 import zlib
@@ -27,11 +30,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import table
 
 SLOTS = 8192
 LONG = 96
-BLOCK_BYTES = 8_000_000
+TASK_BYTES = 96_000_000
+KNOWN = 3_000_000
+DONE = ""  # the piece that ends a word without a pair left to merge
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,12 +45,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a foldable array of maps from hex pieces to ranks."""
+    """The rank map as a foldable array of maps from hex pieces to rank * 2**20."""
     slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
     for piece, rank in ranks.items():
         key = piece.hex()
-        slots[zlib.crc32(key.encode()) % SLOTS][key] = rank
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+        slots[zlib.crc32(key.encode()) % SLOTS][key] = rank << 20
+    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,bigint>>")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def rank_of(literal: Column, piece: Column) -> Column:
@@ -53,34 +63,34 @@ def rank_of(literal: Column, piece: Column) -> Column:
 
 
 def encode_word(word: Column, literal: Column) -> Column:
-    """ids of a binary word as array<int>."""
-    digits = F.hex(word)
-    whole = F.lower(digits)
+    """ids of a binary word as array<int>. The plan holds the literal once."""
+    return let(literal, lambda ranks: let(F.lower(F.hex(word)), lambda digits: _fold(word, digits, ranks)))
+
+
+def _fold(word: Column, digits: Column, ranks: Column) -> Column:
     size = F.length(word)
-    pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(whole, 2 * i - 1, F.lit(2)))
+    single = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(digits, 2 * i - 1, F.lit(2)))
+    last = F.lit(-1)
 
     def merge(acc: Column, _: Column) -> Column:
         # rank * 2**20 + place of each pair that has a rank; the least is the lowest rank, leftmost.
-        places = F.transform(
-            F.slice(acc, 1, F.size(acc) - 1),
-            lambda p, i: rank_of(literal, F.concat(p, F.get(acc, i + 1))).cast("long") * (1 << 20) + i,
-        )
-        least = F.array_min(places)
-        at = (least % (1 << 20)).cast("int")
+        places = F.transform(F.slice(acc, 1, F.size(acc) - 1), lambda p, i: rank_of(ranks, F.concat(p, F.get(acc, i + 1))) + i)
+
+        def joined(least: Column) -> Column:
+            def at(k: Column) -> Column:
+                pair = F.array(F.concat(F.get(acc, k), F.get(acc, k + 1)))
+                return F.concat(F.slice(acc, 1, k), pair, F.slice(acc, k + 3, F.size(acc)))
+
+            return F.when(least.isNull(), F.concat(acc, F.array(F.lit(DONE)))).otherwise(let((least % (1 << 20)).cast("int"), at))
 
-        def joined(k: Column) -> Column:
-            return F.concat(F.slice(acc, 1, k), F.array(F.concat(F.get(acc, k), F.get(acc, k + 1))), F.slice(acc, k + 3, F.size(acc)))
+        return F.when((F.size(acc) < 2) | (F.try_element_at(acc, last) == DONE), acc).otherwise(let(F.array_min(places), joined))
 
-        return F.when(F.size(acc) < 2, acc).when(least.isNull(), acc).otherwise(joined(at))
+    def known(rank: Column) -> Column:
+        folded = F.filter(F.aggregate(F.sequence(F.lit(2), size), single, merge), lambda p: p != DONE)
+        return F.when(rank.isNotNull(), F.array(rank)).otherwise(F.transform(folded, lambda p: rank_of(ranks, p)))
 
-    known = rank_of(literal, whole)
-    folded = F.aggregate(F.sequence(F.lit(2), size), pieces, merge)
-    return (
-        F.when(size == 0, F.array().cast("array<int>"))
-        .when(known.isNotNull(), F.array(known))
-        .when(size == 1, F.array(known))
-        .otherwise(F.transform(folded, lambda p: rank_of(literal, p)))
-    )
+    found = F.when(size == 0, F.array().cast("array<bigint>")).otherwise(let(rank_of(ranks, digits), known))
+    return F.transform(found, lambda r: F.shiftright(r, 20).cast("int"))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -110,54 +120,62 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row a document: key, n_tokens, ids (little-endian unsigned 32-bit, joined), decoded (the bytes of the ids)."""
     ranks = load_ranks(path)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(row_key("key", "text")), F.lit(blocks)).cast("int"))
-
-    def distinct(batches):
-        split, seen = regex.compile(pattern), set()
-        for b in batches:
-            fresh: dict[tuple[int, str], None] = {}
-            for block, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fresh.update(dict.fromkeys((block, w) for w in set(split.findall(t))))
-            if len(seen) > 2_000_000:  # forgetting only lets a pair through again
-                seen.clear()
-            new = [p for p in fresh if p not in seen and (len(p[1]) <= LONG // 4 or len(p[1].encode()) <= LONG)]
-            seen.update(new)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int32()), pa.array([p[1] for p in new], pa.string())], names=["block", "word"])
-
-    pairs = dealt.select("block", "text").mapInArrow(distinct, "block int, word string").distinct()
-    words = pairs.select("word").distinct()
-    encoded = words.select("word", encode_word(F.col("word").cast("binary"), rank_literal(ranks)).alias("ids"))
-    known = pairs.join(encoded, "word").select("block", "word", "ids")
-
-    def assemble(texts: pa.Table, table_: pa.Table) -> pa.Table:
-        split = regex.compile(pattern)
+    least = docs.sparkSession.sparkContext.defaultParallelism
+
+    def numbered(batches):
+        split, numbers, out = regex.compile(pattern), {}, []
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(numbers) > KNOWN:
+                    numbers = {}
+                    out.append((None, "", None))
+                words = split.findall(t)
+                for w in dict.fromkeys(words):
+                    if w not in numbers:
+                        numbers[w] = len(numbers)
+                        out.append((None, w, None))
+                out.append((k, None, array("I", [numbers[w] for w in words]).tobytes()))
+                if len(out) > 8192:
+                    yield sent(out)
+                    out = []
+        if out:
+            yield sent(out)
+
+    def sent(out):
+        keys, words, places = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string()), pa.array(places, pa.binary())], names=["key", "word", "places"])
+
+    def strung(batches):
         pieces = {r: p for p, r in ranks.items()}
-        ids_of: dict[str, tuple[int, bytes, bytes]] = {}
-
-        def put(word: str, ids: list[int]) -> tuple[int, bytes, bytes]:
-            packed = array("I", ids)
-            out = ids_of[word] = (len(ids), packed.tobytes(), b"".join([pieces[i] for i in ids]))
-            return out
-
-        flat = table_.column("ids").to_pylist()
-        for w, ids in zip(table_.column("word").to_pylist(), flat, strict=True):
-            put(w, ids)
-        keys, counts, coded, decoded = texts.column("key"), [], [], []
-        for t in texts.column("text").to_pylist():
-            found = [ids_of.get(w) or put(w, merge_long(w.encode(), ranks)) for w in split.findall(t)]
-            counts.append(sum(x[0] for x in found))
-            coded.append(b"".join([x[1] for x in found]))
-            decoded.append(b"".join([x[2] for x in found]))
-        return pa.table({"key": keys, "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(coded, pa.binary()), "decoded": pa.array(decoded, pa.binary())})
-
-    left = dealt.select("block", "key", "text").groupBy("block")
-    return left.cogroup(known.groupBy("block")).applyInArrow(lambda a, b: assemble(a, b), "key long, n_tokens long, ids binary, decoded binary").withColumnRenamed("key", key)
+        counts: list[int] = []
+        packed: list[bytes] = []
+        spelt: list[bytes] = []
+        for batch in batches:
+            out = []
+            for k, word, places, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if word == "":
+                    counts, packed, spelt = [], [], []
+                elif word is not None:
+                    ids = merge_long(word.encode(), ranks) if ids is None else ids
+                    counts.append(len(ids))
+                    packed.append(array("I", ids).tobytes())
+                    spelt.append(b"".join([pieces[i] for i in ids]))
+                else:
+                    at = array("I", places)
+                    out.append((k, sum([counts[i] for i in at]), b"".join([packed[i] for i in at]), b"".join([spelt[i] for i in at])))
+            if out:
+                keys, n, coded, decoded = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(coded, pa.binary()), pa.array(decoded, pa.binary())], names=["key", "n_tokens", "ids", "decoded"])
+
+    words = rows.coalesce(max(least, -(-total // task_bytes))).mapInArrow(numbered, "key long, word string, places binary")
+    short = F.length(F.col("word").cast("binary")).between(1, LONG)
+    coded = words.select("key", "word", "places", F.when(short, encode_word(F.col("word").cast("binary"), rank_literal(ranks))).alias("ids"))
+    return coded.mapInArrow(strung, "key long, n_tokens long, ids binary, decoded binary").withColumnRenamed("key", key)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
