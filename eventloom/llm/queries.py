@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
 from .chat import OP3_SQL, op3_chat
+from .copies import OP6_SQL, op6_copies
 from .licences import op10_licences
 from .pages import op7_pages
 from .shards import op9_shards
@@ -19,9 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_topk": op4_topk,
+    "op6_copies": op6_copies,
     "op7_pages": op7_pages,
     "op9_shards": op9_shards,
     "op10_licences": op10_licences,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op4_topk": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op6_copies": OP6_SQL}
