@@ -11,6 +11,7 @@ from .chat import OP3_SQL, op3_chat
 from .copies import OP6_SQL, op6_copies
 from .licences import op10_licences
 from .pages import op7_pages
+from .privacy import op5_private
 from .shards import op9_shards
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op1_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_topk": op4_topk,
+    "op5_private": op5_private,
     "op6_copies": op6_copies,
     "op7_pages": op7_pages,
     "op9_shards": op9_shards,
