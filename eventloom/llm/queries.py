@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe
 from .chat import OP3_SQL, op3_chat
 from .copies import OP6_SQL, op6_copies
+from .leaks import OP8_SQL, op8_leaks
 from .licences import op10_licences
 from .pages import op7_pages
 from .privacy import op5_private
@@ -24,8 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_private": op5_private,
     "op6_copies": op6_copies,
     "op7_pages": op7_pages,
+    "op8_leaks": op8_leaks,
     "op9_shards": op9_shards,
     "op10_licences": op10_licences,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op6_copies": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op6_copies": OP6_SQL, "op8_leaks": OP8_SQL}
