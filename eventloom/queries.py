@@ -27,8 +27,8 @@ from eventloom.sources import registry as R
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 WITH = f"with corpus as ({corpus_sql('duckdb')}) "
-col = F.col
-TODAY = F.lit(AS_OF).cast("date")
+col = F.col  # columns are made when a query is built: this module is imported before there is a session
+TODAY = lambda: F.lit(AS_OF).cast("date")
 
 
 def on_corpus(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
@@ -37,9 +37,9 @@ def on_corpus(name: str, build: Callable[[DataFrame], DataFrame], sql: str | Non
         SQL[name] = WITH + sql
 
 
-def by_id(name: str, columns: dict, sql: str | None) -> None:
+def by_id(name: str, columns: Callable[[], dict], sql: str | None) -> None:
     """event_id with columns of the corpus."""
-    on_corpus(name, lambda c: c.select("event_id", *[v.alias(k) for k, v in columns.items()]), f"select event_id, {sql} from corpus" if sql else None)
+    on_corpus(name, lambda c: c.select("event_id", *[v.alias(k) for k, v in columns().items()]), f"select event_id, {sql} from corpus" if sql else None)
 
 
 # SQL texts of word-list matches.
@@ -98,77 +98,77 @@ QUERIES["url_domain"] = lambda s, d: s.read.parquet(f"{d}/pages.parquet").select
 SQL["url_domain"] = f"select page_id, {DOMAIN} as domain from pages"
 QUERIES["url_clean"] = lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", U.clean_url(col("url")).alias("url"))
 SQL["url_clean"] = f"select page_id, {CLEAN} as url from pages"
-REDIRECT = F.concat(F.lit("https://www.meetup.com/register/?x=1&returnUri="), T.percent(F.concat(F.lit("https://meetup.com/g/events/"), col("event_id").cast("string"), F.lit("/?recId=a&z=2"))), F.lit("#f"))
-by_id("url_clean_redirect", {"url": U.clean_url(REDIRECT)}, "'https://www.meetup.com/g/events/' || event_id || '/?recId=a' as url")
+REDIRECT = lambda: F.concat(F.lit("https://www.meetup.com/register/?x=1&returnUri="), T.percent(F.concat(F.lit("https://meetup.com/g/events/"), col("event_id").cast("string"), F.lit("/?recId=a&z=2"))), F.lit("#f"))
+by_id("url_clean_redirect", lambda: {"url": U.clean_url(REDIRECT())}, "'https://www.meetup.com/g/events/' || event_id || '/?recId=a' as url")
 QUERIES["url_absolute"] = lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", U.resolved(col("url"), F.lit("/about#x")).alias("url"))
 SQL["url_absolute"] = "select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || '/about#x' as url from pages"
-by_id("url_percent", {"form": T.percent(col("title")), "path": T.percent(col("url"), True)}, "url_encode(title) as form, replace(url_encode(url), '%2F', '/') as path")
-by_id("platform", {"platform": U.platform(col("url"))}, f"case when contains({HOST}, 'meetup.com') then 'Meetup' when contains({HOST}, 'lu.ma') then 'Luma' when contains({HOST}, 'eventbrite.') then 'Eventbrite' else 'Other' end as platform")
-by_id("platform_page", {"platform": U.platform_of_page(col("url"), col("text"))}, first_of("url || ' ' || text", (("meetup.com", "Meetup"), ("lu.ma", "Luma"), ("eventbrite", "Eventbrite"), ("owasp.org", "OWASP"), ("bsides", "BSides")), "''") + " as platform")
+by_id("url_percent", lambda: {"form": T.percent(col("title")), "path": T.percent(col("url"), True)}, "url_encode(title) as form, replace(url_encode(url), '%2F', '/') as path")
+by_id("platform", lambda: {"platform": U.platform(col("url"))}, f"case when contains({HOST}, 'meetup.com') then 'Meetup' when contains({HOST}, 'lu.ma') then 'Luma' when contains({HOST}, 'eventbrite.') then 'Eventbrite' else 'Other' end as platform")
+by_id("platform_page", lambda: {"platform": U.platform_of_page(col("url"), col("text"))}, first_of("url || ' ' || text", (("meetup.com", "Meetup"), ("lu.ma", "Luma"), ("eventbrite", "Eventbrite"), ("owasp.org", "OWASP"), ("bsides", "BSides")), "''") + " as platform")
 REAL = rf"case when contains({HOST}, 'meetup.com') then regexp_matches(lower({PATH}), '/events/\d+') when contains({HOST}, 'lu.ma') then rtrim(lower({PATH}), '/') not in ('', '/discover', '/search', '/signin', '/login', '/create', '/calendar') when contains({HOST}, 'eventbrite.') then regexp_matches(lower({PATH}), '/e/[^/]+') else true end"
-by_id("real_event_url", {"real": U.is_real_event_url(col("url"))}, f"{REAL} as real")
+by_id("real_event_url", lambda: {"real": U.is_real_event_url(col("url"))}, f"{REAL} as real")
 LISTED = r"/events/?$|/event/$|/search|/discover/?$|/calendar/?$|/categories/?$|/archive/?$|/directory/?$|/chapters/?$|/find/?$|/groups/?$|/topics/?$|/messages/?$|/members/?$|/about/?$"
 INVALID = rf"((contains({HOST}, 'meetup.com') and not regexp_matches(lower({PATH}), '/events/\d+')) or lower(title) in ({', '.join(map(q, L.INVALID_TITLES))}) or regexp_matches(lower({CLEAN}), {q(LISTED)}))"
-by_id("invalid_link", {"invalid": U.is_invalid_link(col("title"), col("url"))}, f"{INVALID} as invalid")
-by_id("valid_url", {"valid": U.is_web(col("url")), "other": U.is_web(col("path"))}, "regexp_matches(url, '(?i)^https?://') as valid, regexp_matches(path, '(?i)^https?://') as other")
-by_id("trust_score", {"score": U.trust(U.domain(col("url")), L.LEX_TRUST, empty=0)}, trust_sql(DOMAIN, L.LEX_TRUST, 0) + " as score")
-by_id("trust_score_url", {"score": U.trust_of_url(col("url"))}, trust_sql(DOMAIN, L.RSS_TRUST, 5) + " as score")
+by_id("invalid_link", lambda: {"invalid": U.is_invalid_link(col("title"), col("url"))}, f"{INVALID} as invalid")
+by_id("valid_url", lambda: {"valid": U.is_web(col("url")), "other": U.is_web(col("path"))}, "regexp_matches(url, '(?i)^https?://') as valid, regexp_matches(path, '(?i)^https?://') as other")
+by_id("trust_score", lambda: {"score": U.trust(U.domain(col("url")), L.LEX_TRUST, empty=0)}, trust_sql(DOMAIN, L.LEX_TRUST, 0) + " as score")
+by_id("trust_score_url", lambda: {"score": U.trust_of_url(col("url"))}, trust_sql(DOMAIN, L.RSS_TRUST, 5) + " as score")
 
 # Word lists.
 BOTH = "title || ' ' || snippet"
-by_id("topic_filter", {"link": C.is_topical_link(col("title"), col("url")), "strong": C.is_strong_topic(col("title"), col("snippet"))}, f"{any_of('title || url', L.COLLECT_TOPICS)} and {any_of(chr(39).join(['title || ', ' ', ' || url']), L.COLLECT_TYPES)} as link, {any_of(BOTH, L.STRONG_TOPICS)} as strong".replace("title || url", "title || ' ' || url"))
-by_id("event_filter", {"page": C.is_event(col("title"), col("snippet"), col("text")), "feed": C.feed_event(col("title"), col("snippet"))}, rf"{any_of(BOTH, L.EVENT_WORDS)} or regexp_matches(text, '(?i)\b(register|registration|rsvp|tickets|event date|starts?)\b') as page, {any_of(BOTH, L.RSS_EVENT_WORDS)} as feed")
-by_id("possible_event", {"possible": C.is_possible_event(col("title"), col("snippet"))}, f"{any_of(BOTH, L.LEX_TOPICS)} and {any_of(BOTH, L.RSS_EVENT_WORDS)} as possible")
-by_id("keyword_matches", {"terms": F.array_join(L.found(col("text"), L.BROAD_TOPICS), ",")}, "array_to_string(list_filter([" + ", ".join(q(t) for t in sorted(L.BROAD_TOPICS)) + "], lambda t: contains(lower(text), t)), ',') as terms")
-by_id("keyword_flags", {"topic": L.contains_any(col("title"), L.LEX_TOPICS), "online": L.contains_any(col("text"), L.LEX_ONLINE), "registration": L.contains_any(col("text"), L.LEX_REGISTRATION)}, f"{any_of('title', L.LEX_TOPICS)} as topic, {any_of('text', L.LEX_ONLINE)} as online, {any_of('text', L.LEX_REGISTRATION)} as registration")
-by_id("registration_signal", {"registers": C.registers(F.lit(""), col("text"))}, r"regexp_matches(text, '(?i)\b(register|registration|rsvp|tickets|sign up|reserve|join event)\b') as registers")
-by_id("india_signal", {"india": C.has_india_signal(col("title")), "relevant": C.india_relevance(col("title"), col("snippet"), col("url"))}, f"{word('title', ['india', *L.COLLECT_CITIES, *L.COLLECT_STATES])} as india, {word('title || chr(32) || snippet || chr(32) || url', ['india', *L.COLLECT_CITIES, *L.COLLECT_STATES])} as relevant")
-by_id("foreign_signal", {"foreign_signal": C.has_foreign_signal(col("title"))}, f"{word('title', [*L.FOREIGN_COUNTRIES, *L.FOREIGN_CITIES])} as foreign_signal")
+by_id("topic_filter", lambda: {"link": C.is_topical_link(col("title"), col("url")), "strong": C.is_strong_topic(col("title"), col("snippet"))}, f"{any_of('title || url', L.COLLECT_TOPICS)} and {any_of(chr(39).join(['title || ', ' ', ' || url']), L.COLLECT_TYPES)} as link, {any_of(BOTH, L.STRONG_TOPICS)} as strong".replace("title || url", "title || ' ' || url"))
+by_id("event_filter", lambda: {"page": C.is_event(col("title"), col("snippet"), col("text")), "feed": C.feed_event(col("title"), col("snippet"))}, rf"{any_of(BOTH, L.EVENT_WORDS)} or regexp_matches(text, '(?i)\b(register|registration|rsvp|tickets|event date|starts?)\b') as page, {any_of(BOTH, L.RSS_EVENT_WORDS)} as feed")
+by_id("possible_event", lambda: {"possible": C.is_possible_event(col("title"), col("snippet"))}, f"{any_of(BOTH, L.LEX_TOPICS)} and {any_of(BOTH, L.RSS_EVENT_WORDS)} as possible")
+by_id("keyword_matches", lambda: {"terms": F.array_join(L.found(col("text"), L.BROAD_TOPICS), ",")}, "array_to_string(list_filter([" + ", ".join(q(t) for t in sorted(L.BROAD_TOPICS)) + "], lambda t: contains(lower(text), t)), ',') as terms")
+by_id("keyword_flags", lambda: {"topic": L.contains_any(col("title"), L.LEX_TOPICS), "online": L.contains_any(col("text"), L.LEX_ONLINE), "registration": L.contains_any(col("text"), L.LEX_REGISTRATION)}, f"{any_of('title', L.LEX_TOPICS)} as topic, {any_of('text', L.LEX_ONLINE)} as online, {any_of('text', L.LEX_REGISTRATION)} as registration")
+by_id("registration_signal", lambda: {"registers": C.registers(F.lit(""), col("text"))}, r"regexp_matches(text, '(?i)\b(register|registration|rsvp|tickets|sign up|reserve|join event)\b') as registers")
+by_id("india_signal", lambda: {"india": C.has_india_signal(col("title")), "relevant": C.india_relevance(col("title"), col("snippet"), col("url"))}, f"{word('title', ['india', *L.COLLECT_CITIES, *L.COLLECT_STATES])} as india, {word('title || chr(32) || snippet || chr(32) || url', ['india', *L.COLLECT_CITIES, *L.COLLECT_STATES])} as relevant")
+by_id("foreign_signal", lambda: {"foreign_signal": C.has_foreign_signal(col("title"))}, f"{word('title', [*L.FOREIGN_COUNTRIES, *L.FOREIGN_CITIES])} as foreign_signal")
 FOREIGN = "case " + " ".join(f"when regexp_matches(lower({{e}}), {q('(^|[^a-z])' + c.replace('.', chr(92) + '.') + '([^a-z]|$)')}) then {q(c)}" for c in L.longest_first(L.OTHER_COUNTRIES)) + " else '' end"
-by_id("foreign_longest", {"country": C.foreign_place(col("title"))}, FOREIGN.replace("{e}", "title") + " as country")
-by_id("supported_location", {"supported": C.is_supported_place(col("title"))}, any_of("title", [*L.LEX_CITIES, *L.LEX_ALIASES, *L.LEX_STATES, *L.LEX_ONLINE, "india"]) + " as supported")
+by_id("foreign_longest", lambda: {"country": C.foreign_place(col("title"))}, FOREIGN.replace("{e}", "title") + " as country")
+by_id("supported_location", lambda: {"supported": C.is_supported_place(col("title"))}, any_of("title", [*L.LEX_CITIES, *L.LEX_ALIASES, *L.LEX_STATES, *L.LEX_ONLINE, "india"]) + " as supported")
 RENAMED = {"Bangalore": "Bengaluru", "Mysore": "Mysuru"}
 COLLECT = "case " + " ".join(f"when {word('title', [t])} then {q(v)}" for t, v in [(c, RENAMED.get(c, c)) for c in L.COLLECT_CITIES] + [(s, s) for s in L.COLLECT_STATES] + [("india", "India"), ("online", "Online"), ("virtual", "Online")]) + " else 'Unknown' end"
-by_id("city_collect", {"city": C.city_collect(col("title"))}, COLLECT + " as city")
+by_id("city_collect", lambda: {"city": C.city_collect(col("title"))}, COLLECT + " as city")
 RSS_CITY = [*L.RSS_ALIASES.items(), *((c, c) for c in L.PLACES), *((w, "Online") for w in L.LEX_ONLINE), ("india", "India")]
-by_id("city_rss", {"city": C.city_rss(F.concat_ws(" ", "title", "snippet"))}, first_of(BOTH, RSS_CITY, "'Unknown'") + " as city")
+by_id("city_rss", lambda: {"city": C.city_rss(F.concat_ws(" ", "title", "snippet"))}, first_of(BOTH, RSS_CITY, "'Unknown'") + " as city")
 OWN = {c.lower(): c for c in L.LEX_CITIES}
 LEX_CITY = [(a, L.LEX_ALIASES[a]) for a in L.longest_first(L.LEX_ALIASES)] + [(c, L.LEX_ALIASES.get(c, OWN[c])) for c in L.longest_first(OWN)]
-by_id("city_lex", {"city": C.city_lex(col("title"))}, first_of("title", LEX_CITY, "''") + " as city")
+by_id("city_lex", lambda: {"city": C.city_lex(col("title"))}, first_of("title", LEX_CITY, "''") + " as city")
 STATES = {s.lower(): s for s in L.LEX_STATES}
 STATE_OF = {**L.CITY_STATES}
 LEX_STATE = [(s, STATES[s]) for s in L.longest_first(STATES)] + [(t, STATE_OF.get(v, "")) for t, v in LEX_CITY]
-by_id("state_lex", {"state": C.state_lex(col("title"))}, first_of("title", LEX_STATE, "''") + " as state")
-by_id("city_normalize", {"city": C.normalize_city(col("city")), "state": C.state_of_city(col("city"))}, "case lower(city) " + " ".join(f"when {q(a)} then {q(v)}" for a, v in L.LEX_ALIASES.items()) + " else city end as city, case (case lower(city) " + " ".join(f"when {q(a)} then {q(v)}" for a, v in L.LEX_ALIASES.items()) + " else city end) " + " ".join(f"when {q(a)} then {q(v)}" for a, v in L.CITY_STATES.items()) + " else '' end as state")
-by_id("event_mode", {"mode_name": C.mode_of(col("text"), F.lit(""))}, f"case when {any_of('text', L.HYBRID_WORDS)} then 'Hybrid' when {any_of('text', L.ONLINE_WORDS)} then 'Online' else 'Offline' end as mode_name")
-by_id("event_type_page", {"kind": C.type_of_page(F.lit("event"), col("title"))}, first_of("title", [(w, w.title()) for w in L.PAGE_TYPES], "'Event'") + " as kind")
-by_id("event_type_lex", {"kind": C.type_lex(col("title"))}, first_of("title", [(w, w) for w in L.longest_first(L.LEX_TYPES)], "''") + " as kind")
+by_id("state_lex", lambda: {"state": C.state_lex(col("title"))}, first_of("title", LEX_STATE, "''") + " as state")
+by_id("city_normalize", lambda: {"city": C.normalize_city(col("city")), "state": C.state_of_city(col("city"))}, "case lower(city) " + " ".join(f"when {q(a)} then {q(v)}" for a, v in L.LEX_ALIASES.items()) + " else city end as city, case (case lower(city) " + " ".join(f"when {q(a)} then {q(v)}" for a, v in L.LEX_ALIASES.items()) + " else city end) " + " ".join(f"when {q(a)} then {q(v)}" for a, v in L.CITY_STATES.items()) + " else '' end as state")
+by_id("event_mode", lambda: {"mode_name": C.mode_of(col("text"), F.lit(""))}, f"case when {any_of('text', L.HYBRID_WORDS)} then 'Hybrid' when {any_of('text', L.ONLINE_WORDS)} then 'Online' else 'Offline' end as mode_name")
+by_id("event_type_page", lambda: {"kind": C.type_of_page(F.lit("event"), col("title"))}, first_of("title", [(w, w.title()) for w in L.PAGE_TYPES], "'Event'") + " as kind")
+by_id("event_type_lex", lambda: {"kind": C.type_lex(col("title"))}, first_of("title", [(w, w) for w in L.longest_first(L.LEX_TYPES)], "''") + " as kind")
 PRICE_SQL = r"coalesce(nullif(regexp_extract(text, '(?i)(?:₹|INR|Rs\.?|USD|\$|EUR|€|GBP|£)\s*[\d,]+(?:\.\d{1,2})?'), ''), nullif(regexp_extract(text, '(?i)[\d,]+(?:\.\d{1,2})?\s*(?:INR|USD|EUR|GBP)'), ''), case when regexp_matches(text, '(?i)\bfree(?: registration| event)?\b') then 'Free' end, 'Not specified')"
-by_id("price_page", {"cost": C.price_of_page(F.lit(""), F.lit(""), col("text"))}, PRICE_SQL + " as cost")
-by_id("price_lex", {"cost": C.price_lex(col("text"))}, f"case when {any_of('text', L.LEX_FREE)} then 'Free' when {any_of('text', L.LEX_PAID)} then 'Paid / Check event page' else '' end as cost")
-by_id("organizer", {"organizer": C.organizer_of(F.lit(""), col("text"))}, r"trim(regexp_extract(text, '(?i)hosted by\s+([^|.\n]{2,100})', 1)) as organizer")
-by_id("event_time", {"start_time": D.clock(F.lit(""), col("text"))}, r"coalesce(nullif(regexp_extract(text, '(?i)\b\d{1,2}:\d{2}\s*(?:AM|PM)\b'), ''), nullif(regexp_extract(text, '(?i)\b\d{1,2}\s*(?:AM|PM)\b'), ''), regexp_extract(text, '\b(?:[01]?\d|2[0-3]):[0-5]\d\b')) as start_time")
+by_id("price_page", lambda: {"cost": C.price_of_page(F.lit(""), F.lit(""), col("text"))}, PRICE_SQL + " as cost")
+by_id("price_lex", lambda: {"cost": C.price_lex(col("text"))}, f"case when {any_of('text', L.LEX_FREE)} then 'Free' when {any_of('text', L.LEX_PAID)} then 'Paid / Check event page' else '' end as cost")
+by_id("organizer", lambda: {"organizer": C.organizer_of(F.lit(""), col("text"))}, r"trim(regexp_extract(text, '(?i)hosted by\s+([^|.\n]{2,100})', 1)) as organizer")
+by_id("event_time", lambda: {"start_time": D.clock(F.lit(""), col("text"))}, r"coalesce(nullif(regexp_extract(text, '(?i)\b\d{1,2}:\d{2}\s*(?:AM|PM)\b'), ''), nullif(regexp_extract(text, '(?i)\b\d{1,2}\s*(?:AM|PM)\b'), ''), regexp_extract(text, '\b(?:[01]?\d|2[0-3]):[0-5]\d\b')) as start_time")
 PLACE_SQL = r"trim(regexp_extract(text, '(?i)(?:location|venue|where)\s*[:\-]\s*[^|.\n]{3,160}'))"
-by_id("location_text", {"place": C.place_in_text(col("text")), "place_city": C.city_of_place(C.place_in_text(col("text")))}, f"{PLACE_SQL} as place, {first_of(PLACE_SQL, [(c, c.title()) for c in L.longest_first(L.INDIA_CITIES)], chr(39) * 2)} as place_city")
+by_id("location_text", lambda: {"place": C.place_in_text(col("text")), "place_city": C.city_of_place(C.place_in_text(col("text")))}, f"{PLACE_SQL} as place, {first_of(PLACE_SQL, [(c, c.title()) for c in L.longest_first(L.INDIA_CITIES)], chr(39) * 2)} as place_city")
 
 # Dates.
-by_id("date_parse", {"parsed": D.date_text(col("d_text"))}, date_sql("d_text") + " as parsed")
-by_id("dates_all", {"dates": F.array_join(D.all_dates(col("d_text")), ",")}, "array_to_string(list_distinct_ordered, ',') as dates")
+by_id("date_parse", lambda: {"parsed": D.date_text(col("d_text"))}, date_sql("d_text") + " as parsed")
+by_id("dates_all", lambda: {"dates": F.array_join(D.all_dates(col("d_text")), ",")}, "array_to_string(list_distinct_ordered, ',') as dates")
 ALL_SQL = rf"""list_transform(list_concat(regexp_extract_all(d_text, '(?i)\b{MONTHS}\s+\d{{1,2}},\s*\d{{4}}\b'), regexp_extract_all(d_text, '(?i)\b\d{{1,2}}\s+{MONTHS}\s+\d{{4}}\b'), regexp_extract_all(d_text, '\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b'), regexp_extract_all(d_text, '\b\d{{4}}-\d{{2}}-\d{{2}}\b')), lambda v: {date_sql('v')})"""
 SQL["dates_all"] = WITH + f", l as (select event_id, list_filter({ALL_SQL}, lambda x: x <> '') as ds from corpus) select event_id, array_to_string(list_filter(ds, lambda x, i: list_position(ds, x) = i), ',') as dates from l"
-by_id("date_primary", {"primary_date": D.primary_date(col("d_text"))}, None)
+by_id("date_primary", lambda: {"primary_date": D.primary_date(col("d_text"))}, None)
 SQL["date_primary"] = WITH + f", l as (select event_id, d_text, list_filter({ALL_SQL}, lambda x: x <> '') as ds from corpus) select event_id, coalesce(nullif({date_sql('regexp_extract(d_text, ' + q(rf'(?i)(?:event\s+date|date|starts?|starts?\s+on)\s*[:\-]?\s*({MONTHS}\s+\d{{1,2}},\s*\d{{4}})') + ', 1)')}, ''), nullif({date_sql('regexp_extract(d_text, ' + q(rf'(?i)(?:event\s+date|date|starts?|starts?\s+on)\s*[:\-]?\s*(\d{{1,2}}\s+{MONTHS}\s+\d{{4}})') + ', 1)')}, ''), ds[1], '') as primary_date from l"
-by_id("date_pipeline", {"parsed": D.parse_whole(col("d_text")), "whole": D.parse_whole(col("d_long"))}, r"coalesce(case when regexp_matches(d_text, '^\d{1,2} [A-Za-z]+ \d{4}$') then cast(try_strptime(d_text, '%d %B %Y') as date) end, case when regexp_matches(d_text, '^[A-Za-z]+ \d{1,2}, \d{4}$') then cast(try_strptime(d_text, '%B %d, %Y') as date) end, case when regexp_matches(d_text, '^\d{1,2}/\d{1,2}/\d{4}$') then cast(try_strptime(d_text, '%d/%m/%Y') as date) end, case when regexp_matches(d_text, '^\d{4}-\d{1,2}-\d{1,2}$') then cast(try_strptime(d_text, '%Y-%m-%d') as date) end) as parsed, d as whole")
-by_id("end_date_sanity", {"end_date": D.sane_end(col("d_long"), D.date_text(col("d_end")))}, "case when cast(d_end as date) - d between 0 and 31 then strftime(cast(d_end as date), '%d %B %Y') else '' end as end_date")
-by_id("detected_dates", {"dates": F.array_join(D.detected_dates(col("d_long"), D.date_text(col("d_end")), F.array().cast("array<string>")), ",")}, "case when d_long = strftime(cast(d_end as date), '%d %B %Y') then d_long else d_long || ',' || strftime(cast(d_end as date), '%d %B %Y') end as dates")
-by_id("today_filter", {"today": D.covers(F.array("d_long", D.date_text(col("d_end"))), TODAY)}, f"date '{AS_OF}' = d or date '{AS_OF}' = cast(d_end as date) or date '{AS_OF}' between least(d, cast(d_end as date)) and greatest(d, cast(d_end as date)) as today")
-by_id("future_filter", {"upcoming": D.is_upcoming(col("d_text"), TODAY), "same_day": F.coalesce(D.parse_date(col("d_text")) == TODAY, F.lit(False))}, f"coalesce({parsed_sql('d_text')} >= date '{AS_OF}', false) as upcoming, coalesce({parsed_sql('d_text')} = date '{AS_OF}', false) as same_day")
-by_id("date_range", {"shown": D.date_range(col("d_long"), D.date_text(col("d_end")))}, "case when d_long = strftime(cast(d_end as date), '%d %B %Y') then d_long else d_long || ' – ' || strftime(cast(d_end as date), '%d %B %Y') end as shown")
+by_id("date_pipeline", lambda: {"parsed": D.parse_whole(col("d_text")), "whole": D.parse_whole(col("d_long"))}, r"coalesce(case when regexp_matches(d_text, '^\d{1,2} [A-Za-z]+ \d{4}$') then cast(try_strptime(d_text, '%d %B %Y') as date) end, case when regexp_matches(d_text, '^[A-Za-z]+ \d{1,2}, \d{4}$') then cast(try_strptime(d_text, '%B %d, %Y') as date) end, case when regexp_matches(d_text, '^\d{1,2}/\d{1,2}/\d{4}$') then cast(try_strptime(d_text, '%d/%m/%Y') as date) end, case when regexp_matches(d_text, '^\d{4}-\d{1,2}-\d{1,2}$') then cast(try_strptime(d_text, '%Y-%m-%d') as date) end) as parsed, d as whole")
+by_id("end_date_sanity", lambda: {"end_date": D.sane_end(col("d_long"), D.date_text(col("d_end")))}, "case when cast(d_end as date) - d between 0 and 31 then strftime(cast(d_end as date), '%d %B %Y') else '' end as end_date")
+by_id("detected_dates", lambda: {"dates": F.array_join(D.detected_dates(col("d_long"), D.date_text(col("d_end")), F.array().cast("array<string>")), ",")}, "case when d_long = strftime(cast(d_end as date), '%d %B %Y') then d_long else d_long || ',' || strftime(cast(d_end as date), '%d %B %Y') end as dates")
+by_id("today_filter", lambda: {"today": D.covers(F.array("d_long", D.date_text(col("d_end"))), TODAY())}, f"date '{AS_OF}' = d or date '{AS_OF}' = cast(d_end as date) or date '{AS_OF}' between least(d, cast(d_end as date)) and greatest(d, cast(d_end as date)) as today")
+by_id("future_filter", lambda: {"upcoming": D.is_upcoming(col("d_text"), TODAY()), "same_day": F.coalesce(D.parse_date(col("d_text")) == TODAY, F.lit(False))}, f"coalesce({parsed_sql('d_text')} >= date '{AS_OF}', false) as upcoming, coalesce({parsed_sql('d_text')} = date '{AS_OF}', false) as same_day")
+by_id("date_range", lambda: {"shown": D.date_range(col("d_long"), D.date_text(col("d_end")))}, "case when d_long = strftime(cast(d_end as date), '%d %B %Y') then d_long else d_long || ' – ' || strftime(cast(d_end as date), '%d %B %Y') end as shown")
 
 # Scores and selection.
 CONFIDENCE = f"cast(least(100, 35 + {trust_sql(DOMAIN, L.RSS_TRUST, 5)} + case when location <> 'Unknown' then 5 else 0 end + case when location = 'Online' then 5 else 0 end + case when length(title) >= 25 then 5 else 0 end + case when length(snippet) >= 100 then 5 else 0 end + least(2 * {count_of(BOTH, S.USEFUL)}, 10)) as int)"
 LOCATED = f"l as (select *, {first_of(BOTH, RSS_CITY, chr(39) + 'Unknown' + chr(39))} as location from corpus)"
-by_id("confidence", {"confidence": S.confidence(col("title"), col("snippet"), C.city_rss(F.concat_ws(" ", "title", "snippet")), col("url"))}, None)
+by_id("confidence", lambda: {"confidence": S.confidence(col("title"), col("snippet"), C.city_rss(F.concat_ws(" ", "title", "snippet")), col("url"))}, None)
 SQL["confidence"] = WITH + f", {LOCATED} select event_id, {CONFIDENCE} as confidence from l"
 on_corpus("dedupe_first", lambda c: O.first_per_key(c.select("event_id", U.clean_url(col("url")).alias("url")), F.regexp_replace("url", "/+$", ""), "event_id"), f"select min(event_id) as event_id, arg_min({CLEAN}, event_id) as url from corpus group by regexp_replace({CLEAN}, '/+$', '')")
 on_corpus("dedupe_max", lambda c: O.best_per_key(c.select("event_id", "url", (col("event_id") % 37).alias("points")), U.normalize_url(col("url")), "points", "event_id"), f"select arg_max(event_id, (event_id % 37, -event_id)) as event_id, arg_max(url, (event_id % 37, -event_id)) as url, max(event_id % 37) as points, min(event_id) as place from corpus group by {BARE}")
@@ -184,12 +184,12 @@ on_corpus("link_gate", lambda c: c.where(~U.is_invalid_link(col("title"), col("u
 
 
 # Text, HTML and JSON.
-by_id("text_functions", {"normal": T.normal(F.concat(F.lit("  A\t "), col("title"))), "meaningful": T.meaningful(col("snippet")), "short": T.shorten(col("title"), 20), "escaped": T.escape_html(F.concat(F.lit("<a>&\"'"), col("title")))}, r"lower('a ' || title) as normal, case when snippet in ('n/a') then '' else snippet end as meaningful, case when length(title) <= 20 then title else rtrim(left(title, 17)) || '...' end as short, '&lt;a&gt;&amp;&quot;&#x27;' || title as escaped")
+by_id("text_functions", lambda: {"normal": T.normal(F.concat(F.lit("  A\t "), col("title"))), "meaningful": T.meaningful(col("snippet")), "short": T.shorten(col("title"), 20), "escaped": T.escape_html(F.concat(F.lit("<a>&\"'"), col("title")))}, r"lower('a ' || title) as normal, case when snippet in ('n/a') then '' else snippet end as meaningful, case when length(title) <= 20 then title else rtrim(left(title, 17)) || '...' end as short, '&lt;a&gt;&amp;&quot;&#x27;' || title as escaped")
 on_corpus("plain_text", lambda c: c.select("event_id", T.plain(F.concat(F.lit("<b>R&amp;D</b>  "), col("title"))).alias("plain")), "select event_id, 'R&D ' || title as plain from corpus")
 JSON_KIND = "json_extract_string(jsonld, '$.\"@type\"')"
 J = lambda p: f"json_extract_string(jsonld, '{p}')"
-by_id("jsonld_event", {"is_event": H.is_event_object(col("jsonld")), "name": H.at(col("jsonld"), "$.name")}, f"suffix(lower({JSON_KIND}), 'event') as is_event, {J('$.name')} as name")
-by_id("structured_dates", {"start_date": D.date_text(H.at(col("jsonld"), "$.startDate")), "end_date": D.date_text(H.at(col("jsonld"), "$.endDate"))}, "d_long as start_date, strftime(cast(d_end as date), '%d %B %Y') as end_date")
+by_id("jsonld_event", lambda: {"is_event": H.is_event_object(col("jsonld")), "name": H.at(col("jsonld"), "$.name")}, f"suffix(lower({JSON_KIND}), 'event') as is_event, {J('$.name')} as name")
+by_id("structured_dates", lambda: {"start_date": D.date_text(H.at(col("jsonld"), "$.startDate")), "end_date": D.date_text(H.at(col("jsonld"), "$.endDate"))}, "d_long as start_date, strftime(cast(d_end as date), '%d %B %Y') as end_date")
 on_corpus("structured_location", lambda c: c.withColumn("p", H.structured_place(col("jsonld"))).select("event_id", col("p.text").alias("place"), col("p.venue").alias("venue"), col("p.city").alias("place_city"), col("p.country").alias("country")), f"select event_id, {J('$.location.name')} || ', ' || city || ', India' as place, {J('$.location.name')} as venue, city as place_city, 'India' as country from corpus")
 
 
@@ -227,12 +227,12 @@ SQL["empty_event"] = "select " + ", ".join(f"'' as {c}" for c in R.EVENT_FIELDS)
 # Messages.
 CITY, PLACE_ = "city", "'Hall ' || (event_id % 9) || ', Road, ' || city"
 WHERE = lambda mode: (mode, F.concat(F.lit("Hall "), (col("event_id") % 9).cast("string")), F.concat(F.lit("Hall "), (col("event_id") % 9).cast("string"), F.lit(", Road, "), col("city")), col("city"), F.lit(""), F.lit("India"))
-MODE = F.when(col("event_id") % 3 == 0, "In Person").when(col("event_id") % 3 == 1, "hybrid").otherwise("virtual")
-by_id("format_location", {"place": M.place_text(*WHERE(MODE)), "shown_mode": M.mode_name(MODE)}, f"case event_id % 3 when 0 then 'Hall ' || (event_id % 9) || ', ' || city || ', India' when 1 then {PLACE_} else 'Online / Virtual' end as place, case event_id % 3 when 0 then 'Offline' when 1 then 'Hybrid' else 'Online' end as shown_mode")
-by_id("maps_link", {"link": M.maps_link(*WHERE(MODE))}, f"case when event_id % 3 = 0 then 'https://www.google.com/maps/search/?api=1&query=' || url_encode('Hall ' || (event_id % 9) || ', ' || {PLACE_} || ', ' || city || ', India') else '' end as link")
-by_id("origin_label", {"label": M.origin_label(MODE, F.lit("India"))}, "case event_id % 3 when 0 then '🇮🇳 <b>India physical event</b>' when 1 then '🇮🇳 <b>India hybrid event</b>' else '🌐 <b>Online event — India</b>' end as label")
+MODE = lambda: F.when(col("event_id") % 3 == 0, "In Person").when(col("event_id") % 3 == 1, "hybrid").otherwise("virtual")
+by_id("format_location", lambda: {"place": M.place_text(*WHERE(MODE())), "shown_mode": M.mode_name(MODE())}, f"case event_id % 3 when 0 then 'Hall ' || (event_id % 9) || ', ' || city || ', India' when 1 then {PLACE_} else 'Online / Virtual' end as place, case event_id % 3 when 0 then 'Offline' when 1 then 'Hybrid' else 'Online' end as shown_mode")
+by_id("maps_link", lambda: {"link": M.maps_link(*WHERE(MODE()))}, f"case when event_id % 3 = 0 then 'https://www.google.com/maps/search/?api=1&query=' || url_encode('Hall ' || (event_id % 9) || ', ' || {PLACE_} || ', ' || city || ', India') else '' end as link")
+by_id("origin_label", lambda: {"label": M.origin_label(MODE(), F.lit("India"))}, "case event_id % 3 when 0 then '🇮🇳 <b>India physical event</b>' when 1 then '🇮🇳 <b>India hybrid event</b>' else '🌐 <b>Online event — India</b>' end as label")
 LINES = "'🔐 <b>CYBERSECURITY EVENT</b>', repeat('━', 20), '', '📌 <b>' || title || '</b>', '', '📅 <b>Date:</b> ' || d_long, '🕐 <b>Time:</b> ' || clock, '📍 <b>Location:</b> Online / Virtual', '🌐 <b>Mode:</b> Online', '🏛️ <b>Organizer:</b> Not specified', '🎯 <b>Type:</b> ' || format, '💰 <b>Price:</b> ' || price, '', '📝 <b>Description:</b>', 'No description available.', '', '🎟️ <b>Registration:</b> Not found', '🔗 <b><a href=\"' || url || '\">Event Page</a></b>', '', '🔎 <b>Verification:</b> ' || (event_id % 101) || '/100', '🌐 <b>Source:</b> ' || host, '', '🌍 <b>International online event</b>'"
-by_id("message", {"message": M.message({"title": col("title"), "event_date": col("d_long"), "event_time": col("clock"), "event_mode": F.lit("virtual"), "event_type": col("format"), "event_price": col("price"), "url": col("url"), "verification_score": col("event_id") % 101, "source": col("host")})}, f"array_to_string([{LINES}], chr(10)) as message")
+by_id("message", lambda: {"message": M.message({"title": col("title"), "event_date": col("d_long"), "event_time": col("clock"), "event_mode": F.lit("virtual"), "event_type": col("format"), "event_price": col("price"), "url": col("url"), "verification_score": col("event_id") % 101, "source": col("host")})}, f"array_to_string([{LINES}], chr(10)) as message")
 
 
 # Verification and the whole run, on pages that are given as text.
@@ -243,7 +243,7 @@ def verified(c: DataFrame) -> DataFrame:
         F.when((col("event_id") % 3 == 0) & H.is_event_object(col("jsonld")), col("jsonld")).alias("event"), F.lit("").alias("registration_url"),
     )
     # Gates filter on what the stages compute; a cut keeps the optimizer from writing all stages into each filter.
-    return durable(signals(rows, TODAY).select("ord", "event_id", "url", "source", "title", "description", "reachable", "score", "rejected_reason", "detected_dates", *EVENT))
+    return durable(signals(rows, TODAY()).select("ord", "event_id", "url", "source", "title", "description", "reachable", "score", "rejected_reason", "detected_dates", *EVENT))
 
 
 EVENT = "event_date event_end_date event_time event_location event_venue event_city event_state event_country event_organizer event_type event_price event_mode registration_url has_registration has_topic has_event has_location has_date is_online date_source location_source".split()
@@ -268,13 +268,13 @@ on_corpus("score", lambda c: verified(c).select("event_id", "score", "event_date
 SQL["score"] = WITH + f", {FLAGS} select event_id, score, event_date, place as event_location, event_mode from s"
 DETECTED = "case when event_date = '' and end_date = '' then ds[1:5] when end_date in ('', event_date) then [event_date] when event_date = '' then [end_date] else [event_date, end_date] end"
 GATED = f", {FLAGS}, g as (select *, list_transform({DETECTED}, lambda x: cast(try_strptime(nullif(x, ''), '%d %B %Y') as date)) as dd from s), h as (select *, case when not reachable then 'unreachable' when score < 40 then 'low score' when len(dd) = 0 then 'unknown date' when not (date '{AS_OF}' between list_min(dd) and list_max(dd)) then 'not today' else 'accepted' end as gate from g)"
-on_corpus("gate_counts", lambda c: O.gate_counts(gated(verified(c), TODAY), col("gate")), None)
+on_corpus("gate_counts", lambda c: O.gate_counts(gated(verified(c), TODAY()), col("gate")), None)
 SQL["gate_counts"] = WITH + GATED + " select gate, count(*) as n from h group by gate"
 
 
 def flagship(c: DataFrame) -> DataFrame:
     sent = c.where("event_id % 17 = 0").select("url")
-    return alerts(verified_events(verified(c), TODAY), sent).select("ord", "url", "title", "verification_score", "event_date", "event_location", "event_mode")
+    return alerts(verified_events(verified(c), TODAY()), sent).select("ord", "url", "title", "verification_score", "event_date", "event_location", "event_mode")
 
 
 on_corpus("pipeline_flagship", flagship, None)
