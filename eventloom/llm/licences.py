@@ -29,6 +29,7 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "obtaining a copy")),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2",)),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    ("gpl-3.0", "gnu general public license version 3", ("general public license version 3",)),
     ("gpl-2.0", "gnu general public license version 2", ("general public license version 2",)),
     ("lgpl", "gnu lesser general public license", ("lesser general public license",)),
     ("agpl", "gnu affero general public license", ("affero general public license",)),
