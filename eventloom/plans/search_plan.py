@@ -21,6 +21,17 @@ ONLINE = ["online cybersecurity webinar India", "virtual cybersecurity event Ind
 PAGES = [("Eventbrite", "https://www.eventbrite.com/d/india/{query}/"), ("Meetup", "https://www.meetup.com/find/?keywords={query}&source=EVENTS"), ("Luma", "https://lu.ma/discover?q={query}")]
 FEED = "https://news.google.com/rss/search?q={query}&hl=en-IN&gl=IN&ceid=IN:en"
 FIRST_QUERIES = 20
+FEED_NATIONAL = [*NATIONAL[:5], "cyber security meetup India", "cybersecurity conference India", "cybersecurity workshop India", "cybersecurity CTF India", "security meetup India", "security conference India", "cybersecurity networking India"]
+FEED_COMMUNITIES = ["OWASP India event", "Null India cybersecurity meetup", "BSides India cybersecurity", "security community India", "hacker meetup India"]
+FEED_TOPICS = ["AppSec", "Application Security", "Cloud Security", "AI Security", "SOC", "Blue Team", "Red Team", "DFIR", "digital forensics", "OSINT", "threat intelligence", "incident response", "bug bounty", "VAPT", "penetration testing", "ethical hacking", "GRC", "IAM", "network security", "malware"]
+FEED_CITIES = ["Hyderabad", "Bengaluru", "Mumbai", "Pune", "Chennai"]
+FEED_PER_CITY = ["cybersecurity event {}", "cybersecurity meetup {}", "infosec meetup {}", "OWASP {} event", "security meetup {}"]
+FEED_OTHER_CITIES = ["Gurgaon", "Gurugram", "Noida", "Kolkata", "Kochi", "Ahmedabad", "Jaipur", "Chandigarh", "Bhubaneswar", "Lucknow", "Indore", "Coimbatore", "Visakhapatnam"]
+FEED_ONLINE = ["cybersecurity webinar India", "cybersecurity virtual event India", "online cybersecurity conference India", "online cybersecurity workshop India"]
+FEED_BLOCKS = [
+    (FEED_NATIONAL, [""]), (FEED_COMMUNITIES, [""]), (["{} event India"], FEED_TOPICS), (["CTF India", "cybersecurity hackathon India"], [""]), (FEED_PER_CITY, FEED_CITIES),
+    (FEED_PER_CITY[:2], ["Delhi"]), (FEED_PER_CITY[:1], FEED_OTHER_CITIES), (FEED_ONLINE, [""]),
+]
 
 
 def _rows(spark: SparkSession, values: list[str], column: str) -> DataFrame:
@@ -51,6 +62,11 @@ def search_plan_b(spark: SparkSession) -> DataFrame:
     return _ordered([_filled(spark, 0, NATIONAL, [""]), _filled(spark, 1, PER_CITY_B, L.PLACES), _filled(spark, 2, PER_TOPIC, TOPICS_B), _filled(spark, 3, ONLINE, [""])])
 
 
+def feed_plan(spark: SparkSession) -> DataFrame:
+    """The feed queries in order, with the address that asks each."""
+    return feed_urls(_ordered([_filled(spark, k, templates, values) for k, (templates, values) in enumerate(FEED_BLOCKS)]))
+
+
 def search_urls(spark: SparkSession, first: int = FIRST_QUERIES) -> DataFrame:
     """The first queries on every search page."""
     pages = F.explode(F.array(*[F.struct(F.lit(k).alias("page"), F.lit(n).alias("name"), F.lit(t).alias("template")) for k, (n, t) in enumerate(PAGES)]))

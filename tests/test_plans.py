@@ -48,7 +48,8 @@ def test_dedupe_orders(spark):
 
 
 def test_collect_keeps_first_link_even_if_irrelevant(spark):
-    html = '<div><a href="/t/1">Nothing</a></div><div><a href="/t/1">OWASP meetup Pune</a></div><div><a href="/t/2#x">OWASP meetup Pune</a></div><a href="http://[bad">x</a>'
+    held = lambda a: f"<section><div>{a}</div></section>"
+    html = held('<a href="/t/1">Nothing</a>') + held('<a href="/t/1">OWASP meetup Pune</a>') + held('<a href="/t/2#x">OWASP meetup Pune</a>') + '<a href="http://[bad">x</a>'
     listings = spark.createDataFrame([(0, "https://a.org/list", "S", html, 200), (1, "https://b.org", "S", html, 404)], "ord int, url string, source string, html string, status int")
     assert [r.url for r in G.collect(listings).collect()] == ["https://a.org/t/2"]
 
@@ -75,7 +76,7 @@ def test_state_files(spark, tmp_path, body, want):
 
 
 def test_registry(spark):
-    assert registry.enabled(registry.sources(spark)).count() == 6 and P.search_plan_a(spark).count() == 328 and P.search_plan_b(spark).count() == 222
+    assert registry.enabled(registry.sources(spark)).count() == 6 and P.search_plan_a(spark).count() == 328 and P.search_plan_b(spark).count() == 222 and P.feed_plan(spark).count() == 83
     assert state.state_document(spark.createDataFrame([("b",), ("a",), ("a",)], "url string")).first().value == '{"sent_urls":["a","b"]}'
 
 
