@@ -5,7 +5,7 @@ One narrow pass, without a shuffle, in three steps that each task streams throug
 1. The task splits its documents and sends on every word when it first meets it, and each document as the numbers of
    its words. Tasks cover about ``task_bytes`` of text (scan splits are put together, not dealt anew), because a word is
    encoded once a task.
-2. A word becomes an array of hex pieces, one a byte; a fold over its length merges the adjacent pair of the lowest
+2. A word becomes an array of pieces, one character a byte; a fold over its length merges the adjacent pair of the lowest
    rank, leftmost first, until no pair has a rank. The ranks are a literal: an array of small maps, chosen by the
    checksum of the piece, so a lookup does not scan 50,000 entries.
 3. The ids of the words are strung together for each document; decoding concatenates the pieces' bytes.
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SLOTS = 8192
+SLOTS = 65_536
 LONG = 96
 TASK_BYTES = 96_000_000
 KNOWN = 3_000_000
+WORD, DOCUMENT, LONG_WORD, FORGET = range(4)  # kinds of row that a task sends itself
 DONE = ""  # the piece that ends a word without a pair left to merge
 
 
@@ -45,10 +46,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a foldable array of maps from hex pieces to rank * 2**20."""
+    """The rank map as a foldable array of maps from pieces, a character a byte, to rank * 2**20."""
     slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
     for piece, rank in ranks.items():
-        key = piece.hex()
+        key = piece.decode("latin-1")
         slots[zlib.crc32(key.encode()) % SLOTS][key] = rank << 20
     return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,bigint>>")
 
@@ -64,12 +65,12 @@ def rank_of(literal: Column, piece: Column) -> Column:
 
 def encode_word(word: Column, literal: Column) -> Column:
     """ids of a binary word as array<int>. The plan holds the literal once."""
-    return let(literal, lambda ranks: let(F.lower(F.hex(word)), lambda digits: _fold(word, digits, ranks)))
+    return let(literal, lambda ranks: let(F.decode(word, "ISO-8859-1"), lambda letters: _fold(letters, ranks)))
 
 
-def _fold(word: Column, digits: Column, ranks: Column) -> Column:
-    size = F.length(word)
-    single = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(digits, 2 * i - 1, F.lit(2)))
+def _fold(letters: Column, ranks: Column) -> Column:
+    size = F.length(letters)
+    single = F.split(letters, "")
     last = F.lit(-1)
 
     def merge(acc: Column, _: Column) -> Column:
@@ -89,7 +90,7 @@ def _fold(word: Column, digits: Column, ranks: Column) -> Column:
         folded = F.filter(F.aggregate(F.sequence(F.lit(2), size), single, merge), lambda p: p != DONE)
         return F.when(rank.isNotNull(), F.array(rank)).otherwise(F.transform(folded, lambda p: rank_of(ranks, p)))
 
-    found = F.when(size == 0, F.array().cast("array<bigint>")).otherwise(let(rank_of(ranks, digits), known))
+    found = F.when(size == 0, F.array().cast("array<bigint>")).otherwise(let(rank_of(ranks, letters), known))
     return F.transform(found, lambda r: F.shiftright(r, 20).cast("int"))
 
 
@@ -133,13 +134,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if len(numbers) > KNOWN:
                     numbers = {}
-                    out.append((None, "", None))
+                    out.append((FORGET, None, None, None))
                 words = split.findall(t)
                 for w in dict.fromkeys(words):
                     if w not in numbers:
                         numbers[w] = len(numbers)
-                        out.append((None, w, None))
-                out.append((k, None, array("I", [numbers[w] for w in words]).tobytes()))
+                        out.append((WORD if len(w) <= LONG // 4 or len(w.encode()) <= LONG else LONG_WORD, None, w, None))
+                out.append((DOCUMENT, k, None, array("I", [numbers[w] for w in words]).tobytes()))
                 if len(out) > 8192:
                     yield sent(out)
                     out = []
@@ -147,8 +148,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
             yield sent(out)
 
     def sent(out):
-        keys, words, places = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string()), pa.array(places, pa.binary())], names=["key", "word", "places"])
+        columns = zip(zip(*out, strict=True), (pa.int8(), pa.int64(), pa.string(), pa.binary()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["kind", "key", "word", "places"])
 
     def strung(batches):
         pieces = {r: p for p, r in ranks.items()}
@@ -157,24 +158,34 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
         spelt: list[bytes] = []
         for batch in batches:
             out = []
-            for k, word, places, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if word == "":
-                    counts, packed, spelt = [], [], []
-                elif word is not None:
-                    ids = merge_long(word.encode(), ranks) if ids is None else ids
+            kinds, keys, places, longs = (batch.column(i).to_pylist() for i in range(4))
+            coded = batch.column(4)
+            flat, ends = coded.flatten(), coded.offsets.to_pylist()
+            first, flat = ends[0], flat.to_numpy(zero_copy_only=False)
+            raw, numbers = flat.astype("<u4").tobytes(), flat.tolist()
+            for i, kind in enumerate(kinds):
+                if kind == WORD:
+                    a, b = ends[i] - first, ends[i + 1] - first
+                    counts.append(b - a)
+                    packed.append(raw[4 * a : 4 * b])
+                    spelt.append(b"".join([pieces[x] for x in numbers[a:b]]))
+                elif kind == DOCUMENT:
+                    at = array("I", places[i])
+                    out.append((keys[i], sum([counts[x] for x in at]), b"".join([packed[x] for x in at]), b"".join([spelt[x] for x in at])))
+                elif kind == LONG_WORD:
+                    ids = merge_long(longs[i].encode(), ranks)
                     counts.append(len(ids))
                     packed.append(array("I", ids).tobytes())
-                    spelt.append(b"".join([pieces[i] for i in ids]))
+                    spelt.append(b"".join([pieces[x] for x in ids]))
                 else:
-                    at = array("I", places)
-                    out.append((k, sum([counts[i] for i in at]), b"".join([packed[i] for i in at]), b"".join([spelt[i] for i in at])))
+                    counts, packed, spelt = [], [], []
             if out:
                 keys, n, coded, decoded = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(coded, pa.binary()), pa.array(decoded, pa.binary())], names=["key", "n_tokens", "ids", "decoded"])
 
-    words = rows.coalesce(max(least, -(-total // task_bytes))).mapInArrow(numbered, "key long, word string, places binary")
-    short = F.length(F.col("word").cast("binary")).between(1, LONG)
-    coded = words.select("key", "word", "places", F.when(short, encode_word(F.col("word").cast("binary"), rank_literal(ranks))).alias("ids"))
+    words = rows.coalesce(max(least, -(-total // task_bytes))).mapInArrow(numbered, "kind byte, key long, word string, places binary")
+    ids = F.when(F.col("kind") == WORD, encode_word(F.col("word").cast("binary"), rank_literal(ranks)))
+    coded = words.select("kind", "key", "places", F.when(F.col("kind") == LONG_WORD, F.col("word")).alias("long"), ids.alias("ids"))
     return coded.mapInArrow(strung, "key long, n_tokens long, ids binary, decoded binary").withColumnRenamed("key", key)
 
 
