@@ -33,7 +33,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: five-word shingles, similarity of 0.8 or more. The least doc_id
     stays; documents without words are no copies of each other, rows equal in id and text are."""
-    kept = copies.link_copies(docs, k=5, num=80, den=100).where("keep")
+    kept = copies.link_copies(docs, k=5, num=80, den=100, without_common=True).where("keep")
     return _rows_left(docs, kept, "left_semi").dropDuplicates(["doc_id", "text"])
 
 

@@ -21,6 +21,7 @@ not null, or null.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from itertools import combinations
 from math import comb
 
@@ -35,6 +36,7 @@ from .components import components
 
 LIST_COST = 4
 SPARE = 2  # parts beyond H + 1, so that a set may leave out that many parts of under two shingles
+BUCKETS = 1 << 22  # of the document counts of shingles; fixed, so what is sent to the tasks has a fixed size
 CELL = 4_000_000
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -96,10 +98,13 @@ class Scheme:
             self.bounds.append(max(last + 1, -(-last * self.den // self.num), last * 5 // 4))
         return self.bounds[c]
 
-    def entries(self, s: np.ndarray) -> np.ndarray:
+    def entries(self, s: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """Entries of a set. ``common`` flags buckets of shingles that many sets hold: leaving those out of all sets
+        lets no difference grow, so the parts of what remains do for a set that has enough of them. A set that has not
+        gives the parts of all its shingles as well, for partners of its kind."""
         n = len(s)
         out = []
-        if 0 < n <= self.light and self._spared(n):
+        if 0 < n <= self.light:
             total = s.sum(dtype=np.uint64)
             gone = [np.uint64(sum(int(x) for x in c) & (2**64 - 1)) for d in range(self._spared(n) + 1) for c in combinations(s, d)]
             out.append(mix(total - np.array(gone, np.uint64) + np.uint64(_STEP)))
@@ -107,27 +112,72 @@ class Scheme:
             c = 0
             while self.bound(c + 1) <= n:
                 c += 1
-            out.append(self._parts(s, c))
-            if n * self.den // self.num >= self.bound(c + 1):
-                out.append(self._parts(s, c + 1))
+            for k in (c, c + 1)[: 1 + (n * self.den // self.num >= self.bound(c + 1))]:
+                enough = False
+                if common is not None:
+                    found, enough = self._parts(s[~common[_bucket(s)]], k, n, 0)
+                    out.append(found)
+                if not enough:
+                    out.append(self._parts(s, k, n, 1)[0])
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
-    def _parts(self, s: np.ndarray, c: int) -> np.ndarray:
+    def _parts(self, s: np.ndarray, c: int, n: int, tag: int) -> tuple[np.ndarray, bool]:
+        """Entries of class c, and whether parts that hold something sufficed: those of two shingles or more if they
+        outnumber the differences of a set of n, else those of one; else all, and with tag 0 those of one anyway."""
         allowed = self._largest(self.bound(c + 1) - 1)
         if not allowed:
-            return np.empty(0, np.uint64)  # only equal sets reach the threshold
-        m = allowed + 1 + SPARE
-        part = ((s >> np.uint64(24)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        at, begin, size = np.unique(part[order], return_index=True, return_counts=True)
-        sums = np.add.reduceat(s[order], begin)
-        if (size >= 2).sum() > allowed:
-            at, sums = at[size >= 2], sums[size >= 2]
-        else:
-            full = np.zeros(m, np.uint64)
-            full[at] = sums
-            at, sums = np.arange(m), full
-        return mix(mix(sums) + np.uint64((c + 1) * _STEP & (2**64 - 1)) * (at.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
+            return np.empty(0, np.uint64), True  # only equal sets reach the threshold
+        need = min(allowed, n * (self.den - self.num) // self.num) + 1
+        m = allowed + 1 + SPARE + (allowed // 5 if 8 * self._largest(1000) > 1000 else 0)
+        full, size = np.zeros(m, np.uint64), np.zeros(m, np.int64)
+        if len(s):
+            part = ((s >> np.uint64(24)) % np.uint64(m)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at, begin, counts = np.unique(part[order], return_index=True, return_counts=True)
+            full[at], size[at] = np.add.reduceat(s[order], begin), counts
+        least = 2 if (size >= 2).sum() >= need else 1
+        enough = (size >= least).sum() >= need
+        at = np.flatnonzero(size >= least) if enough or not tag else np.arange(m)
+        return mix(mix(full[at]) + np.uint64((c + 1) * _STEP & (2**64 - 1)) * (at.astype(np.uint64) * np.uint64(4) + np.uint64(2 * (1 - tag) + 1))), bool(enough)
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(42)).astype(np.int64)
+
+
+def common_shingles(docs: DataFrame, k: int, text: str = "text", times: float = 4.0, least: int = 32) -> np.ndarray:
+    """A flag for each bucket of shingles: whether its sets number over ``times`` the mean of all buckets, and over
+    ``least``. Every text is counted, repeated ones once a task; tasks send compressed counts of a fixed size."""
+    chunk = BUCKETS // 256
+
+    def rows(batches):
+        counts, words, seen = np.zeros(BUCKETS, np.int32), _Words(), set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                s = shingles(t, k, words)
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                if len(s) and digest not in seen:
+                    seen.add(digest)
+                    np.add.at(counts, _bucket(s), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array([zlib.compress(counts[i * chunk : (i + 1) * chunk].tobytes(), 1) for i in range(256)], pa.binary())], names=["chunk", "counts"])
+
+    def summed(t: pa.Table) -> pa.Table:
+        total = np.zeros(chunk, np.int64)
+        for x in t.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.int32)
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "total": pa.array([int(total.sum())], pa.int64()), "counts": pa.array([zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())})
+
+    sums = durable(docs.select(text).mapInArrow(rows, "chunk int, counts binary").groupBy("chunk").applyInArrow(lambda t: summed(t), "chunk int, total long, counts binary"))
+    limit = max(least, times * (sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] / BUCKETS))
+
+    def flags(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits(np.frombuffer(zlib.decompress(x), np.int32) > limit).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["chunk", "flags"])
+
+    out = np.zeros(BUCKETS, bool)
+    for r in sums.select("chunk", "counts").mapInArrow(flags, "chunk int, flags binary").collect():
+        out[r.chunk * chunk : (r.chunk + 1) * chunk] = np.unpackbits(np.frombuffer(r.flags, np.uint8))[:chunk].astype(bool)
+    return out
 
 
 def join_cell(sets: list[np.ndarray], sides: list[int] | None, num: int, den: int) -> list[tuple[int, int]]:
@@ -169,21 +219,27 @@ def join_cell(sets: list[np.ndarray], sides: list[int] | None, num: int, den: in
     return links
 
 
-def link_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", cell: int = CELL) -> DataFrame:
-    """One row a document: doc_id, row (a hash of id and text), n_shingles, component_id, keep (True for one row of each component, rows equal in id and text sharing it)."""
+def link_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", cell: int = CELL, without_common: bool = False) -> DataFrame:
+    """One row a document: doc_id, row (a hash of id and text), n_shingles, component_id, keep (True for one row of each
+    component, rows equal in id and text sharing it).
+
+    ``without_common`` leaves shingles that many sets hold out of the entries, at the price of a pass that counts them.
+    It pays at thresholds whose parts hold few shingles (under eight), where a shared passage fills whole parts.
+    """
     scheme_of = lambda: Scheme(num, den)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(np.packbits(common_shingles(source, k))) if without_common else None
 
     def signed(columns, state={}):  # noqa: B006  one cache for a task
         if not state:
-            state.update(words=_Words(), scheme=scheme_of(), seen=set())
+            state.update(words=_Words(), scheme=scheme_of(), seen=set(), common=None if common is None else np.unpackbits(common.value).astype(bool))
         for i, row, t in zip(*columns, strict=True):
             s = shingles(t, k, state["words"])
             digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
             entries = None
             if len(s) and digest not in state["seen"]:
                 state["seen"].add(digest)
-                entries = state["scheme"].entries(s).view(np.int64).tolist()
+                entries = state["scheme"].entries(s, state["common"]).view(np.int64).tolist()
             yield i, row, len(s), digest, entries
 
     sets = durable(arrow_map(source.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), signed, "doc_id long, row long, n long, digest binary, entries array<long>", ["doc_id", "row", "n", "digest", "entries"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]))
