@@ -23,6 +23,7 @@ from .common import arrow_map, table
 # Element names.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas select textarea button nav footer aside form head title menu dialog audio video map datalist".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math".split())
+ENDLESS = frozenset("script style title textarea".split())  # without an end tag these run to the end of the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -76,6 +77,7 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
     links = articles = 0
     current: Block | None = None
     marked = False
+    unended: set[str] = set()  # elements of RAW without an end tag in the rest of the page
     at = 0
 
     def add(text: str) -> None:
@@ -108,8 +110,13 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
             continue
         if not closing:
             if name in RAW:
+                if name in ("svg", "math") and m[3].endswith("/") or name in unended:
+                    continue
                 end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                if end or name in ENDLESS:
+                    at = end.end() if end else len(html)
+                else:
+                    unended.add(name)  # only the tag is left out
                 continue
             if name in ("p", "li", "td", "tr", "dd", "dt", "option"):
                 # An open element of the same name ends where its sibling begins, unless a container stands between.

@@ -248,6 +248,13 @@ def test_pages_rules():
     assert len(pages.main_text("<article>" + "<p>word</p>" * 20_000 + "</article>")) == 6 * 20_000 - 2
 
 
+def test_pages_raw_elements_without_an_end():
+    for tag in ('<svg class="i" viewBox="0 0 9 9"/>', "<math />", "<noscript>", "<template>", "<iframe src=x>", "<svg><path d=m>"):
+        assert pages.main_text(f"<article><p>one {tag} two</p><p>three</p></article>") == "one two\n\nthree", tag
+    assert pages.main_text("<article><p>one <svg/> two <svg><text>no</text></svg>three</p></article>") == "one two three"
+    assert pages.main_text("<article><p>one<script>two<p>three") == "one" and pages.main_text("<article><p>x " + "<svg>" * 50_000 + "y</p>") == "x y"
+
+
 def test_pages_operator(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "t", 1), (2, None, None, "t", 1)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted(map(tuple, pages.extract_pages(df).collect())) == [(1, "u", "x", 1), (2, None, "", 0)] and pages.extract_pages(df.limit(0)).count() == 0
