@@ -107,7 +107,7 @@ def parse(html: str | None) -> dict:
         spans = [x.get(f"c{k}", (0, len(p.parts))) for k in (1, 2)]
         links.append({"text": " ".join(x["parts"]), "href": x["href"], "context": max((" ".join(p.parts[a:b]) for a, b in spans), key=len)})
     return {
-        "title": " ".join("".join(p.title or []).split()), "text": " ".join(p.parts)[:20_000], "description": p.meta.get("description", ""), "og_description": p.meta.get("og:description", ""),
+        "title": " ".join("".join(p.title or []).split()), "text": " ".join(p.parts), "description": p.meta.get("description", ""), "og_description": p.meta.get("og:description", ""),
         "og_title": p.meta.get("og:title", ""), "links": links, "objects": [json.dumps(o, ensure_ascii=False) for o in objects],
     }
 

@@ -11,6 +11,7 @@ from eventloom.functions import html as H
 from eventloom.functions import scoring as S
 from eventloom.functions.text import meaningful, present, text_of
 
+STORED_TEXT = 20_000
 
 def signals(rows: DataFrame, as_of: Column) -> DataFrame:
     """Add the verification columns to rows of reachable, title, text, description, og_description, event (JSON text or
@@ -55,7 +56,8 @@ def signals(rows: DataFrame, as_of: Column) -> DataFrame:
 
 
 def verify(candidates: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
-    """Candidates (url, ...) left joined to pages (url, html); a page that is missing is not reachable."""
+    """Candidates (url, ...) left joined to pages (url, html); a page that is missing is not reachable.
+    Every detector reads the whole text; the text column that is kept ends after ``STORED_TEXT`` characters."""
     from eventloom.functions.urls import is_web, resolved
 
     joined = candidates.join(pages.select("url", "html"), "url", "left").withColumn("page", H.parse_html("html"))
@@ -64,7 +66,7 @@ def verify(candidates: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
         "reachable": F.col("html").isNotNull(), "title": present(F.col("page.title"), F.col("page.og_title"), F.col("title")), "text": text_of(F.col("page.text")), "og_description": F.col("page.og_description"),
         "description": F.col("page.description"), "event": H.event_object(F.col("page.objects")), "registration_url": F.coalesce(resolved(F.col("url"), first["href"]), F.lit("")),
     }).withColumn("registration_url", F.when(is_web(F.col("registration_url")), F.col("registration_url")).otherwise(""))
-    return signals(rows.drop("page", "html"), as_of)
+    return signals(rows.drop("page", "html"), as_of).withColumn("text", F.left("text", F.lit(STORED_TEXT)))
 
 
 def gate() -> Column:

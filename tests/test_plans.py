@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import select as O
 from eventloom.operators.sink import credentials, deliver
+from eventloom.functions import html as H
 from eventloom.plans import collect as G
 from eventloom.plans import search_plan as P
 from eventloom.plans.verify import verify
@@ -61,6 +62,13 @@ def test_verify_marks_missing_pages(spark):
     assert out["https://a.org/2"].score == 0 and not out["https://a.org/2"].reachable
 
 
+def test_verify_reads_long_pages_whole(spark):
+    html = f'<title>OWASP Meetup Pune</title><p>{"filler " * 4000}</p><p>Venue: Hall 1 Pune. Starts on March 5, 2026</p><a href="/r">Register</a>'
+    assert len(H.parse(html)["text"]) > 28_000 and H.parse(html)["text"].endswith("Register")
+    out = verify(spark.createDataFrame([("https://a.org/1", "")], "url string, title string"), spark.createDataFrame([("https://a.org/1", html)], "url string, html string"), F.lit("2026-01-01").cast("date")).first()
+    assert out.score == 85 and out.detected_dates == ["05 March 2026"] and len(out.text) == 20_000
+
+
 def test_feed_items(spark):
     xml = "<rss><channel><item><title>A &amp;lt;b&amp;gt; x</title><link>https://a.org</link><description>d</description><pubDate>p</pubDate></item><item><title></title><link>x</link></item></channel></rss>"
     assert [(r.pos, r.title, r.url) for r in feeds.feed_items(spark.createDataFrame([(1, xml)], "q int, xml string")).collect()] == [(0, "A x", "https://a.org")]
