@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 The page is read as a stream of tags; block-level tags cut it into blocks of text. Elements that never hold an article
-(scripts, forms, navigation, footers, and containers whose class, id or role names such a use) are left out with all
-they hold. The first pass classifies each block by its stop-word density, length and link density as good, bad, short or
+(scripts, forms, navigation, footers) are left out with all they hold. A container whose class, id or role names such a
+use votes against its blocks; prose, or inside an article few links, outweighs a name of the layout, and no name stands
+against an element with the article in it. The first pass classifies each block by its stop-word density, length and link density as good, bad, short or
 near good; the second lets the undecided blocks take the label of their nearest decided neighbours. Where the page marks
 its article, blocks inside it are good unless they are mostly links, and blocks outside it are bad.
 
@@ -29,11 +30,12 @@ BLOCKS = frozenset(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words of class, id and role that name what is not the article.
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|comment|comments|respond|reply|replies|discussion|disqus|sidebar|side|aside|widget|related|recommended|"
-    r"menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|foot|masthead|header|topbar|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|"
-    r"pagination|pager|toolbar|login|search|complementary|contentinfo|dialog|toc|skip|legal|copyright)(?:$|[\s_-])"
+# Words of class, id and role that name what is not the article. Those of another use often hold prose of
+# their own; those of the layout seldom do, so prose in such an element speaks against its name.
+OTHER_USE = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond reply replies disqus cookie cookies consent gdpr popup modal newsletter subscribe subscription signup copyright"
+LAYOUT = (
+    "banner discussion sidebar side aside widget related recommended menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar notice notices alert overlay share sharing social pagination pager toolbar login search "
+    "complementary contentinfo dialog toc skip legal"
 )
 # Frequent words of the four languages.
 STOP_WORDS = frozenset(
@@ -43,30 +45,91 @@ STOP_WORDS = frozenset(
     el los las del y por con para una su al lo como más pero sus le ya o este sí porque""".split()
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
-NAMED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+OTHER_NAMES, LAYOUT_NAMES, ARTICLE_NAMES = (re.compile(rf"(?:^|[\s_-])(?:{w.replace(' ', '|')})(?:$|[\s_-])") for w in (OTHER_USE, LAYOUT + " header", LAYOUT))
+ABSENT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|not|with|without|has)[_-]\S*")  # no-sidebar, layout_with-toc: the page's form, not a use
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 LINK_HIGH, LENGTH_LOW, LENGTH_HIGH, STOPS_LOW, STOPS_HIGH = 0.2, 70, 200, 0.10, 0.18
+DEEP = 16
 
 
 class Block:
-    __slots__ = ("parts", "linked", "heading", "inside", "label")
+    __slots__ = ("parts", "linked", "heading", "inside", "label", "votes", "marks", "text")
 
-    def __init__(self, heading: bool, inside: bool):
-        self.parts, self.linked, self.heading, self.inside, self.label = [], 0, heading, inside, ""
+    def __init__(self, heading: bool, inside: bool, marks: tuple):
+        self.parts, self.linked, self.heading, self.inside, self.label, self.votes, self.marks, self.text = [], 0, heading, inside, "", None, marks, ""
 
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    def share(self) -> float:
+        """The part of the text that is links."""
+        return self.linked / max(1, len(self.text))
+
+
+class Element:
+    """An open or closed element that marks the article, or whose names vote against what it holds."""
+
+    __slots__ = ("depth", "strength", "inside", "under", "blocks")
+
+    def __init__(self, depth: int, strength: int, inside: bool, under: tuple):
+        self.depth, self.strength, self.inside, self.under, self.blocks = depth, strength, inside, under, []
+
+    def size(self) -> int:
+        return sum(len(b.text) for b in self.blocks)
 
 
 def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
     if name in SKIPPED or (name == "header" and not in_article):
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    return any(UNWANTED.search(unescape(a or b or c).lower()) for a, b, c in NAMED.findall(attributes))
+    return bool(attributes) and name not in ("html", "body", "article", "main") and HIDDEN.search(attributes) is not None
+
+
+def _vote(name: str, attributes: str, in_article: bool) -> int:
+    """Strength of the vote of an element's names: 0, 1 (layout) or 2 (another use). Inside an article, names of
+    headings, paragraphs and headers and anchors of sections tell its content."""
+    if not attributes or name in ("html", "body", "article", "main") or in_article and (name in HEADINGS or name in ("p", "header")):
+        return 0
+    strength = 0
+    for kind, a, b, c in NAMED.findall(attributes):
+        if in_article and name == "section" and kind.lower() == "id":
+            continue
+        names = ABSENT.sub("", unescape(a or b or c).lower())
+        if OTHER_NAMES.search(names):
+            return 2
+        if (ARTICLE_NAMES if in_article else LAYOUT_NAMES).search(names):
+            strength = 1
+    return strength
+
+
+def _prose(blocks: list[Block]) -> bool:
+    """Whether blocks hold long text with few links."""
+    return sum(len(b.text) for b in blocks if len(b.text) >= LENGTH_LOW and b.share() <= LINK_HIGH) > LENGTH_HIGH
+
+
+def _without_named(blocks: list[Block], votes: list[Element], marks: list[Element]) -> list[Block]:
+    """Blocks against which no vote stands. No vote stands against the article: an element with a large mark of it."""
+    if not votes:
+        return blocks
+    for b in blocks:
+        for e in (*b.votes, *b.marks):
+            e.blocks.append(b)
+    own = [m for m in marks if all(v.strength < 2 for v in m.under)] or marks
+    most = max((m.size() for m in own), default=0)
+    held = {v for m in own if 2 * m.size() >= most > 0 for v in m.under}
+    stand = set()
+    for v in votes:
+        if v.blocks and v not in held:
+            few = sum(b.linked for b in v.blocks) <= LINK_HIGH * v.size()
+            if v.strength == 2 or not (_prose(v.blocks) or v.inside and few):
+                stand.add(v)
+    while True:
+        left = [b for b in blocks if not any(v in stand for v in b.votes)]
+        if any(b.inside for b in left) or _prose(left):
+            return left
+        # Names alone do not empty a page: the outermost elements that hold prose are what it is about.
+        outer = [v for v in stand if not any(u in stand for u in v.under) and _prose(v.blocks)]
+        if not outer:
+            return left
+        stand.difference_update(outer)
 
 
 def blocks_of(html: str) -> tuple[list[Block], bool]:
@@ -76,7 +139,10 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
     skip = None  # depth below which everything is left out
     links = articles = 0
     current: Block | None = None
-    marked = False
+    votes: list[Element] = []
+    marks: list[Element] = []
+    voting: tuple[Element, ...] = ()  # open elements; so deep that more of them tell nothing new
+    marking: tuple[Element, ...] = ()
     unended: set[str] = set()  # elements of RAW without an end tag in the rest of the page
     at = 0
 
@@ -84,13 +150,27 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
         nonlocal current
         if skip is None and text:
             if current is None:
-                current = Block(any(t in HEADINGS for t in stack[-3:]), articles > 0)
+                current = Block(any(t in HEADINGS for t in stack[-3:]), articles > 0, marking)
                 out.append(current)
             text = unescape(text)
             current.parts.append(text)
+            if current.votes != voting and not text.isspace():
+                # A vote is against a whole block: what is named within one is part of its sentence.
+                current.votes = voting if current.votes is None else tuple(v for v in current.votes if v in voting)
             if links:
                 current.linked += len(text)
 
+    def close(k: int) -> None:
+        nonlocal links, articles, voting, marking
+        gone = stack[k:]
+        del stack[k:]
+        links -= gone.count("a")
+        articles -= gone.count("article") + gone.count("main")
+        while voting and voting[-1].depth >= k:
+            voting = voting[:-1]
+        while marking and marking[-1].depth >= k:
+            marking = marking[:-1]
+
     while True:
         m = TOKEN.search(html, at)
         if not m:
@@ -122,8 +202,7 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
                 # An open element of the same name ends where its sibling begins, unless a container stands between.
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k] == name:
-                        links, articles = links - stack[k:].count("a"), articles - stack[k:].count("article") - stack[k:].count("main")
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k] in ("ul", "ol", "table", "div", "article", "section", "main", "blockquote", "dl", "body"):
                         break
@@ -134,32 +213,36 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
             if skip is None and _unwanted(name, m[3], articles > 0):
                 skip = len(stack)
                 current = None
+            if skip is None and len(voting) < DEEP and (strength := _vote(name, m[3], articles > 0)):
+                votes.append(Element(len(stack), strength, articles > 0, voting))
+                voting += (votes[-1],)
             stack.append(name)
             links += name == "a"
             if name in ("article", "main"):
                 articles += 1
-                marked = marked or skip is None
+                if skip is None and len(marking) < DEEP:
+                    marks.append(Element(len(stack) - 1, 0, True, voting))
+                    marking += (marks[-1],)
         elif name in stack:
             k = len(stack) - 1 - stack[::-1].index(name)
             if name not in BLOCKS and name not in SKIPPED and any(t in ("article", "main", "body", "div", "section") for t in stack[k + 1 :]):
                 continue  # a stray inline end does not close containers
-            gone = stack[k:]
-            del stack[k:]
-            links -= gone.count("a")
-            articles -= gone.count("article") + gone.count("main")
+            close(k)
             if skip is not None and len(stack) <= skip:
                 skip = None
                 current = None
-    return [b for b in out if b.text()], marked
+    for b in out:
+        b.text = " ".join("".join(b.parts).split())
+    return _without_named([b for b in out if b.text], votes, marks), bool(marks)
 
 
 def classify(blocks: list[Block], marked: bool) -> None:
     """First pass, free of context; then undecided blocks take the labels of their nearest decided neighbours."""
     for b in blocks:
-        text = b.text()
+        text = b.text
         words = WORD.findall(text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        linked = b.linked / max(1, len(text))
+        linked = b.share()
         if marked:
             b.label = "good" if b.inside and linked <= 0.5 else "bad"
         elif linked > LINK_HIGH:
@@ -186,7 +269,7 @@ def classify(blocks: list[Block], marked: bool) -> None:
 def main_text(html: str | None) -> str:
     blocks, marked = blocks_of(html or "")
     classify(blocks, marked)
-    return "\n\n".join(b.text() for b in blocks if b.label == "good")
+    return "\n\n".join(b.text for b in blocks if b.label == "good")
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -255,6 +255,20 @@ def test_pages_raw_elements_without_an_end():
     assert pages.main_text("<article><p>one<script>two<p>three") == "one" and pages.main_text("<article><p>x " + "<svg>" * 50_000 + "y</p>") == "x y"
 
 
+def test_pages_names_only_vote():
+    prose = " ".join(["The cat of the house was in the garden and it is as old as the tree that was there for years."] * 4)
+    for name in ("content no-sidebar", "layout with-sidebar", "content-sidebar-wrap", "comments"):
+        for body in (f"<article><p>{prose}</p></article>", f"<div><p>{prose}</p></div>"):
+            assert pages.main_text(f'<body><div class="{name}">{body}</div>') == prose, name
+    inner = '<header class="entry-header"><h1>Title</h1></header><h2 id="related-work">Related work</h2><p class="search-note">A note.</p><section id="discussion"><h3>Discussion</h3><p>It was so.</p></section><p>See <a class="share" href=x>this</a> of it.</p>'
+    assert pages.main_text(f"<article>{inner}</article>") == "Title\n\nRelated work\n\nA note.\n\nDiscussion\n\nIt was so.\n\nSee this of it."
+    for named in (f'<div class="comments"><p>{prose}</p></div>', '<div class="share"><a href=x>Share</a></div>', '<div class="ad">Buy.</div>'):
+        assert pages.main_text(f"<article><h1>T</h1>{named}<p>{prose}</p></article>") == f"T\n\n{prose}", named
+    related = '<div class="related"><article class=card><h2><a href=x>Other</a></h2></article></div>'
+    assert pages.main_text(f"<main><article><h1>T</h1><p>{prose}</p></article>{related}</main>") == f"T\n\n{prose}"
+    assert pages.main_text('<article><div class="ad">' * 3000 + "x" + "</div></article>" * 3000) == ""
+
+
 def test_pages_operator(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "t", 1), (2, None, None, "t", 1)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted(map(tuple, pages.extract_pages(df).collect())) == [(1, "u", "x", 1), (2, None, "", 0)] and pages.extract_pages(df.limit(0)).count() == 0
