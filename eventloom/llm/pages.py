@@ -5,7 +5,7 @@ The page is read as a stream of tags; block-level tags cut it into blocks of tex
 use votes against its blocks; prose, or inside an article few links, outweighs a name of the layout, and no name stands
 against an element with the article in it. The first pass classifies each block by its stop-word density, length and link density as good, bad, short or
 near good; the second lets the undecided blocks take the label of their nearest decided neighbours. Where the page marks
-its article, blocks inside it are good unless they are mostly links, and blocks outside it are bad.
+its article, blocks inside it are good unless they are a menu, and blocks outside it are bad.
 
 Defined cases: null and empty pages have no text; unclosed and stray tags are tolerated; character references without
 a meaning stay as they are; ties between neighbours go to the earlier one.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +56,10 @@ DEEP = 16
 
 
 class Block:
-    __slots__ = ("parts", "linked", "heading", "inside", "label", "votes", "marks", "text")
+    __slots__ = ("parts", "links", "linked", "heading", "inside", "label", "votes", "marks", "text")
 
     def __init__(self, heading: bool, inside: bool, marks: tuple):
-        self.parts, self.linked, self.heading, self.inside, self.label, self.votes, self.marks, self.text = [], 0, heading, inside, "", None, marks, ""
+        self.parts, self.links, self.linked, self.heading, self.inside, self.label, self.votes, self.marks, self.text = [], [], 0, heading, inside, "", None, marks, ""
 
     def share(self) -> float:
         """The part of the text that is links."""
@@ -158,7 +159,7 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
                 # A vote is against a whole block: what is named within one is part of its sentence.
                 current.votes = voting if current.votes is None else tuple(v for v in current.votes if v in voting)
             if links:
-                current.linked += len(text)
+                current.links.append(text)
 
     def close(k: int) -> None:
         nonlocal links, articles, voting, marking
@@ -233,18 +234,31 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
                 current = None
     for b in out:
         b.text = " ".join("".join(b.parts).split())
+        b.linked = len(" ".join("".join(b.links).split()))
     return _without_named([b for b in out if b.text], votes, marks), bool(marks)
 
 
+def _menus(blocks: list[Block]) -> set[Block]:
+    """Blocks of links that open a marked element, two at least and before anything else in it."""
+    out: set[Block] = set()
+    for _, group in groupby((b for b in blocks if b.inside), key=lambda b: b.marks[:1]):
+        held = list(group)
+        n = next((i for i, b in enumerate(held) if b.heading or b.share() <= 0.5), 0)
+        if n > 1:
+            out.update(held[:n])
+    return out
+
+
 def classify(blocks: list[Block], marked: bool) -> None:
     """First pass, free of context; then undecided blocks take the labels of their nearest decided neighbours."""
+    menus = _menus(blocks)
     for b in blocks:
         text = b.text
         words = WORD.findall(text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         linked = b.share()
         if marked:
-            b.label = "good" if b.inside and linked <= 0.5 else "bad"
+            b.label = "good" if b.inside and b not in menus else "bad"
         elif linked > LINK_HIGH:
             b.label = "bad"
         elif len(text) < LENGTH_LOW:

@@ -269,6 +269,16 @@ def test_pages_names_only_vote():
     assert pages.main_text('<article><div class="ad">' * 3000 + "x" + "</div></article>" * 3000) == ""
 
 
+def test_pages_links_of_the_article_stay():
+    sources = "<ul><li><a href=a>Source one</a><li><a href=b>Source two</a></ul>"
+    inner = f"<h1><a href=x>Title</a></h1><p>Some words.</p><p><a href=y>A report on it</a> says so.</p>{sources}"
+    want = "Title\n\nSome words.\n\nA report on it says so.\n\nSource one\n\nSource two"
+    assert pages.main_text(f"<article>{inner}</article>") == want
+    assert pages.main_text(f'<article><ul><li><a href="/">Home</a><li><a href="/n">News</a></ul>{inner}</article>') == want
+    block = pages.blocks_of("<p>Mostly prose here, and <a href=x>\n          a\n          link   </a>")[0][0]
+    assert block.linked == 6 and block.text == "Mostly prose here, and a link"
+
+
 def test_pages_operator(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "t", 1), (2, None, None, "t", 1)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted(map(tuple, pages.extract_pages(df).collect())) == [(1, "u", "x", 1), (2, None, "", 0)] and pages.extract_pages(df.limit(0)).count() == 0
