@@ -5,7 +5,9 @@ The page is read as a stream of tags; block-level tags cut it into blocks of tex
 use votes against its blocks; prose, or inside an article few links, outweighs a name of the layout, and no name stands
 against an element with the article in it. The first pass classifies each block by its stop-word density, length and link density as good, bad, short or
 near good; the second lets the undecided blocks take the label of their nearest decided neighbours. Where the page marks
-its article, blocks inside it are good unless they are a menu, and blocks outside it are bad.
+its article, the mark is a weight: blocks inside an article, or a main set apart from the rest of the page, are raised
+and its edges count as good, so only a menu is left out; a main around the whole page only raises. Blocks outside are bad
+unless the mark is a teaser beside much more text. A mark without text is none.
 
 Defined cases: null and empty pages have no text; unclosed and stray tags are tolerated; character references without
 a meaning stay as they are; ties between neighbours go to the earlier one.
@@ -58,7 +60,7 @@ DEEP = 16
 class Block:
     __slots__ = ("parts", "links", "linked", "heading", "inside", "label", "votes", "marks", "text")
 
-    def __init__(self, heading: bool, inside: bool, marks: tuple):
+    def __init__(self, heading: str, inside: int, marks: tuple):
         self.parts, self.links, self.linked, self.heading, self.inside, self.label, self.votes, self.marks, self.text = [], [], 0, heading, inside, "", None, marks, ""
 
     def share(self) -> float:
@@ -71,7 +73,7 @@ class Element:
 
     __slots__ = ("depth", "strength", "inside", "under", "blocks")
 
-    def __init__(self, depth: int, strength: int, inside: bool, under: tuple):
+    def __init__(self, depth: int, strength: int, inside: bool, under: tuple):  # a mark's strength: 2 article, 1 main
         self.depth, self.strength, self.inside, self.under, self.blocks = depth, strength, inside, under, []
 
     def size(self) -> int:
@@ -134,12 +136,13 @@ def _without_named(blocks: list[Block], votes: list[Element], marks: list[Elemen
 
 
 def blocks_of(html: str) -> tuple[list[Block], bool]:
-    """Blocks of the page in order, and whether it marks an article."""
+    """Blocks of the page in order, and whether it has anything around what it marks as its article."""
     out: list[Block] = []
     stack: list[str] = []
     skip = None  # depth below which everything is left out
     links = articles = 0
     current: Block | None = None
+    around = False
     votes: list[Element] = []
     marks: list[Element] = []
     voting: tuple[Element, ...] = ()  # open elements; so deep that more of them tell nothing new
@@ -151,7 +154,7 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
         nonlocal current
         if skip is None and text:
             if current is None:
-                current = Block(any(t in HEADINGS for t in stack[-3:]), articles > 0, marking)
+                current = Block(next((t for t in stack[-3:] if t in HEADINGS), ""), max((m.strength for m in marking), default=0), marking)
                 out.append(current)
             text = unescape(text)
             current.parts.append(text)
@@ -213,6 +216,7 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
                 continue
             if skip is None and _unwanted(name, m[3], articles > 0):
                 skip = len(stack)
+                around = around or not articles and name in ("nav", "header", "footer", "aside")
                 current = None
             if skip is None and len(voting) < DEEP and (strength := _vote(name, m[3], articles > 0)):
                 votes.append(Element(len(stack), strength, articles > 0, voting))
@@ -222,7 +226,7 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
             if name in ("article", "main"):
                 articles += 1
                 if skip is None and len(marking) < DEEP:
-                    marks.append(Element(len(stack) - 1, 0, True, voting))
+                    marks.append(Element(len(stack) - 1, 2 if name == "article" else 1, True, voting))
                     marking += (marks[-1],)
         elif name in stack:
             k = len(stack) - 1 - stack[::-1].index(name)
@@ -235,7 +239,8 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
     for b in out:
         b.text = " ".join("".join(b.parts).split())
         b.linked = len(" ".join("".join(b.links).split()))
-    return _without_named([b for b in out if b.text], votes, marks), bool(marks)
+    out = [b for b in out if b.text]
+    return _without_named(out, votes, marks), around or any(not b.inside for b in out)
 
 
 def _menus(blocks: list[Block]) -> set[Block]:
@@ -249,40 +254,97 @@ def _menus(blocks: list[Block]) -> set[Block]:
     return out
 
 
-def classify(blocks: list[Block], marked: bool) -> None:
-    """First pass, free of context; then undecided blocks take the labels of their nearest decided neighbours."""
-    menus = _menus(blocks)
-    for b in blocks:
-        text = b.text
-        words = WORD.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        linked = b.share()
-        if marked:
-            b.label = "good" if b.inside and b not in menus else "bad"
-        elif linked > LINK_HIGH:
-            b.label = "bad"
-        elif len(text) < LENGTH_LOW:
-            b.label = "short" if not b.linked else "bad"
-        elif density >= STOPS_HIGH:
-            b.label = "good" if len(text) > LENGTH_HIGH else "near"
-        else:
-            b.label = "near" if density >= STOPS_LOW else "bad"
+def _free(b: Block) -> str:
+    """The label of the first pass: by links, length and stop-word density."""
+    words = WORD.findall(b.text.lower())
+    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if b.share() > LINK_HIGH:
+        return "bad"
+    if len(b.text) < LENGTH_LOW:
+        return "short" if not b.linked else "bad"
+    if density >= STOPS_HIGH:
+        return "good" if len(b.text) > LENGTH_HIGH else "near"
+    return "near" if density >= STOPS_LOW else "bad"
+
+
+def _weigh(blocks: list[Block], around: bool) -> bool:
+    """Set ``inside`` to the weight of each block's mark; returns whether blocks without a mark are still open.
+
+    A mark is a teaser if the good blocks outside hold more than twice its text: it loses its weight, unless it has the
+    page's only h1; then it and what is outside both count, where that is more than one block."""
+
+    def teaser(level: int) -> bool:
+        own, good = [b for b in blocks if b.inside >= level], [b for b in blocks if b.inside < level and b.label == "good"]
+        titled = any(b.heading == "h1" for b in own) and not any(b.heading == "h1" and b.inside < level for b in blocks)
+        if not own or sum(len(b.text) for b in good) <= 2 * sum(len(b.text) for b in own) or titled and len(good) == 1:
+            return False
+        if not titled:
+            for b in own:
+                b.inside = int(level == 2 and any(m.strength == 1 for m in b.marks))
+        return True
+
+    unsettled = teaser(2) and not any(b.inside == 1 for b in blocks)
+    unsettled = teaser(1) or unsettled
+    if around and not any(b.inside == 2 for b in blocks):
+        for b in blocks:
+            b.inside *= 2  # main set apart from the rest of the page is as good as an article
+    return unsettled or not any(b.inside for b in blocks)
+
+
+def _second_pass(blocks: list[Block]) -> None:
+    """Undecided blocks take the labels of their nearest decided neighbours. The edge of an article counts as good, that
+    of the page as bad."""
     first = [b.label for b in blocks]
+    decided = ("good", "bad")
+    before, after, last = [""] * len(blocks), [""] * len(blocks), ""
+    for i, x in enumerate(first):
+        before[i] = last
+        last = x if x in decided else last
+    last = ""
+    for i in range(len(first) - 1, -1, -1):
+        after[i] = last
+        last = first[i] if first[i] in decided else last
     for i, b in enumerate(blocks):
         if first[i] in ("short", "near"):
-            before = next((first[k] for k in range(i - 1, -1, -1) if first[k] in ("good", "bad")), "bad")
-            after = next((first[k] for k in range(i + 1, len(blocks)) if first[k] in ("good", "bad")), "bad")
+            edge = "good" if b.inside == 2 else "bad"
+            left, right = before[i] or edge, after[i] or edge
             if b.heading:
-                b.label = after
-            elif before == after:
-                b.label = before
+                b.label = right
+            elif left == right:
+                b.label = left
             else:
-                b.label = "good" if first[i] == "near" or "near" in first[max(0, i - 1) : i + 2] else "bad"
+                b.label = "good" if b.inside == 2 or first[i] == "near" or "near" in first[max(0, i - 1) : i + 2] else "bad"
+
+
+def classify(blocks: list[Block], around: bool) -> None:
+    """First pass, free of context, then the second; a mark of the article raises what it holds, and blocks outside it
+    are bad unless it is a teaser."""
+    for b in blocks:
+        b.label = _free(b)
+    unsettled = _weigh(blocks, around)
+    menus = _menus([b for b in blocks if b.inside == 2])
+
+    def label(b: Block) -> str:
+        if not b.inside:
+            return b.label if unsettled else "bad"
+        if b in menus or b.inside == 1 and b.share() > 0.5 and not b.heading:
+            return "bad"
+        return b.label if b.label != "bad" else "near" if len(b.text) >= LENGTH_LOW else "short"
+
+    labels = [label(b) for b in blocks]
+    if not unsettled and "good" not in labels and not any(b.inside == 2 for b in blocks):
+        # Main without any good block: its mark is all there is to go by.
+        for b in blocks:
+            b.inside *= 2
+    for b, x in zip(blocks, labels, strict=True):
+        b.label = x
+    for _, group in groupby(blocks, key=lambda b: b.inside and b.marks[:1]):
+        _second_pass(list(group))
 
 
 def main_text(html: str | None) -> str:
-    blocks, marked = blocks_of(html or "")
-    classify(blocks, marked)
+    blocks, around = blocks_of(html or "")
+    classify(blocks, around)
     return "\n\n".join(b.text for b in blocks if b.label == "good")
 
 

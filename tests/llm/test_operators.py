@@ -279,6 +279,20 @@ def test_pages_links_of_the_article_stay():
     assert block.linked == 6 and block.text == "Mostly prose here, and a link"
 
 
+def test_pages_marks_are_weights():
+    prose = " ".join(["The cat of the house was in the garden and it is as old as the tree that was there for years."] * 4)
+    plain = f"<div>{prose}</div><div>{prose}</div>"
+    both = f"{prose}\n\n{prose}"
+    teaser = "<article><h2><a href=x>Other</a></h2><p>A teaser.</p></article>"
+    menu, rest = "<div>Home</div><div><a href=x>News</a> <a href=y>Sports</a></div>", "<div><a href=z>Imprint</a></div><div>Example Inc.</div>"
+    assert pages.main_text(f"<main></main>{plain}") == both and pages.main_text(f"<main><article></article></main>{plain}") == both
+    assert prose in pages.main_text(f"{teaser}<div>{prose}</div>") and pages.main_text(f"<div><a href=x>Home</a></div>{plain}<div><a href=y>More</a></div>{teaser}") == both
+    assert pages.main_text(f"<main>{plain}<div><a href=y>More</a></div>{teaser}</main>").startswith(both)
+    assert pages.main_text(f"<main>{menu}<h1>Title</h1>{plain}{rest}</main>") == f"Title\n\n{both}"
+    assert pages.main_text(f"<nav>x</nav><main><h1>Title</h1>{plain}<p>The end.</p></main><footer>y</footer>") == f"Title\n\n{both}\n\nThe end."
+    assert pages.main_text("<main><h1>Title</h1><p>Word.</p></main>") == "Title\n\nWord." and pages.main_text(f"<article><h1>T</h1><p>x</p></article>{plain}") == f"T\n\nx\n\n{both}"
+
+
 def test_pages_operator(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "t", 1), (2, None, None, "t", 1)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted(map(tuple, pages.extract_pages(df).collect())) == [(1, "u", "x", 1), (2, None, "", 0)] and pages.extract_pages(df.limit(0)).count() == 0
