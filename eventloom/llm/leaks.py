@@ -1,10 +1,8 @@
 """Benchmark decontamination, with DataFrame functions only.
 
-A document leaks an item if it holds at least 80 % of the item's distinct five-word shingles. Items are partitioned by
-size, each partition spanning a power of two of shingle counts, and a partition fixes the length of its MinHash
-signatures: one more than the shingles that its largest item may lack, namely the item's shingles of least hash. An
-item that is contained then has a signature hash in the document for certain, however long the document, so the search
-finds every pair that the exact count of shared shingles then verifies. Shingles are compared by 64-bit hashes.
+A document leaks an item if it holds at least 80 % of the item's distinct five-word shingles. Every shingle of a document
+is joined with every shingle of the items and the shared ones are counted: an exact join, which finds every pair, however
+long the document. It takes the place of a search by MinHash signatures. Shingles are compared by 64-bit hashes.
 
 The index of items is broadcast only while it has at most ``BROADCAST_ROWS`` rows, which is counted; a larger one is
 joined by a shuffle on the hash, whose skew adaptive execution splits.
@@ -30,24 +28,22 @@ def shingle_hashes(text: Column, k: int) -> Column:
     return F.array_distinct(F.get(F.transform(F.array(words), each), F.lit(0)))
 
 
-def item_index(items: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """One row a shingle of each item: h, item, n (the item's shingles), signed (in the signature of its partition)."""
+def item_index(items: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """One row a shingle of each item: h, item, n (the item's shingles), copy (a key of the item)."""
     sized = items.select(F.col(key).alias("item"), F.sort_array(shingle_hashes(F.col(text), k)).alias("hs")).distinct().withColumn("n", F.size("hs")).where("n > 0")
-    largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1).cast("long") - 1
-    signature = F.floor(largest * (den - num) / F.lit(den)).cast("int") + 1
-    return sized.withColumn("signature", signature).select("item", "n", "signature", F.posexplode("hs").alias("at", "h")).select("h", "item", "n", (F.col("at") < F.col("signature")).cast("int").alias("signed"), F.xxhash64("item", "n").alias("copy"))
+    return sized.select(F.explode("hs").alias("h"), "item", "n", F.xxhash64("item", "n").alias("copy"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, row (a hash of id and text), item_id, n_shared, n_shingles of every leak; a repeated row gives one."""
-    index = item_index(items, k, num, den, item_key, item_text)
+    index = item_index(items, k, item_key, item_text)
     if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
     # Numbered below the explode: above it, every shingle would hash the whole text again and get a number of its own.
     held = docs.select(F.col(doc_key).alias("doc_id"), F.xxhash64(doc_key, doc_text).alias("row"), F.monotonically_increasing_id().alias("place"), shingle_hashes(F.col(doc_text), k).alias("hs"))
     rows = held.select("doc_id", "row", "place", F.explode("hs").alias("h"))
-    met = rows.join(index, "h").groupBy("place", "row", "doc_id", "item", "copy", "n").agg(F.count("*").alias("shared"), F.sum("signed").alias("found"))
-    kept = met.where((F.col("found") > 0) & (F.col("shared") * den >= F.col("n") * num))
+    met = rows.join(index, "h").groupBy("place", "row", "doc_id", "item", "copy", "n").agg(F.count("*").alias("shared"))
+    kept = met.where(F.col("shared") * den >= F.col("n") * num)
     return kept.select("doc_id", "row", F.col("item").alias("item_id"), F.col("shared").alias("n_shared"), F.col("n").cast("long").alias("n_shingles")).distinct()
 
 
