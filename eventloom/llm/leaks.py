@@ -7,8 +7,9 @@ long the document. It takes the place of a search by MinHash signatures. Shingle
 The index of items is broadcast only while it has at most ``BROADCAST_ROWS`` rows, which is counted; a larger one is
 joined by a shuffle on the hash, whose skew adaptive execution splits.
 
-Defined cases: words are runs of letters and digits in lower case; null and empty texts and items, and items of under
-five words, have no shingles and match nothing; repeated items count once; rows keep null ids.
+Defined cases: words are runs of letters and digits in lower case; null and empty texts and items have no shingles and
+match nothing, nor do items of under five words in op8_leaks, as its SQL has it; the pipeline searches for those too, as
+one shingle of their own length; repeated items count once; rows keep null ids.
 """
 
 from __future__ import annotations
@@ -21,26 +22,42 @@ from .common import table
 BROADCAST_ROWS = 500_000
 
 
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def short_lengths(items: DataFrame, k: int = 5, text: str = "text") -> dict[int, int]:
+    """How many items have so few words that they have no k-word shingle, by their number of words from 1 to k - 1."""
+    counts = items.select(F.size(words_of(F.col(text))).alias("n")).where((F.col("n") > 0) & (F.col("n") < k)).groupBy("n").count().collect()
+    return {r["n"]: r["count"] for r in counts}
+
+
 def shingle_hashes(text: Column, k: int) -> Column:
     """Distinct hashes of the k-word shingles of a text."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = words_of(text)
     each = lambda ws: F.when(F.size(ws) < k, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k))))
     return F.array_distinct(F.get(F.transform(F.array(words), each), F.lit(0)))
 
 
-def item_index(items: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """One row a shingle of each item: h, item, n (the item's shingles), copy (a key of the item)."""
-    sized = items.select(F.col(key).alias("item"), F.sort_array(shingle_hashes(F.col(text), k)).alias("hs")).distinct().withColumn("n", F.size("hs")).where("n > 0")
+def item_index(items: DataFrame, k: int, key: str, text: str, short: bool) -> DataFrame:
+    """One row a shingle of each item: h, item, n (the item's shingles), copy (a key of the item). With ``short``, the
+    words of an item of under k words are one shingle."""
+    hs, words = shingle_hashes(F.col(text), k), words_of(F.col(text))
+    if short:
+        hs = F.when((F.size(words) > 0) & (F.size(words) < k), F.array(F.xxhash64(words))).otherwise(hs)
+    sized = items.select(F.col(key).alias("item"), F.sort_array(hs).alias("hs")).distinct().withColumn("n", F.size("hs")).where("n > 0")
     return sized.select(F.explode("hs").alias("h"), "item", "n", F.xxhash64("item", "n").alias("copy"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, row (a hash of id and text), item_id, n_shared, n_shingles of every leak; a repeated row gives one."""
-    index = item_index(items, k, item_key, item_text)
+def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
+    """doc_id, row (a hash of id and text), item_id, n_shared, n_shingles of every leak; a repeated row gives one.
+    With ``short``, items of under k words are found where their words stand together."""
+    lengths = [k, *sorted(short_lengths(items, k, item_text))] if short else [k]
+    index = item_index(items, k, item_key, item_text, short)
     if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
     # Numbered below the explode: above it, every shingle would hash the whole text again and get a number of its own.
-    held = docs.select(F.col(doc_key).alias("doc_id"), F.xxhash64(doc_key, doc_text).alias("row"), F.monotonically_increasing_id().alias("place"), shingle_hashes(F.col(doc_text), k).alias("hs"))
+    held = docs.select(F.col(doc_key).alias("doc_id"), F.xxhash64(doc_key, doc_text).alias("row"), F.monotonically_increasing_id().alias("place"), F.flatten(F.array(*[shingle_hashes(F.col(doc_text), n) for n in lengths])).alias("hs") if len(lengths) > 1 else shingle_hashes(F.col(doc_text), k).alias("hs"))
     rows = held.select("doc_id", "row", "place", F.explode("hs").alias("h"))
     met = rows.join(index, "h").groupBy("place", "row", "doc_id", "item", "copy", "n").agg(F.count("*").alias("shared"))
     kept = met.where(F.col("shared") * den >= F.col("n") * num)

@@ -322,6 +322,14 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find_leaks(none(spark), bench).count() == 0 and leaks.find_leaks(table, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    items = spark.createDataFrame([(1, "Zork blar"), (2, "one"), (3, "a b c d"), (4, "a b c d e"), (5, ""), (6, None), (7, "zork blar")], "item_id long, text string")
+    table = spark.createDataFrame([(1, "x ZORK, blar y"), (2, "blar zork"), (3, "one"), (4, "a b c d e"), (5, "a b c"), (6, None), (None, "a b c d")], "doc_id long, text string")
+    found = lambda short: {tuple(r) for r in leaks.find_leaks(table, items, short=short).select("doc_id", "item_id", "n_shared", "n_shingles").collect()}
+    assert found(False) == {(4, 4, 1, 1)} and leaks.short_lengths(items) == {1: 1, 2: 2, 4: 1}
+    assert found(True) == {(1, 1, 1, 1), (1, 7, 1, 1), (3, 2, 1, 1), (4, 3, 1, 1), (4, 4, 1, 1), (None, 3, 1, 1)}
+
+
 # Shards
 def test_shards_are_even_and_keep_copies(spark):
     rng = random.Random(8)
