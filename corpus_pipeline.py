@@ -12,22 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, copies, leaks, privacy, toxicity
-from eventloom.llm.common import table
+from eventloom.llm.common import free_name, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _rows_left(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of the documents by the hash of id and text."""
-    return docs.withColumn("row", F.xxhash64("doc_id", "text")).join(rows.select("row").distinct(), "row", how).select(*docs.columns)
+    """Semi or anti join of the documents by the hash of id and text, under a name that no column of theirs has."""
+    key = free_name(docs, "__row")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(rows.select(F.col("row").alias(key)).distinct(), key, how).select(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores below 0.7. The model learns from the labels outside the held-out fold and from the
     texts of this stage's own input."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.fold()))
-    scored = toxicity.score(docs, model, out="__score")
-    return scored.where(F.col("__score") < 0.7).select(*docs.columns)
+    out = free_name(docs, "__score")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < 0.7).select(*docs.columns)
 
 
 def one_of_each_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, table
+from .common import arrow_map, durable, free_name, table
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -183,8 +183,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
         return pd.Series([masked(t, x) for t, x in zip(texts, extras, strict=True)], dtype=object)
 
-    spare = "__extra"
-    joined_ = docs.withColumn("__row", F.xxhash64(key, text)).join(known.select(F.col("row").alias("__row"), F.col("extra").alias(spare)), "__row", "left")
+    spare, row = free_name(docs, "__extra"), free_name(docs, "__row")
+    joined_ = docs.withColumn(row, F.xxhash64(key, text)).join(known.select(F.col("row").alias(row), F.col("extra").alias(spare)), row, "left")
     return joined_.withColumn(text, mask(text, spare)).select(*docs.columns)
 
 
