@@ -162,7 +162,7 @@ by_id("date_pipeline", lambda: {"parsed": D.parse_whole(col("d_text")), "whole":
 by_id("end_date_sanity", lambda: {"end_date": D.sane_end(col("d_long"), D.date_text(col("d_end")))}, "case when cast(d_end as date) - d between 0 and 31 then strftime(cast(d_end as date), '%d %B %Y') else '' end as end_date")
 by_id("detected_dates", lambda: {"dates": F.array_join(D.detected_dates(col("d_long"), D.date_text(col("d_end")), F.array().cast("array<string>")), ",")}, "case when d_long = strftime(cast(d_end as date), '%d %B %Y') then d_long else d_long || ',' || strftime(cast(d_end as date), '%d %B %Y') end as dates")
 by_id("today_filter", lambda: {"today": D.covers(F.array("d_long", D.date_text(col("d_end"))), TODAY())}, f"date '{AS_OF}' = d or date '{AS_OF}' = cast(d_end as date) or date '{AS_OF}' between least(d, cast(d_end as date)) and greatest(d, cast(d_end as date)) as today")
-by_id("future_filter", lambda: {"upcoming": D.is_upcoming(col("d_text"), TODAY()), "same_day": F.coalesce(D.parse_date(col("d_text")) == TODAY, F.lit(False))}, f"coalesce({parsed_sql('d_text')} >= date '{AS_OF}', false) as upcoming, coalesce({parsed_sql('d_text')} = date '{AS_OF}', false) as same_day")
+by_id("future_filter", lambda: {"upcoming": D.is_upcoming(col("d_text"), TODAY()), "same_day": F.coalesce(D.parse_date(col("d_text")) == TODAY(), F.lit(False))}, f"coalesce({parsed_sql('d_text')} >= date '{AS_OF}', false) as upcoming, coalesce({parsed_sql('d_text')} = date '{AS_OF}', false) as same_day")
 by_id("date_range", lambda: {"shown": D.date_range(col("d_long"), D.date_text(col("d_end")))}, "case when d_long = strftime(cast(d_end as date), '%d %B %Y') then d_long else d_long || ' – ' || strftime(cast(d_end as date), '%d %B %Y') end as shown")
 
 # Scores and selection.
