@@ -12,26 +12,38 @@ from eventloom.functions.text import percent
 PER_TOPIC = ["{} India event"]
 PER_CITY_A = ["cybersecurity {}", "cyber security {} meetup", "infosec {} event", "security conference {}", "security workshop {}", "CTF {}", "cybersecurity networking {}"]
 COMMUNITIES = ["OWASP {}", "Null security {}", "BSides {}"]
-NATIONAL = [f"{x} India" for x in (
-    "cybersecurity event", "cyber security event", "information security event", "infosec event", "cybersecurity meetup", "cybersecurity conference",
-    "cybersecurity workshop", "cybersecurity webinar", "cybersecurity CTF", "cybersecurity hackathon", "cybersecurity networking")]
+NATIONAL = [
+    "cybersecurity event India", "cyber security event India", "information security event India", "infosec event India", "cybersecurity meetup India", "cybersecurity conference India",
+    "cybersecurity workshop India", "cybersecurity webinar India", "cybersecurity CTF India", "cybersecurity hackathon India", "cybersecurity networking India",
+]
 PER_CITY_B = ["cybersecurity event {}", "cybersecurity meetup {}", "cyber security event {}", "infosec event {}", "security conference {}", "security workshop {}", "CTF {}", "cybersecurity networking {}", "OWASP {}"]
 TOPICS_B = ["application security", "cloud security", "AI security", "SOC", "blue team", "red team", "DFIR", "OSINT", "threat intelligence", "incident response", "bug bounty", "VAPT", "penetration testing", "ethical hacking", "GRC", "IAM", "network security", "malware"]
 ONLINE = ["online cybersecurity webinar India", "virtual cybersecurity event India", "online cybersecurity conference India", "online cybersecurity workshop India"]
 PAGES = [("Eventbrite", "https://www.eventbrite.com/d/india/{query}/"), ("Meetup", "https://www.meetup.com/find/?keywords={query}&source=EVENTS"), ("Luma", "https://lu.ma/discover?q={query}")]
 FEED = "https://news.google.com/rss/search?q={query}&hl=en-IN&gl=IN&ceid=IN:en"
 FIRST_QUERIES = 20
-FEED_NATIONAL = [*NATIONAL[:5], "cyber security meetup India", "cybersecurity conference India", "cybersecurity workshop India", "cybersecurity CTF India", "security meetup India", "security conference India", "cybersecurity networking India"]
-FEED_COMMUNITIES = ["OWASP India event", "Null India cybersecurity meetup", "BSides India cybersecurity", "security community India", "hacker meetup India"]
-FEED_TOPICS = ["AppSec", "Application Security", "Cloud Security", "AI Security", "SOC", "Blue Team", "Red Team", "DFIR", "digital forensics", "OSINT", "threat intelligence", "incident response", "bug bounty", "VAPT", "penetration testing", "ethical hacking", "GRC", "IAM", "network security", "malware"]
-FEED_CITIES = ["Hyderabad", "Bengaluru", "Mumbai", "Pune", "Chennai"]
-FEED_PER_CITY = ["cybersecurity event {}", "cybersecurity meetup {}", "infosec meetup {}", "OWASP {} event", "security meetup {}"]
-FEED_OTHER_CITIES = ["Gurgaon", "Gurugram", "Noida", "Kolkata", "Kochi", "Ahmedabad", "Jaipur", "Chandigarh", "Bhubaneswar", "Lucknow", "Indore", "Coimbatore", "Visakhapatnam"]
-FEED_ONLINE = ["cybersecurity webinar India", "cybersecurity virtual event India", "online cybersecurity conference India", "online cybersecurity workshop India"]
-FEED_BLOCKS = [
-    (FEED_NATIONAL, [""]), (FEED_COMMUNITIES, [""]), (["{} event India"], FEED_TOPICS), (["CTF India", "cybersecurity hackathon India"], [""]), (FEED_PER_CITY, FEED_CITIES),
-    (FEED_PER_CITY[:2], ["Delhi"]), (FEED_PER_CITY[:1], FEED_OTHER_CITIES), (FEED_ONLINE, [""]),
-]
+# The feed queries, in order.
+FEED_QUERIES = [
+    "cybersecurity event India", "cyber security event India", "information security event India", "infosec event India",
+    "cybersecurity meetup India", "cyber security meetup India", "cybersecurity conference India", "cybersecurity workshop India",
+    "cybersecurity CTF India", "security meetup India", "security conference India", "cybersecurity networking India", "OWASP India event",
+    "Null India cybersecurity meetup", "BSides India cybersecurity", "security community India", "hacker meetup India", "AppSec event India",
+    "Application Security event India", "Cloud Security event India", "AI Security event India", "SOC event India", "Blue Team event India",
+    "Red Team event India", "DFIR event India", "digital forensics event India", "OSINT event India", "threat intelligence event India",
+    "incident response event India", "bug bounty event India", "VAPT event India", "penetration testing event India", "ethical hacking event India",
+    "GRC event India", "IAM event India", "network security event India", "malware event India", "CTF India", "cybersecurity hackathon India",
+    "cybersecurity event Hyderabad", "cybersecurity meetup Hyderabad", "infosec meetup Hyderabad", "OWASP Hyderabad event",
+    "security meetup Hyderabad", "cybersecurity event Bengaluru", "cybersecurity meetup Bengaluru", "infosec meetup Bengaluru",
+    "OWASP Bengaluru event", "security meetup Bengaluru", "cybersecurity event Mumbai", "cybersecurity meetup Mumbai", "infosec meetup Mumbai",
+    "OWASP Mumbai event", "security meetup Mumbai", "cybersecurity event Pune", "cybersecurity meetup Pune", "infosec meetup Pune",
+    "OWASP Pune event", "security meetup Pune", "cybersecurity event Chennai", "cybersecurity meetup Chennai", "infosec meetup Chennai",
+    "OWASP Chennai event", "security meetup Chennai", "cybersecurity event Delhi", "cybersecurity meetup Delhi", "cybersecurity event Gurgaon",
+    "cybersecurity event Gurugram", "cybersecurity event Noida", "cybersecurity event Kolkata", "cybersecurity event Kochi",
+    "cybersecurity event Ahmedabad", "cybersecurity event Jaipur", "cybersecurity event Chandigarh", "cybersecurity event Bhubaneswar",
+    "cybersecurity event Lucknow", "cybersecurity event Indore", "cybersecurity event Coimbatore", "cybersecurity event Visakhapatnam",
+    "cybersecurity webinar India", "cybersecurity virtual event India", "online cybersecurity conference India",
+    "online cybersecurity workshop India",
+]
 
 
 def _rows(spark: SparkSession, values: list[str], column: str) -> DataFrame:
@@ -64,7 +76,7 @@ def search_plan_b(spark: SparkSession) -> DataFrame:
 
 def feed_plan(spark: SparkSession) -> DataFrame:
     """The feed queries in order, with the address that asks each."""
-    return feed_urls(_ordered([_filled(spark, k, templates, values) for k, (templates, values) in enumerate(FEED_BLOCKS)]))
+    return feed_urls(_rows(spark, FEED_QUERIES, "query").select(F.col("query_at").alias("ord"), "query"))
 
 
 def search_urls(spark: SparkSession, first: int = FIRST_QUERIES) -> DataFrame:

@@ -218,7 +218,7 @@ SQL["search_plan_a"] = _plan_sql([(P.PER_TOPIC, L.COLLECT_TOPICS), (P.PER_CITY_A
 SQL["search_plan_b"] = _plan_sql([(P.NATIONAL, [""]), (P.PER_CITY_B, L.PLACES), (P.PER_TOPIC, P.TOPICS_B), (P.ONLINE, [""])]) + "select ord, query from p"
 SQL["search_urls"] = _plan_sql([(P.PER_TOPIC, L.COLLECT_TOPICS)]) + f"select ord, t.name, replace(t.template, '{{query}}', url_encode(query)) as url from p, (values {', '.join(f'({q(n)}, {q(t)})' for n, t in P.PAGES)}) t(name, template) where ord < 20"
 QUERIES["feed_plan"] = lambda s, d: P.feed_plan(s)
-SQL["feed_plan"] = _plan_sql(P.FEED_BLOCKS) + "select ord, query, 'https://news.google.com/rss/search?q=' || url_encode(query) || '&hl=en-IN&gl=IN&ceid=IN:en' as url from p"
+SQL["feed_plan"] = _plan_sql([(P.FEED_QUERIES, [""])]) + "select ord, query, 'https://news.google.com/rss/search?q=' || url_encode(query) || '&hl=en-IN&gl=IN&ceid=IN:en' as url from p"
 QUERIES["sources_enabled"] = lambda s, d: R.enabled(R.sources(s)).select("key", "name", "priority")
 SQL["sources_enabled"] = "select * from (values " + ", ".join(f"({q(r[0])}, {q(r[1])}, {r[5]})" for r in R.SOURCES) + ") t(key, name, priority)"
 QUERIES["direct_sources"] = lambda s, d: R.enabled(R.direct_sources(s)).withColumn("display", R.source_name(col("key"))).select("key", "display", "url")
