@@ -25,29 +25,45 @@ def free_name(df: DataFrame, name: str) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the cluster's shared checkpoint folder.
 
-    The folder is the session's own ``spark.checkpoint.dir``; a private one is made only where none is set (local tests).
+    The folder is the session's own ``spark.checkpoint.dir``; only a local master, which has no other machine, gets a
+    private one where none is set.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint(eager=True)
 
 
+SLICE_ROWS, SLICE_BYTES = 4096, 8_000_000
+
+
+def _weight(row: tuple) -> int:
+    """About the bytes of a row's texts and lists."""
+    return sum(len(x) * (64 if isinstance(x, list) else 1) for x in row if isinstance(x, (str, bytes, list)))
+
+
 def arrow_map(df: DataFrame, rows: Callable[[list], Iterator[tuple]], schema: str, columns: list[str], kinds: list[pa.DataType]) -> DataFrame:
     """One pass of ``rows`` over each Arrow batch, given as a list of columns of Python values; it yields output tuples.
 
-    Output leaves in slices of about 8 MB or 4,096 rows, so a batch of long texts needs no second copy of itself.
+    Output leaves in slices of ``SLICE_ROWS`` rows or about ``SLICE_BYTES``, whichever comes first, and input is read in
+    slices of the same rows, so a batch of long texts needs no second copy of itself.
     """
     names = columns
 
     def run(batches):
         out: list[tuple] = []
+        held = 0
         for batch in batches:
-            for row in rows([c.to_pylist() for c in batch.columns]):
-                out.append(row)
-                if len(out) >= 4096:
-                    yield pack(out)
-                    out = []
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for row in rows([c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns]):
+                    out.append(row)
+                    held += _weight(row)
+                    if len(out) >= SLICE_ROWS or held >= SLICE_BYTES:
+                        yield pack(out)
+                        out, held = [], 0
         if out:
             yield pack(out)
 

@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+HUBS = 5_000
+
+
+def least_neighbours(edges: DataFrame, count: int) -> DataFrame:
+    """``edges`` (a, b), each with m, the least of a and its neighbours.
+
+    Minima are summed before the shuffle, so a hub costs a row a task. A hub is a node with over ``count / HUBS``
+    edges: there are at most HUBS of them, however large the input, so their minima are broadcast and their edges stay
+    where they are; the edges of other nodes meet theirs by a shuffle, in which no key holds more than a hub's share.
+    """
+    least = durable(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("a", "m")))
+    limit = max(1_000, count // HUBS)
+    hubs = F.broadcast(least.where(F.col("degree") > limit).select("a", "m"))
+    others = edges.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("degree") <= limit).select("a", "m"), "a")
+    return edges.join(hubs, "a").unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b); label is the component's least node.
 
-    Each round hangs the larger neighbours of every node, then the smaller ones, on the least of them. Minima are summed
-    before the shuffle, so a hub costs a row a task; the joins' skewed sides are left to adaptive execution.
+    Each round hangs the larger neighbours of every node, then the smaller ones, on the least of them. A round's edges
+    are cut from their lineage, so a lost executor repeats one round at most.
     """
-    least = lambda e: e.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = least(large)
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = durable(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         seen = state
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = durable(least_neighbours(both, 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        hung = least_neighbours(large, large.count())
+        now = durable(hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(hung.select("a", F.col("m").alias("b"))).where("a <> b").distinct())

@@ -26,12 +26,12 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, table
+from .common import SLICE_BYTES, SLICE_ROWS, arrow_map, durable, row_key, table
 from .components import components
 
 LIST_COST = 4
@@ -48,20 +48,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, without a cache that grows with the vocabulary."""
+    column = np.empty(len(words), object)
+    column[:] = words
+    return pd.util.hash_array(column, categorize=False)
 
 
-def shingles(text: str | None, k: int, words: _Words) -> np.ndarray:
+def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; ASCII letters are lower-cased, ASCII white space parts words."""
     ws = (text or "").encode().lower().split()
     if not ws:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws))
+    h = word_hashes(ws)
     width = min(k, len(ws))
     out = np.full(len(h) - width + 1, (width * _STEP) & (2**64 - 1), np.uint64)
     for i in range(width):
@@ -69,6 +68,20 @@ def shingles(text: str | None, k: int, words: _Words) -> np.ndarray:
     return np.unique(out)
 
 
+class Seen(set):
+    """Digests met by a task, the last ``LIMIT`` or fewer: it only saves work on copies, so it may forget."""
+
+    LIMIT = 50_000
+
+    def first(self, digest: bytes) -> bool:
+        if digest in self:
+            return False
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self.add(digest)
+        return True
+
+
 class Scheme:
     """Entries of a set at the threshold num / den."""
 
@@ -141,6 +154,17 @@ class Scheme:
         return mix(mix(full[at]) + np.uint64((c + 1) * _STEP & (2**64 - 1)) * (at.astype(np.uint64) * np.uint64(4) + np.uint64(2 * (1 - tag) + 1))), bool(enough)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def texts_of(batches):
+    """The first column of Arrow batches, a slice at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            yield from b.column(0).slice(at, 1024).to_pylist()
+
+
 def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(42)).astype(np.int64)
 
@@ -151,14 +175,11 @@ def common_shingles(docs: DataFrame, k: int, text: str = "text", times: float =
     chunk = BUCKETS // 256
 
     def rows(batches):
-        counts, words, seen = np.zeros(BUCKETS, np.int32), _Words(), set()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingles(t, k, words)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if len(s) and digest not in seen:
-                    seen.add(digest)
-                    np.add.at(counts, _bucket(s), 1)
+        counts, seen = np.zeros(BUCKETS, np.int32), Seen()
+        for t in texts_of(batches):
+            s = shingles(t, k)
+            if len(s) and seen.first(_digest(s)):
+                np.add.at(counts, _bucket(s), 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array([zlib.compress(counts[i * chunk : (i + 1) * chunk].tobytes(), 1) for i in range(256)], pa.binary())], names=["chunk", "counts"])
 
     def summed(t: pa.Table) -> pa.Table:
@@ -220,7 +241,7 @@ def join_cell(sets: list[np.ndarray], sides: list[int] | None, num: int, den: in
 
 
 def link_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", cell: int = CELL, without_common: bool = False) -> DataFrame:
-    """One row a document: doc_id, row (a hash of id and text), n_shingles, component_id, keep (True for one row of each
+    """One row a document: doc_id, row (the row_key of id and text), n_shingles, component_id, keep (True for one row of each
     component, rows equal in id and text sharing it).
 
     ``without_common`` leaves shingles that many sets hold out of the entries, at the price of a pass that counts them.
@@ -230,19 +251,37 @@ def link_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key:
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(np.packbits(common_shingles(source, k))) if without_common else None
 
-    def signed(columns, state={}):  # noqa: B006  one cache for a task
-        if not state:
-            state.update(words=_Words(), scheme=scheme_of(), seen=set(), common=None if common is None else np.unpackbits(common.value).astype(bool))
-        for i, row, t in zip(*columns, strict=True):
-            s = shingles(t, k, state["words"])
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-            entries = None
-            if len(s) and digest not in state["seen"]:
-                state["seen"].add(digest)
-                entries = state["scheme"].entries(s, state["common"]).view(np.int64).tolist()
-            yield i, row, len(s), digest, entries
-
-    sets = durable(arrow_map(source.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), signed, "doc_id long, row long, n long, digest binary, entries array<long>", ["doc_id", "row", "n", "digest", "entries"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]))
+    def signed(batches):
+        scheme, seen = scheme_of(), Seen()
+        flags = None if common is None else np.unpackbits(common.value).astype(bool)
+        out, lists, held = [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                for i, row, t in zip(*(c.slice(at, 1024).to_pylist() for c in batch.columns), strict=True):
+                    s = shingles(t, k)
+                    digest = _digest(s) if len(s) else None
+                    new = digest is not None and seen.first(digest)
+                    out.append((i, row, len(s), digest, new))
+                    if new:
+                        lists.append(scheme.entries(s, flags))
+                        held += lists[-1].nbytes
+                    if len(out) >= SLICE_ROWS or held >= SLICE_BYTES:
+                        yield packed(out, lists)
+                        out, lists, held = [], [], 0
+        if out:
+            yield packed(out, lists)
+
+    def packed(out, lists):
+        """Entries go out as flat arrays: a list of a row that has none is null."""
+        i, row, n, digest, new = zip(*out, strict=True)
+        sizes = np.zeros(len(out) + 1, np.int32)
+        sizes[1:][list(new)] = [len(x) for x in lists]
+        flat = np.concatenate(lists).view(np.int64) if lists else np.empty(0, np.int64)
+        entries = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat), mask=pa.array([not x for x in new]))
+        columns = [pa.array(i, pa.int64()), pa.array(row, pa.string()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), entries]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n", "digest", "entries"])
+
+    sets = durable(source.select("doc_id", row_key("doc_id", "text").alias("row"), "text").mapInArrow(signed, "doc_id long, row string, n long, digest binary, entries array<long>"))
     short = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")  # joins cells only; a clash merges two
     posted = sets.where("entries is not null").select(F.explode("entries").alias("entry"), short.alias("sig"))
     first = F.first("sig").over(Window.partitionBy("entry").orderBy("sig"))
@@ -258,11 +297,10 @@ def link_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key:
     shared = members.join(big, "label").withColumn("block", block).select("digest", "rep", "label", "blocks", "block")
     texts = source.join(shared, source.doc_id.eqNullSafe(shared.rep)).select("text", "digest", "label", "blocks", "block")
 
-    def read(columns, state={}):  # noqa: B006
-        words = state.setdefault("words", _Words())
+    def read(columns):
         for t, digest, label, blocks, own in zip(*columns, strict=True):
-            s = shingles(t, k, words)
-            if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:
+            s = shingles(t, k)
+            if _digest(s) == digest:
                 yield digest, label, blocks, own, s.tobytes()
 
     whole = arrow_map(texts, read, "digest binary, label long, blocks int, block int, tokens binary", ["digest", "label", "blocks", "block", "tokens"], [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
