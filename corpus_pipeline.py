@@ -5,6 +5,7 @@ Every stage but the last returns the columns of documents and all the rows that
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import public_tokenizers
@@ -12,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, copies, leaks, privacy, toxicity
-from eventloom.llm.common import free_name, table
+from eventloom.llm.common import free_name, row_key, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _rows_left(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of the documents by the hash of id and text, under a name that no column of theirs has."""
+    """Semi or anti join of the documents by the key of id and text, under a name that no column of theirs has."""
     key = free_name(docs, "__row")
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(rows.select(F.col("row").alias(key)).distinct(), key, how).select(*docs.columns)
+    return docs.withColumn(key, row_key("doc_id", "text")).join(rows.select(F.col("row").alias(key)).distinct(), key, how).select(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="stages")
     root = f"{folder.rstrip('/')}/stages-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
