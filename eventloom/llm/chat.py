@@ -2,16 +2,18 @@
 
 A visitor flattens the parts of each turn: text is escaped in place, an image, audio or document part becomes an
 ordered placeholder, and its reference and expanded token count go to a side list. The template marks turns with
-``<|im_start|>role`` and ``<|im_end|>``. Escaping is reversible and leaves no ``<|`` in any text: a backslash becomes
-``\\s``, ``<|`` becomes ``<\\p`` and, in roles alone, a line feed becomes ``\\n``.
+``<|im_start|>role`` and ``<|im_end|>``. Escaping is reversible and leaves no ``<`` in any text or role, so neither one part
+nor neighbouring parts together can spell a mark: a backslash becomes ``\\s``, ``<`` becomes ``\\l`` and, in roles alone, a
+line feed becomes ``\\n``.
 
 Defined cases: null text, role and part list count as empty; rows without a turn come first; equal turns are ordered by
-role, then content; rows without a conversation id form one conversation with a null id; repeated rows stay.
+role, then content; rows without a conversation id form one conversation with a null id; repeated rows stay; an empty
+table gives no rows; columns besides the four named ones are passed over, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -31,11 +33,11 @@ def _replace(c: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def escape(c: Column, role: bool = False) -> Column:
-    return _replace(F.coalesce(c, F.lit("")), ("\\", "\\s"), ("<|", "<\\p"), *[("\n", "\\n")] * role)
+    return _replace(F.coalesce(c, F.lit("")), ("\\", "\\s"), ("<", "\\l"), *[("\n", "\\n")] * role)
 
 
 def unescape(c: Column, role: bool = False) -> Column:
-    return _replace(c, *[("\\n", "\n")] * role, ("<\\p", "<|"), ("\\s", "\\"))
+    return _replace(c, *[("\\n", "\n")] * role, ("\\l", "<"), ("\\s", "\\"))
 
 
 def text_part(text: Column) -> Column:
@@ -63,51 +65,72 @@ def visit(parts: Column) -> tuple[Column, Column]:
 
 
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
-    """One row a conversation: conv_id, n_turns, formatted, loss_turns (a boolean a turn), loss_spans (offsets into
-    ``formatted``, end exclusive, of each assistant's content), attachments, attachment_tokens.
+    """One row a conversation: conv_id, n_turns, formatted, turn_starts (the offset of each turn's mark in ``formatted``),
+    loss_spans (turn, start and end of each assistant's content in ``formatted``, end exclusive), attachments,
+    attachment_tokens.
 
-    Turns are gathered in two steps, chunks of turns first, so that a task of the second holds a row a chunk. The
-    output row of a conversation holds all of its text by definition.
+    Offsets are running sums: of turns inside a chunk, then of chunks, each over a sort that can spill, so the work is
+    linear in the turns. Turns are gathered in two steps, chunks first, so that a task of the second holds a row a
+    chunk. The output row of a conversation holds all of its text by definition.
     """
     content, held = visit(F.col(parts))
     turns = rows.select(
         F.col(conv).alias("conv_id"), F.coalesce(F.floor(F.col(turn) / CHUNK), F.lit(-(2**62))).cast("long").alias("chunk"),
-        F.struct(F.col(turn).alias("turn"), escape(F.col(role), True).alias("role"), content.alias("content"), held.alias("held")).alias("t"),
-    )
-    chunks = turns.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("ts")).select(
-        "conv_id", "chunk",
+        F.col(turn).alias("turn"), escape(F.col(role), True).alias("role"), content.alias("content"), held.alias("held"),
+    ).withColumn("lead", (F.length("role") + len(OPEN) + 1).cast("long")).withColumn("chars", F.length("content").cast("long"))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("lead") + F.col("chars") + len(CLOSE)
+    placed = turns.withColumn("at", F.coalesce(F.sum(size).over(before(["conv_id", "chunk"], ["turn", "role", "content", "held"])), F.lit(0).cast("long")))
+    chunks = placed.groupBy("conv_id", "chunk").agg(
+        F.sum(size).alias("size"), F.sort_array(F.collect_list(F.struct("at", "turn", "role", "content", "held", "lead", "chars"))).alias("ts"),
+    ).select(
+        "conv_id", "chunk", "size",
         F.array_join(F.transform("ts", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["content"], F.lit(CLOSE))), "").alias("formatted"),
-        F.transform("ts", lambda t: F.struct((t["role"] == "assistant").alias("loss"), (F.length(t["role"]) + len(OPEN) + 1).cast("long").alias("lead"), F.length(t["content"]).cast("long").alias("chars"))).alias("sizes"),
+        F.transform("ts", lambda t: F.struct((t["role"] == "assistant").alias("loss"), t["at"].alias("at"), (t["at"] + t["lead"]).alias("start"), (t["at"] + t["lead"] + t["chars"]).alias("end"))).alias("spans"),
         F.flatten(F.transform("ts", lambda t: F.transform(t["held"], lambda a: F.struct(t["turn"].alias("turn"), a["part"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))))).alias("held"),
     )
-    whole = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "formatted", "sizes", "held"))).alias("cs")).select(
+    moved = chunks.withColumn("base", F.coalesce(F.sum("size").over(before(["conv_id"], ["chunk"])), F.lit(0).cast("long")))
+    shifted = moved.withColumn("spans", F.transform("spans", lambda s: F.struct(s["loss"].alias("loss"), (F.col("base") + s["at"]).alias("at"), (F.col("base") + s["start"]).alias("start"), (F.col("base") + s["end"]).alias("end"))))
+    whole = shifted.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "formatted", "spans", "held"))).alias("cs")).select(
         "conv_id", F.array_join(F.transform("cs", lambda c: c["formatted"]), "").alias("formatted"),
-        F.flatten(F.transform("cs", lambda c: c["sizes"])).alias("sizes"), F.flatten(F.transform("cs", lambda c: c["held"])).alias("attachments"),
+        F.flatten(F.transform("cs", lambda c: c["spans"])).alias("spans"), F.flatten(F.transform("cs", lambda c: c["held"])).alias("attachments"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-
-    def walk(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["lead"]
-        span = F.struct(begin.alias("start"), (begin + s["chars"]).alias("end"))
-        return F.struct((begin + s["chars"] + len(CLOSE)).alias("at"), F.when(s["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
+    numbered = F.transform("spans", lambda s, i: F.struct(s["loss"].alias("loss"), i.cast("int").alias("turn"), s["start"].alias("start"), s["end"].alias("end")))
     return whole.select(
-        "conv_id", F.size("sizes").cast("long").alias("n_turns"), "formatted", F.transform("sizes", lambda s: s["loss"]).alias("loss_turns"),
-        F.aggregate("sizes", start, walk)["spans"].alias("loss_spans"), "attachments",
+        "conv_id", F.size("spans").cast("long").alias("n_turns"), "formatted", F.transform("spans", lambda s: s["at"]).alias("turn_starts"),
+        F.transform(F.filter(numbered, lambda s: s["loss"]), lambda s: F.struct(s["turn"].alias("turn"), s["start"].alias("start"), s["end"].alias("end"))).alias("loss_spans"), "attachments",
         F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("attachment_tokens"),
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pieces(formatted: Column) -> Column:
+    """What follows each turn's mark."""
+    return _let(F.split(formatted, r"<\|im_start\|>"), lambda marked: F.slice(marked, 2, F.size(marked) - 1))
+
+
+def _plain(content: Column) -> Column:
+    return unescape(F.regexp_replace(content, r"<\|(image|audio|document)_[0-9]+\|>", ""))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Add ``turns``, an array of (role, text), parsed from ``formatted`` alone; placeholders are left out of the texts."""
-    marked = F.split("formatted", r"<\|im_start\|>")
-    pieces = F.slice(marked, 2, F.size(marked) - 1)
     role = lambda x: F.substring_index(x, "\n", 1)
     body = lambda x: F.substring(x, F.length(role(x)) + 2, F.length(x) - F.length(role(x)) - 1 - len(CLOSE))
-    return formatted.withColumn(
-        "turns",
-        F.transform(pieces, lambda x: F.struct(unescape(role(x), True).alias("role"), unescape(F.regexp_replace(body(x), r"<\|(image|audio|document)_[0-9]+\|>", "")).alias("text"))),
-    )
+    return formatted.withColumn("turns", F.transform(_pieces(F.col("formatted")), lambda x: F.struct(unescape(role(x), True).alias("role"), _plain(body(x)).alias("text"))))
+
+
+def learnt_text(formatted: DataFrame) -> DataFrame:
+    """Add ``learnt``: the text of ``formatted`` under its loss spans, unescaped and joined, placeholders left out."""
+    def cut(pieces: Column) -> Column:
+        first = len(OPEN) - 1  # a piece begins after the mark that its turn starts with; substring counts from 1
+        return F.transform("loss_spans", lambda s: _plain(F.substring(F.get(pieces, s["turn"]), (s["start"] - F.get("turn_starts", s["turn"]) - first).cast("int"), (s["end"] - s["start"]).cast("int"))))
+
+    return formatted.withColumn("learnt", F.array_join(_let(_pieces(F.col("formatted")), cut), ""))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +138,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own.select("conv_id", "t.turn", "t.role", said.alias("text")))
-    back = read_back(format_conversations(rows.withColumn("parts", text_part(F.col("text")))))
-    learnt = F.array_join(F.transform(F.filter(F.arrays_zip("turns", "loss_turns"), lambda z: z["loss_turns"]), lambda z: z["turns"]["text"]), "")
+    back = learnt_text(read_back(format_conversations(rows.withColumn("parts", text_part(F.col("text"))))))
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        learnt.alias("learnt"), "formatted",
+        "learnt", "formatted",
     ).select(
         "conv_id", "n_turns", "turns_sha256", F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
@@ -135,6 +157,6 @@ select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  cast(sum(24 + length(replace(replace(replace(role, '\', '\s'), '<|', '<\p'), chr(10), '\n')) + length(replace(replace(text, '\', '\s'), '<|', '<\p'))) as bigint) as formatted_chars
+  cast(sum(24 + length(replace(replace(replace(role, '\', '\s'), '<', '\l'), chr(10), '\n')) + length(replace(replace(text, '\', '\s'), '<', '\l'))) as bigint) as formatted_chars
 from said group by conv_id
 """
