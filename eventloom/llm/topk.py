@@ -2,8 +2,9 @@
 a tree merge of the per-query lists.
 
 Queries are cut into tiles and candidates into shards of fixed row counts, by a hash of the id. Each (shard, tile) cell
-is one matrix product, so a task's memory does not grow with either table. A cell keeps its best k a query; the window
-that ranks the rest keeps k a query on each task before the shuffle and again after it.
+is one matrix product, so a task's memory does not grow with either table. A cell keeps its best k a query, and a tree
+merges these lists: at each level up to ``FAN`` neighbouring lists of a query become one of k, until one is left. Exact
+search needs every cell, so a vector is copied to each tile or shard of the other side: rows x tiles and queries x shards.
 
 Defined cases: null ids and vectors that are null or hold null or non-finite components take no part; vectors meet only
 those of their own length; rows that share an id count as one whose best score holds, and never meet their own query;
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 TILE_ROWS, SHARD_ROWS = 1024, 16_384
+FAN = 32  # lists that a node of the merge tree puts together
 STEP = 256  # query rows of one product: 256 x 16,384 doubles are 32 MB
 
 
@@ -84,16 +86,23 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id"
     kept = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("tile", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(tiles)))
     all_of = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     left = kept.where("q").select("dim", all_of(shards).alias("shard"), "tile", "vec_id", "v").groupBy("dim", "shard", "tile")
-    right = kept.select("dim", "shard", all_of(tiles).alias("tile"), "vec_id", "v").groupBy("dim", "shard", "tile")
+    # Fresh names: columns that both sides shared would be pruned from this one.
+    right = kept.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"), all_of(tiles).alias("tile"), F.col("vec_id").alias("vec_id"), F.col("v").alias("v")).groupBy("dim", "shard", "tile")
 
     def cell(queries: pa.Table, shard: pa.Table) -> pa.Table:
         out = best_of_cell(queries, shard, k) if queries.num_rows and shard.num_rows else []
+        node = shard.column("shard")[0].as_py() if shard.num_rows else 0
         cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
-
-    best = left.cogroup(right).applyInArrow(cell, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score", "node"), (*cols, [node] * len(out)), strict=True)})
+
+    lists, nodes = left.cogroup(right).applyInArrow(cell, "query_id long, vec_id long, score long, node long"), shards
+    best = Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id")
+    while True:
+        nodes = -(-nodes // FAN)
+        merged = lists.withColumn("node", F.floor(F.col("node") / FAN)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        if nodes <= 1:
+            return merged.select("query_id", "rank", "vec_id", "score")
+        lists = merged.drop("rank")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
