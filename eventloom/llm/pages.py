@@ -32,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+CONTAINERS = "ul ol table div article section main blockquote dl body".split()
+SECTIONS = "article main body div section".split()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id and role that name what is not the article. Those of another use often hold prose of
 # their own; those of the layout seldom do, so prose in such an element speaks against its name.
@@ -135,10 +137,12 @@ def _without_named(blocks: list[Block], votes: list[Element], marks: list[Elemen
         stand.difference_update(outer)
 
 
-def blocks_of(html: str) -> tuple[list[Block], bool]:
-    """Blocks of the page in order, and whether it has anything around what it marks as its article."""
+def blocks_of(html: str) -> tuple[list[Block], bool, bool]:
+    """Blocks of the page in order, whether elements of the page's frame were left out, and whether it has those or blocks
+    around what it marks as its article."""
     out: list[Block] = []
     stack: list[str] = []
+    depths: dict[str, list[int]] = {}  # of the open elements of each name, so no tag searches the stack
     skip = None  # depth below which everything is left out
     links = articles = 0
     current: Block | None = None
@@ -168,6 +172,8 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
         nonlocal links, articles, voting, marking
         gone = stack[k:]
         del stack[k:]
+        for t in gone:
+            depths[t].pop()
         links -= gone.count("a")
         articles -= gone.count("article") + gone.count("main")
         while voting and voting[-1].depth >= k:
@@ -175,6 +181,10 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
         while marking and marking[-1].depth >= k:
             marking = marking[:-1]
 
+    def deepest(names) -> int:
+        """Depth of the innermost open element of these names, -1 without one."""
+        return max((depths[t][-1] for t in names if depths.get(t)), default=-1)
+
     while True:
         m = TOKEN.search(html, at)
         if not m:
@@ -204,12 +214,8 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
                 continue
             if name in ("p", "li", "td", "tr", "dd", "dt", "option"):
                 # An open element of the same name ends where its sibling begins, unless a container stands between.
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k] == name:
-                        close(k)
-                        break
-                    if stack[k] in ("ul", "ol", "table", "div", "article", "section", "main", "blockquote", "dl", "body"):
-                        break
+                if (k := deepest((name,))) > deepest(CONTAINERS):
+                    close(k)
                 if skip is not None and len(stack) <= skip:
                     skip = None
             if m[3].endswith("/") and name not in BLOCKS:
@@ -221,6 +227,7 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
             if skip is None and len(voting) < DEEP and (strength := _vote(name, m[3], articles > 0)):
                 votes.append(Element(len(stack), strength, articles > 0, voting))
                 voting += (votes[-1],)
+            depths.setdefault(name, []).append(len(stack))
             stack.append(name)
             links += name == "a"
             if name in ("article", "main"):
@@ -228,9 +235,8 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
                 if skip is None and len(marking) < DEEP:
                     marks.append(Element(len(stack) - 1, 2 if name == "article" else 1, True, voting))
                     marking += (marks[-1],)
-        elif name in stack:
-            k = len(stack) - 1 - stack[::-1].index(name)
-            if name not in BLOCKS and name not in SKIPPED and any(t in ("article", "main", "body", "div", "section") for t in stack[k + 1 :]):
+        elif (k := deepest((name,))) >= 0:
+            if name not in BLOCKS and name not in SKIPPED and deepest(SECTIONS) > k:
                 continue  # a stray inline end does not close containers
             close(k)
             if skip is not None and len(stack) <= skip:
@@ -240,7 +246,7 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
         b.text = " ".join("".join(b.parts).split())
         b.linked = len(" ".join("".join(b.links).split()))
     out = [b for b in out if b.text]
-    return _without_named(out, votes, marks), around or any(not b.inside for b in out)
+    return _without_named(out, votes, marks), around, around or any(not b.inside for b in out)
 
 
 def _menus(blocks: list[Block]) -> set[Block]:
@@ -254,8 +260,9 @@ def _menus(blocks: list[Block]) -> set[Block]:
     return out
 
 
-def _free(b: Block) -> str:
-    """The label of the first pass: by links, length and stop-word density."""
+def _free(b: Block, framed: bool) -> str:
+    """The label of the first pass: by links, length and stop-word density. Where the page's frame was left out, text
+    without links and with few stop words is ambiguous, not bad."""
     words = WORD.findall(b.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if b.share() > LINK_HIGH:
@@ -264,7 +271,7 @@ def _free(b: Block) -> str:
         return "short" if not b.linked else "bad"
     if density >= STOPS_HIGH:
         return "good" if len(b.text) > LENGTH_HIGH else "near"
-    return "near" if density >= STOPS_LOW else "bad"
+    return "near" if density >= STOPS_LOW else "short" if framed and not b.linked else "bad"
 
 
 def _weigh(blocks: list[Block], around: bool) -> bool:
@@ -291,9 +298,10 @@ def _weigh(blocks: list[Block], around: bool) -> bool:
     return unsettled or not any(b.inside for b in blocks)
 
 
-def _second_pass(blocks: list[Block]) -> None:
-    """Undecided blocks take the labels of their nearest decided neighbours. The edge of an article counts as good, that
-    of the page as bad."""
+def _second_pass(blocks: list[Block], around: bool) -> None:
+    """Undecided blocks take the labels of their nearest decided neighbours. The edge of an article counts as good. That
+    of the page counts as bad, but where navigation, headers or footers were left out ``around`` the blocks it tells
+    nothing: there the one neighbour decides."""
     first = [b.label for b in blocks]
     decided = ("good", "bad")
     before, after, last = [""] * len(blocks), [""] * len(blocks), ""
@@ -306,8 +314,9 @@ def _second_pass(blocks: list[Block]) -> None:
         last = first[i] if first[i] in decided else last
     for i, b in enumerate(blocks):
         if first[i] in ("short", "near"):
-            edge = "good" if b.inside == 2 else "bad"
+            edge = "good" if b.inside == 2 else "" if around and not b.inside else "bad"
             left, right = before[i] or edge, after[i] or edge
+            left, right = left or right or "bad", right or left or "bad"
             if b.heading:
                 b.label = right
             elif left == right:
@@ -316,11 +325,14 @@ def _second_pass(blocks: list[Block]) -> None:
                 b.label = "good" if b.inside == 2 or first[i] == "near" or "near" in first[max(0, i - 1) : i + 2] else "bad"
 
 
-def classify(blocks: list[Block], around: bool) -> None:
+def classify(blocks: list[Block], framed: bool, around: bool) -> None:
     """First pass, free of context, then the second; a mark of the article raises what it holds, and blocks outside it
     are bad unless it is a teaser."""
     for b in blocks:
-        b.label = _free(b)
+        b.label = _free(b, framed)
+    if framed and not any(b.label == "good" for b in blocks):
+        for b in blocks:  # a page of short prose: its best blocks decide
+            b.label = "good" if b.label == "near" else b.label
     unsettled = _weigh(blocks, around)
     menus = _menus([b for b in blocks if b.inside == 2])
 
@@ -339,12 +351,12 @@ def classify(blocks: list[Block], around: bool) -> None:
     for b, x in zip(blocks, labels, strict=True):
         b.label = x
     for _, group in groupby(blocks, key=lambda b: b.inside and b.marks[:1]):
-        _second_pass(list(group))
+        _second_pass(list(group), framed)
 
 
 def main_text(html: str | None) -> str:
-    blocks, around = blocks_of(html or "")
-    classify(blocks, around)
+    blocks, framed, around = blocks_of(html or "")
+    classify(blocks, framed, around)
     return "\n\n".join(b.text for b in blocks if b.label == "good")
 
 
