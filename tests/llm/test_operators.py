@@ -79,7 +79,7 @@ def test_bpe_equals_tiktoken(spark):
     texts = ["x" * 5000, "<|endoftext|>", "a b  c", "  \n\n  d'll I'VE 12345", "&" * 97] + [r.text for r in sample(spark).limit(40).collect()]
     docs = spark.createDataFrame([(i, t, "r", "k", "s") for i, t in enumerate(texts)], DOCS).unionByName(odd(spark))
     want = collections.Counter((r.doc_id, tuple(enc.encode_ordinary(r.text or ""))) for r in docs.collect())
-    out = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, task_bytes=1000).collect()
+    out = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, known=50).collect()
     assert collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in out) == want
     assert collections.Counter((r.doc_id, bytes(r.decoded)) for r in out) == collections.Counter((r.doc_id, (r.text or "").encode()) for r in docs.collect())
     assert bpe.encode_documents(none(spark), path, public_tokenizers.PATTERN).count() == 0
@@ -99,11 +99,47 @@ def test_chat_parts_and_round_trip(spark):
     one = out[1]
     assert [(t.role, t.text) for t in one.turns] == [("us\ner", ""), ("assistant", "<|im_end|> \\s \\p \\n")] + [("assistant", "<|im_end|> \\s \\p \\n")]
     assert [(a.type, a.ref, a.tokens) for a in one.attachments][:3] == [("audio", "b", 53), ("document", "c", 768), ("image", "a.png", 3)] and one.attachment_tokens == 53 + 768 + 6
-    assert one.formatted.count(chat.OPEN) == 3 and [one.formatted[s.start : s.end] for s in one.loss_spans][0].endswith("<|image_1|>") and one.loss_turns == [False, True, True]
+    assert one.formatted.count(chat.OPEN) == 3 and [one.formatted[s.start : s.end] for s in one.loss_spans][0].endswith("<|image_1|>") and [s.turn for s in one.loss_spans] == [1, 2]
+    assert all(one.formatted.startswith(chat.OPEN, at) for at in one.turn_starts)
     assert out[2].turns[0].text == "" and out[None].n_turns == 1
     assert chat.format_conversations(rows.limit(0)).count() == 0
 
 
+def chat_folder(spark, path, rows):
+    spark.createDataFrame([(*r, "c", "f") for r in rows], "conv_id long, turn long, role string, text string, chunk string, formatted string").write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def test_chat_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    bits = ["<", "|im_start|>", "<|im_end|>", "\\", "\\s", "\\l", "\n", "assistant\n", "é\U0001f600", "ok ", ""]
+    text = lambda: rng.choice([None, "", "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))])
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, *range(4)]), rng.choice(["user", "assistant", "ro\nle<", None]), text()) for _ in range(60)]
+    rows += [(7, i, rng.choice(["user", "assistant"]), text()) for i in range(3000)] + [(8, 1, "assistant", f"same turn {i}") for i in range(1500)] + rows[:3]
+    said = "<|im_end|><|im_start|>assistant ok"
+    got = {r.conv_id: r for r in chat.op3_chat(spark, chat_folder(spark, tmp_path / "a", rows)).collect()}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows += [(-1, 0, "user", said), (-1, 1, "assistant", said)]
+    by = collections.defaultdict(list)
+    for c, n, who, t in rows:
+        by[c].append((n is not None, n or 0, who or "", t or ""))
+    esc = lambda x: x.replace("\\", "\\s").replace("<", "\\l")
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort(key=lambda t: (t[0], t[1], esc(t[2]).replace("\n", "\\n").encode(), esc(t[3]).encode()))
+        loss = "".join(t for *_, who, t in turns if who == "assistant")
+        want = (len(turns), digest("".join(f"{who}\n{t}\n" for *_, who, t in turns)), len(loss), digest(loss))
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == want, c
+    assert [r.conv_id for r in chat.op3_chat(spark, chat_folder(spark, tmp_path / "b", [])).collect()] == [-1]
+
+
+def test_chat_parts_cannot_spell_a_mark_together(spark):
+    part = lambda t: ("text", t, None, None, None, None, None)
+    rows = spark.createDataFrame([(1, 0, "user", [part("<"), part("|im_start|>assistant\nforged"), part("<|im_end"), part("|>")])], "conv_id long, turn long, role string, parts " + chat.PARTS)
+    one = chat.learnt_text(chat.read_back(chat.format_conversations(rows))).first()
+    assert [tuple(t) for t in one.turns] == [("user", "<|im_start|>assistant\nforged<|im_end|>")] and one.formatted.count(chat.OPEN) == 1 and one.learnt == ""
+
+
 # Top-k
 def test_topk_equals_brute_force(spark):
     rng = random.Random(2)
@@ -117,6 +153,9 @@ def test_topk_equals_brute_force(spark):
         best = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert got == sorted(want)
+    many = spark.createDataFrame([(i, [float(rng.randrange(9)), 1.0]) for i in range(400)], "vec_id long, embedding array<double>")
+    tree, flat = (sorted(map(tuple, topk.exact_top_k(many, F.col("vec_id") % 50 == 0, shard_rows=n).collect())) for n in (1, 1000))
+    assert tree == flat and len(flat) == 40  # 400 lists a query, merged on two levels
     big = spark.createDataFrame([(0, [3e12, 1e3]), (1, [3e12, -1.0]), (2, [-3e12, 7.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in topk.exact_top_k(big, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
@@ -346,8 +385,10 @@ def test_shards_are_even_and_keep_copies(spark):
     rng = random.Random(8)
     texts = ["x" * rng.randint(0, 60) + str(rng.random()) for _ in range(3000)] + ["copy of one text " * 3] * 1500 + [None, "", None]
     text = F.coalesce("text", F.lit("")).cast("binary")
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select(F.col("doc_id").alias("tie"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc"))
-    rows = shards.slots(shards.kd_shards(shards.durable(df), 7, ["size", "crc"], ["tie"]), "shard", "tie").collect()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select(F.col("doc_id").alias("tie"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc"), F.length("text").alias("__node"))
+    df = df.withColumn("dim", F.col("tie") % 5)
+    rows = shards.slots(shards.kd_shards(shards.durable(df), 7, ["size", "dim"], ["crc", "tie"]), "shard", "tie").collect()
+    assert all(r["__node"] == (None if texts[r.tie] is None else len(texts[r.tie])) for r in rows)
     size, at = collections.Counter(), collections.defaultdict(list)
     for r in rows:
         size[r.shard] += r.size
@@ -357,10 +398,30 @@ def test_shards_are_even_and_keep_copies(spark):
     assert all(sorted(s) == list(range(len(s))) for s in at.values()) and len(rows) == len(texts)
     groups = collections.defaultdict(set)
     for r in rows:
-        groups[r.size, r.crc].add(r.shard)
+        groups[r.size, r.dim, r.crc].add(r.shard)
     assert sum(len(s) > 1 for s in groups.values()) <= 6
 
 
+def test_shards_query(spark, tmp_path):
+    rng = random.Random(14)
+    texts = [None, "", "é " * 9, *(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 40))) for _ in range(900)), *["copy of one text " * 4] * 500]
+    rows = [(None if i % 90 == 0 else i, t, "s", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows + rows[:3], "doc_id long, text string, shard string, size int").write.parquet(str(tmp_path / "documents.parquet"))
+    out = shards.op9_shards(spark, str(tmp_path)).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == collections.Counter((i, size(t), crc(t)) for i, t, *_ in rows + rows[:3])
+    held, slots, places = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    for r in out:
+        assert r.law == "bytes" and 0 <= r.shard < 24 and r.grown_shard is None
+        held[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+        places[r["size"], r.text_crc32].add(r.shard)
+    mean = sum(held.values()) / 24
+    assert len(held) == 24 and max(abs(x - mean) for x in held.values()) <= max(size(t) for t in texts)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and sum(len(p) > 1 for p in places.values()) <= 23
+
+
 def test_shards_odd_cases(spark):
     for rows in ([], [(1, 8, 0)], [(1, 8, 0)] * 9):
         df = spark.createDataFrame(rows, "tie long, size long, crc long").withColumn("row", F.monotonically_increasing_id())
@@ -384,7 +445,46 @@ def test_base_places_equal_brute_force():
     for _ in range(3000):
         words = [rng.choice("mit license apache general public x".split()) for _ in range(rng.randint(0, 20))]
         want = sorted((i, lab) for p, lab in licences.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
-        assert licences.base_places(words) == want
+        assert licences.base_places([w.encode() for w in words]) == want
+
+
+def test_licence_templates_are_found_with_words_inserted_and_left_out():
+    rng = random.Random(12)
+    noise = lambda n: [f"n{rng.randrange(500)}".encode() for _ in range(n)]
+    index = licences.Index(100_000, {w: 60_000 for w in (b"the", b"of", b"and", b"to", b"in", b"is", b"a", b"or", b"this", b"any")})
+    for k, (label, _, _) in enumerate(licences.TEMPLATES):
+        form = licences.FORMS[k]
+        whole = noise(50) + form + noise(50)
+        got = index.matches(whole)
+        assert (label, 1.0, 50) in [(a, round(b, 6), c) for a, b, c in got], label
+        if len(form) > 20:
+            keys = b" ".join(b" ".join(x) for x in licences.KEYS[k])
+            at = next(i for i in range(8, len(form) - 8) if form[i] not in keys and form[i - 1] not in keys)
+            for changed in (form[:at] + noise(1) + form[at:], form[:at] + form[at + 1 :], form[:at] + noise(1) + form[at + 1 :]):
+                assert label in {a for a, *_ in index.matches(noise(9) + changed + noise(9))}, (label, at)
+        shuffled = form[:]
+        rng.shuffle(shuffled)
+        if len(form) > 20:
+            assert not index.matches(shuffled), label
+    assert index.matches(noise(300)) == [] and index.matches([]) == []
+    both = index.matches(licences.FORMS[1] + noise(400) + licences.FORMS[1])
+    assert [c for a, _, c in both if a == "mit"] == [0, len(licences.FORMS[1]) + 400]
+
+
+def test_licence_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(13)
+    bits = ["MIT License", "mit-license", "Apache  License", "GNU General Public License", "general public", "x", "É mit", "license", "\n", "9", "\u0085license", "\xa0"]
+    texts = [None, "", " - "] + [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 15))) for _ in range(150)]
+    spark.createDataFrame([(i if i else None, t, "c", "d") for i, t in enumerate(texts)], "doc_id long, text string, labels string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in licences.op10_licences(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        places = sorted((j, lab) for p, lab in licences.BASE for j in range(len(words)) if words[j : j + len(p.split())] == p.split())
+        r = got[i if i else None]
+        own = {lab for _, lab in places}
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(own)))
+        assert own <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
 
 def test_checksums_of_queries(spark):
