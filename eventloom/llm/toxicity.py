@@ -6,6 +6,10 @@ pattern that the clause matched, such as a targeted insult or a denied one. Word
 The weights of the patterns start from stated priors and are fitted by a penalised logistic regression on a bounded
 sample of labelled rows (``sample`` rows, default 20,000, taken in the order of a hash); the same rows teach insult
 words and stems beyond the stated lexicon.
+
+Defined cases: null and empty texts score as texts without any match; repeated rows are scored each; labels without a key
+or value are passed over, of several labels of a key the highest counts; without labels or with one class the priors hold;
+an empty table gives no rows; an input column with the name of the score's is replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -204,14 +208,14 @@ def _places(words: list[str], wanted) -> set[tuple[str, int]]:
     return out
 
 
-def learn_lexicon(docs: DataFrame, least: int = 5, purity: float = 0.9, terms: int = 20_000, stem_words: int = 4) -> Lexicon:
+def learn_lexicon(docs: DataFrame, least: int = 5, purity: float = 0.9, stem_words: int = 4) -> Lexicon:
     """Insult words, and stems that several of them share, of the labelled rows ``docs`` (text, toxic).
 
     A word is learnt if it stands in ``least`` distinct neighbourhoods of toxic rows and they are ``purity`` of all;
-    a stem likewise, with four times as many. At most ``terms`` candidate words, the most frequent, are weighed.
+    a stem likewise, with four times as many. All words of the rows are weighed; the caller bounds the rows.
     """
     few = _counted(docs, lambda ws: {(w, 0) for w in ws}, False).where((F.col("pos") >= least) & (F.col("pos") >= 0.6 * (F.col("pos") + F.col("neg"))))
-    candidates = frozenset(r.term for r in few.orderBy(F.desc("pos"), "term").limit(terms).collect())
+    candidates = frozenset(r.term for r in few.select("term").collect())
     if not candidates:
         return Lexicon()
     weight = lambda r: min(1.0, math.log((r.pos + 0.5) / (r.neg + 0.5)) / 5)
