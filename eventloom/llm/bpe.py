@@ -2,18 +2,19 @@
 
 One narrow pass, without a shuffle, in three steps that each task streams through:
 
-1. The task splits its documents and sends on every word when it first meets it, and each document as the numbers of
-   its words. Tasks cover about ``task_bytes`` of text (scan splits are put together, not dealt anew), because a word is
-   encoded once a task.
-2. A word becomes an array of pieces, one character a byte; a fold over its length merges the adjacent pair of the lowest
-   rank, leftmost first, until no pair has a rank. The ranks are a literal: an array of small maps, chosen by the
-   checksum of the piece, so a lookup does not scan 50,000 entries.
-3. The ids of the words are strung together for each document; decoding concatenates the pieces' bytes.
+1. The task splits its documents and sends on every word when it first meets it, as its bytes, and each document as the
+   numbers of its words. Words are distinct in a task, which covers about ``task_bytes`` of text (scan splits are put
+   together, not dealt anew); to make them distinct in the table would shuffle them with their places and the documents.
+2. A fold over the word's bytes merges the adjacent pair of the lowest rank, leftmost first, until no pair has a rank. It
+   carries the ids of the pieces and the rank of each adjacent pair, so a merge looks up two pairs. The rank map is a
+   literal: a table of pairs of ids, placed without collisions (hash and displace), so a lookup reads one place.
+3. The ids of the words are strung together for each document. Decoding is Spark's: the ids' binary pieces, concatenated.
 
 The fold does work quadratic in a word's length, so words over ``LONG`` bytes are merged where they stand, with a heap.
 A task forgets its words after ``KNOWN`` of them, so its memory does not follow the size of its share.
 
-Defined cases: null texts are empty; empty texts have no ids; lone surrogates cannot occur; repeated rows stay.
+Defined cases: null texts are empty; empty texts have no ids; an empty table gives no rows; null keys and repeated rows
+stay; columns besides key and text are passed over, whatever their names; lone surrogates cannot occur.
 """
 
 from __future__ import annotations
@@ -21,23 +22,26 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 
-SLOTS = 65_536
-LONG = 96
-TASK_BYTES = 96_000_000
-KNOWN = 3_000_000
-WORD, DOCUMENT, LONG_WORD, FORGET = range(4)  # kinds of row that a task sends itself
-DONE = ""  # the piece that ends a word without a pair left to merge
+LONG = 256
+TASK_BYTES = 64_000_000
+KNOWN = 700_000
+WORD, DOCUMENT, FORGET = range(3)  # kinds of row that a task sends itself
+SIDE = 1 << 20  # ids are below it; a pair's key is left * SIDE + right, an entry of the table key * SIDE + rank
+RANK = 1 << 28  # a rank in a piece's number, above the byte that the piece begins at (8 bits) and its id
+NONE = SIDE  # the rank of a pair that has none
+EMPTY = SIDE**3 - 1  # a place of the table without an entry
+GONE = 2**62  # a piece that was merged away
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,13 +49,54 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a foldable array of maps from pieces, a character a byte, to rank * 2**20."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of every pair of pieces that are a piece together, by the pair's key."""
+    out = {}
     for piece, rank in ranks.items():
-        key = piece.decode("latin-1")
-        slots[zlib.crc32(key.encode()) % SLOTS][key] = rank << 20
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,bigint>>")
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                out[a * SIDE + b] = rank
+    return out
+
+
+class RankMap:
+    """The rank map as literals: entries of pairs of ids, placed without collisions by displacements of their buckets, and
+    a plain table of the pairs of bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = pair_ranks(ranks)
+        self.size, self.buckets = _prime(2 * len(pairs) + 16), _prime(len(pairs) // 2 + 4)
+        self.entries, self.moves = [EMPTY] * self.size, [0] * self.buckets
+        held: list[list[int]] = [[] for _ in range(self.buckets)]
+        for key in pairs:
+            held[key % self.buckets].append(key)
+        for b in sorted(range(self.buckets), key=lambda b: -len(held[b])):
+            d = 0
+            while held[b]:
+                at = [(key + d) % self.size for key in held[b]]
+                if len(set(at)) == len(at) and all(self.entries[x] == EMPTY for x in at):
+                    for x, key in zip(at, held[b], strict=True):
+                        self.entries[x] = key * SIDE + pairs[key]
+                    break
+                d += 1
+            self.moves[b] = d
+        single = [ranks.get(bytes([i]), SIDE - 1) for i in range(256)]
+        self.first = [pairs.get(a * SIDE + b, NONE) * RANK + a for a in single for b in single] + [NONE * RANK + a for a in single]
+
+    def literals(self) -> list[Column]:
+        return [F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>") for x in (self.first, self.entries, self.moves)]
+
+    def rank(self, entries: Column, moves: Column, key: Column) -> Column:
+        """Rank of a pair by its key, NONE if it has none: an entry of another pair differs above the rank's bits."""
+        entry = F.get(entries, ((key + F.get(moves, (key % self.buckets).cast("int"))) % self.size).cast("int"))
+        return F.least(entry.bitwiseXOR(key * SIDE), F.lit(NONE).cast("bigint"))
+
+
+def _prime(n: int) -> int:
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
 def let(value: Column, body) -> Column:
@@ -59,39 +104,30 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rank_of(literal: Column, piece: Column) -> Column:
-    return F.try_element_at(F.get(literal, (F.crc32(piece.cast("binary")) % SLOTS).cast("int")), piece)
-
-
-def encode_word(word: Column, literal: Column) -> Column:
-    """ids of a binary word as array<int>. The plan holds the literal once."""
-    return let(literal, lambda ranks: let(F.decode(word, "ISO-8859-1"), lambda letters: _fold(letters, ranks)))
+def encode_word(letters: Column, ranks: RankMap) -> Column:
+    """ids, as array<bigint>, of a word given as the array of its bytes (0 to 255), at most LONG.
 
-
-def _fold(letters: Column, ranks: Column) -> Column:
-    size = F.length(letters)
-    single = F.split(letters, "")
-    last = F.lit(-1)
+    The state is an array of a number a piece: the rank of the pair that it begins, the byte it begins at and its id, in
+    this order, so the least number is the leftmost pair of the lowest rank. A piece without a pair stands at each end.
+    """
+    first, entries, moves = ranks.literals()
+    edge = F.lit(NONE * RANK + SIDE - 1)
+    begun = F.transform(letters, lambda b, i: F.get(first, F.coalesce(b * 256 + F.get(letters, i + 1), b + 65_536)) + i * F.lit(SIDE))
+    state = F.concat(F.array(edge), begun, F.array(edge))
 
     def merge(acc: Column, _: Column) -> Column:
-        # rank * 2**20 + place of each pair that has a rank; the least is the lowest rank, leftmost.
-        places = F.transform(F.slice(acc, 1, F.size(acc) - 1), lambda p, i: rank_of(ranks, F.concat(p, F.get(acc, i + 1))) + i)
-
-        def joined(least: Column) -> Column:
-            def at(k: Column) -> Column:
-                pair = F.array(F.concat(F.get(acc, k), F.get(acc, k + 1)))
-                return F.concat(F.slice(acc, 1, k), pair, F.slice(acc, k + 3, F.size(acc)))
-
-            return F.when(least.isNull(), F.concat(acc, F.array(F.lit(DONE)))).otherwise(let((least % (1 << 20)).cast("int"), at))
+        def at(k: Column) -> Column:  # the place of the pair's left piece, from 0; its right one is the next
+            def moved(x: Column, i: Column) -> Column:
+                before = ranks.rank(entries, moves, x % SIDE * SIDE + F.shiftright(F.get(acc, k), 28)) * RANK + x % RANK
+                new = F.shiftright(x, 28)
+                joined = ranks.rank(entries, moves, new * SIDE + F.get(acc, k + 2) % SIDE) * RANK + x % RANK - x % SIDE + new
+                return F.when(i < k - 1, x).when(i > k + 1, x).when(i == k, joined).when(i < k, before).otherwise(F.lit(GONE))
 
-        return F.when((F.size(acc) < 2) | (F.try_element_at(acc, last) == DONE), acc).otherwise(let(F.array_min(places), joined))
+            return F.when(F.get(acc, k) >= NONE * RANK, acc).otherwise(F.array_remove(F.transform(acc, moved), F.lit(GONE)))
 
-    def known(rank: Column) -> Column:
-        folded = F.filter(F.aggregate(F.sequence(F.lit(2), size), single, merge), lambda p: p != DONE)
-        return F.when(rank.isNotNull(), F.array(rank)).otherwise(F.transform(folded, lambda p: rank_of(ranks, p)))
+        return let((F.array_position(acc, F.array_min(acc)) - 1).cast("int"), at)
 
-    found = F.when(size == 0, F.array().cast("array<bigint>")).otherwise(let(rank_of(ranks, letters), known))
-    return F.transform(found, lambda r: F.shiftright(r, 20).cast("int"))
+    return let(F.aggregate(letters, state, merge), lambda acc: F.transform(F.slice(acc, 2, F.size(acc) - 2), lambda x: x % SIDE))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -121,72 +157,108 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
+class _Numbers(dict):
+    """Numbers of words in the order in which they are met; ``new`` collects those not sent yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        out = self[word] = len(self)
+        self.new.append(word)
+        return out
+
+
+def _lists(flat: np.ndarray, sizes: list[int], absent: list[bool], kind: pa.DataType) -> pa.Array:
+    """Lists of ``sizes`` cut from flat values; null where ``absent``."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind), mask=pa.array(absent, pa.bool_()))
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", task_bytes: int = TASK_BYTES, known: int = KNOWN) -> DataFrame:
     """One row a document: key, n_tokens, ids (little-endian unsigned 32-bit, joined), decoded (the bytes of the ids)."""
     ranks = load_ranks(path)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    least = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
 
     def numbered(batches):
-        split, numbers, out = regex.compile(pattern), {}, []
+        split, numbers = regex.compile(pattern), _Numbers()
+        keys, places, held = [], [], 0
+
+        def sent():
+            """The new words, then the documents that hold them: words that are a piece, or too long, with their ids."""
+            raws = [w.encode() for w in numbers.new]
+            whole = [ranks.get(w) for w in raws]
+            done = [[r] if r is not None else merge_long(w, ranks) if len(w) > LONG else None for w, r in zip(raws, whole, strict=True)]
+            folded = [w if d is None else b"" for w, d in zip(raws, done, strict=True)]
+            n, m = len(raws), len(keys)
+            letters = _lists(np.frombuffer(b"".join(folded), np.uint8).astype(np.int32), [*map(len, folded), *[0] * m], [*(d is not None for d in done), *[True] * m], pa.int32())
+            ids = pa.array([*done, *[None] * m], pa.list_(pa.int64()))
+            kind = np.repeat(np.array([WORD, DOCUMENT], np.int8), [n, m])
+            out = [pa.array(kind), pa.array([*[None] * n, *keys], pa.int64()), letters, pa.array([*[None] * n, *places], pa.binary()), ids]
+            numbers.new.clear()
+            keys.clear()
+            places.clear()
+            return pa.RecordBatch.from_arrays(out, names=["kind", "key", "letters", "places", "done"])
+
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(numbers) > KNOWN:
-                    numbers = {}
-                    out.append((FORGET, None, None, None))
-                words = split.findall(t)
-                for w in dict.fromkeys(words):
-                    if w not in numbers:
-                        numbers[w] = len(numbers)
-                        out.append((WORD if len(w) <= LONG // 4 or len(w.encode()) <= LONG else LONG_WORD, None, w, None))
-                out.append((DOCUMENT, k, None, array("I", [numbers[w] for w in words]).tobytes()))
-                if len(out) > 8192:
-                    yield sent(out)
-                    out = []
-        if out:
-            yield sent(out)
-
-    def sent(out):
-        columns = zip(zip(*out, strict=True), (pa.int8(), pa.int64(), pa.string(), pa.binary()), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["kind", "key", "word", "places"])
+            for begin in range(0, batch.num_rows, 256):
+                for k, t in zip(*(c.slice(begin, 256).to_pylist() for c in batch.columns), strict=True):
+                    at = array("I", map(numbers.__getitem__, split.findall(t)))
+                    keys.append(k)
+                    places.append(at.tobytes())
+                    held += 4 * len(at)
+                    if held > 2_000_000 or len(keys) >= 4096:
+                        yield sent()
+                        held = 0
+                        if len(numbers) > known:
+                            numbers = _Numbers()
+                            yield pa.RecordBatch.from_arrays([pa.array([FORGET], pa.int8()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["kind", "key", "letters", "places", "done"])
+        if keys:
+            yield sent()
 
     def strung(batches):
-        pieces = {r: p for p, r in ranks.items()}
-        counts: list[int] = []
         packed: list[bytes] = []
-        spelt: list[bytes] = []
         for batch in batches:
-            out = []
-            kinds, keys, places, longs = (batch.column(i).to_pylist() for i in range(4))
-            coded = batch.column(4)
-            flat, ends = coded.flatten(), coded.offsets.to_pylist()
-            first, flat = ends[0], flat.to_numpy(zero_copy_only=False)
-            raw, numbers = flat.astype("<u4").tobytes(), flat.tolist()
+            kinds, keys, places = (batch.column(i).to_pylist() for i in range(3))
+            ends = batch.column(3).offsets.to_pylist()
+            raw = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            first, out, held = ends[0], [], 0
             for i, kind in enumerate(kinds):
                 if kind == WORD:
-                    a, b = ends[i] - first, ends[i + 1] - first
-                    counts.append(b - a)
-                    packed.append(raw[4 * a : 4 * b])
-                    spelt.append(b"".join([pieces[x] for x in numbers[a:b]]))
+                    packed.append(raw[4 * (ends[i] - first) : 4 * (ends[i + 1] - first)])
                 elif kind == DOCUMENT:
-                    at = array("I", places[i])
-                    out.append((keys[i], sum([counts[x] for x in at]), b"".join([packed[x] for x in at]), b"".join([spelt[x] for x in at])))
-                elif kind == LONG_WORD:
-                    ids = merge_long(longs[i].encode(), ranks)
-                    counts.append(len(ids))
-                    packed.append(array("I", ids).tobytes())
-                    spelt.append(b"".join([pieces[x] for x in ids]))
+                    out.append((keys[i], b"".join([packed[x] for x in array("I", places[i])])))
+                    held += len(out[-1][1])
+                    if held > 4_000_000:
+                        yield documents(out)
+                        out, held = [], 0
                 else:
-                    counts, packed, spelt = [], [], []
+                    packed = []
             if out:
-                keys, n, coded, decoded = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(coded, pa.binary()), pa.array(decoded, pa.binary())], names=["key", "n_tokens", "ids", "decoded"])
+                yield documents(out)
 
-    words = rows.coalesce(max(least, -(-total // task_bytes))).mapInArrow(numbered, "kind byte, key long, word string, places binary")
-    ids = F.when(F.col("kind") == WORD, encode_word(F.col("word").cast("binary"), rank_literal(ranks)))
-    coded = words.select("kind", "key", "places", F.when(F.col("kind") == LONG_WORD, F.col("word")).alias("long"), ids.alias("ids"))
-    return coded.mapInArrow(strung, "key long, n_tokens long, ids binary, decoded binary").withColumnRenamed("key", key)
+    def documents(out):
+        ids = [x for _, x in out]
+        lists = _lists(np.frombuffer(b"".join(ids), "<u4").astype(np.int32), [len(x) // 4 for x in ids], [False] * len(ids), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(ids, pa.binary()), lists], names=["key", "ids", "each"])
+
+    words = bounded(rows).coalesce(tasks).mapInArrow(numbered, "kind byte, key long, letters array<int>, places binary, done array<bigint>")
+    merged = F.when(F.col("letters").isNotNull(), encode_word(F.col("letters"), RankMap(ranks))).otherwise(F.col("done"))
+    coded = words.select("kind", "key", "places", merged.alias("ids")).mapInArrow(strung, "key long, ids binary, each array<int>")
+    return coded.select(F.col("key").alias(key), F.size("each").cast("long").alias("n_tokens"), "ids", decode(F.col("each"), ranks).alias("decoded"))
+
+
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids: their pieces, concatenated."""
+    pieces: list[str | None] = [None] * (max(ranks.values(), default=0) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = base64.b64encode(piece).decode()
+    literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<binary>")
+    # Strings are only carriers of bytes here: neither cast changes any.
+    return let(literal, lambda ps: F.array_join(F.transform(ids, lambda i: F.get(ps, i).cast("string")), "").cast("binary"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
