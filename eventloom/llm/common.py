@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 4_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, its session set to send Python no more than ``BATCH_BYTES`` at once: the setting's default lets 10,000
+    texts of any length through, on both sides of the pipe and for each core. A lower bound of the session's stays."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -70,7 +83,7 @@ def arrow_map(df: DataFrame, rows: Callable[[list], Iterator[tuple]], schema: st
     def pack(out):
         return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def row_key(*columns: str) -> Column:

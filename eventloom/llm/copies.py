@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, SLICE_ROWS, arrow_map, durable, row_key, table
+from .common import SLICE_BYTES, SLICE_ROWS, arrow_map, bounded, durable, row_key, table
 from .components import components
 
 LIST_COST = 4
@@ -248,7 +248,7 @@ def link_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key:
     It pays at thresholds whose parts hold few shingles (under eight), where a shared passage fills whole parts.
     """
     scheme_of = lambda: Scheme(num, den)
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = bounded(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(np.packbits(common_shingles(source, k))) if without_common else None
 
     def signed(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, arrow_map, table
+from .common import SLICE_ROWS, arrow_map, bounded, table
 
 #: Words of UTF-8 texts: A-Z are lower-cased, every other ASCII byte but a-z and 0-9 parts words.
 FORM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -102,7 +102,7 @@ def document_frequency(docs: DataFrame, text: str = "text") -> tuple[int, dict[b
                         seen[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array([b"", *seen], pa.binary()), pa.array([n, *seen.values()], pa.int64())], names=["word", "n"])
 
-    got = {bytes(r.word): r.n for r in docs.select(text).mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    got = {bytes(r.word): r.n for r in bounded(docs).select(text).mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     return got.pop(b"", 0), got
 
 

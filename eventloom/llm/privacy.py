@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, free_name, row_key, table
+from .common import arrow_map, bounded, durable, free_name, row_key, table
 
 BASE = ("email", "ip", "card", "phone")
 SECRET = len(BASE)
@@ -205,7 +205,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return pd.Series([masked(t, x) for t, x in zip(texts, extras, strict=True)], dtype=object)
 
     spare, row = free_name(docs, "__extra"), free_name(docs, "__row")
-    joined_ = docs.withColumn(row, row_key(key, text)).join(known.select(F.col("row").alias(row), F.col("extra").alias(spare)), row, "left")
+    joined_ = bounded(docs).withColumn(row, row_key(key, text)).join(known.select(F.col("row").alias(row), F.col("extra").alias(spare)), row, "left")
     return joined_.withColumn(text, mask(text, spare)).select(*docs.columns)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import bounded, durable, table
 
 # The word classes of the grammar.
 INSULT = """idiot idiots idiotic moron morons moronic stupid scum trash garbage loser losers clown clowns pathetic worthless
@@ -193,7 +193,7 @@ def _counted(docs: DataFrame, find, dedupe: bool) -> DataFrame:
             names=["term", "place", "pos", "neg"],
         )
 
-    out = docs.select("text", "toxic").mapInArrow(rows, "term string, place long, pos long, neg long")
+    out = bounded(docs).select("text", "toxic").mapInArrow(rows, "term string, place long, pos long, neg long")
     if dedupe:
         out = out.groupBy("term", "place").agg((F.sum("pos") > 0).cast("long").alias("pos"), ((F.sum("neg") > 0) & (F.sum("pos") == 0)).cast("long").alias("neg"))
     return out.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], text: str = "text"
     def scored(texts: pd.Series) -> pd.Series:
         return texts.map(one)
 
-    return docs.withColumn(out, scored(F.coalesce(F.col(text), F.lit(""))))
+    return bounded(docs).withColumn(out, scored(F.coalesce(F.col(text), F.lit(""))))
 
 
 def fold(key: str = "doc_id"):
