@@ -9,23 +9,27 @@ from .common import durable
 
 
 HUBS = 5_000
+TASK_EDGES = 2_000_000  # edges that a task holds with ease, should they all be one node's
 
 
-def least_neighbours(edges: DataFrame, count: int) -> DataFrame:
-    """``edges`` (a, b), each with m, the least of a and its neighbours.
+def least_neighbours(edges: DataFrame, count: int, task_edges: int) -> DataFrame:
+    """``edges`` (a, b), at most ``count``, each with m, the least of a and its neighbours.
 
-    Minima are summed before the shuffle, so a hub costs a row a task. A hub is a node with over ``count / HUBS``
-    edges: there are at most HUBS of them, however large the input, so their minima are broadcast and their edges stay
-    where they are; the edges of other nodes meet theirs by a shuffle, in which no key holds more than a hub's share.
+    Minima are summed before the shuffle, so a hub costs a row a task. Where a node could have more edges than a task
+    should hold, hubs are taken apart: nodes with over ``count / HUBS`` edges. There are at most HUBS of them, however
+    large the input, so their minima are broadcast and their edges stay where they are; the edges of other nodes meet
+    theirs by a shuffle, in which no key holds more than a hub's share.
     """
-    least = durable(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("a", "m")))
-    limit = max(1_000, count // HUBS)
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("a", "m"))
+    if count <= task_edges:
+        return edges.join(least.drop("degree"), "a")
+    least, limit = durable(least), count // HUBS
     hubs = F.broadcast(least.where(F.col("degree") > limit).select("a", "m"))
     others = edges.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("degree") <= limit).select("a", "m"), "a")
     return edges.join(hubs, "a").unionByName(others)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b); label is the component's least node.
 
     Each round hangs the larger neighbours of every node, then the smaller ones, on the least of them. A round's edges
@@ -37,8 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        seen = state
+        seen, count = state, 2 * state[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = durable(least_neighbours(both, 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        hung = least_neighbours(large, large.count())
+        large = least_neighbours(both, count, task_edges).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = large if count <= task_edges else durable(large)
+        hung = least_neighbours(large, count, task_edges)
         now = durable(hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(hung.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
