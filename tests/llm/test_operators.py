@@ -191,6 +191,37 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert text[100] == "Call my phone number [PHONE] thanks" and text[101] == "the part 0044-77-1234 fits"
 
 
+def test_private_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(15)
+    bits = ["a", "@", "b.org", "1.2.3.4", "999.1.1.1", "4111111111111111", "4111 1111 1111 1111", "+1 (555) 123-4567", "x@y.zz", " ", " - ", "é", 'token = "04dbebab91ab85687d33", ', "api_key: abcdefgh", "12"]
+    texts = [None, ""] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    spark.createDataFrame([(i if i % 50 else None, t, "b", "f") for i, t in enumerate(texts)], "doc_id long, text string, base string, found string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = collections.Counter()
+    for r in privacy.op5_private(spark, str(tmp_path)).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        base = sorted((privacy.KINDS.index(k), int(a), int(b)) for k, a, b in spans if k != "secret")
+        assert r.n_added == sum(k == "secret" for k, *_ in spans) and r.n_spans == len(spans) and spans == sorted(spans, key=lambda x: (privacy.KINDS.index(x[0]), int(x[1]), int(x[2])))
+        out[r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, tuple(base)] += 1
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        base = sorted(brute_spans(t or ""))
+        n = [sum(k == j for k, *_ in base) for j in range(4)]
+        want[i if i % 50 else None, *n, hashlib.sha256(privacy.joined(base).encode()).hexdigest(), tuple(base)] += 1
+    assert out == want and len({tuple(k[1:5]) for k in want}) > 20
+
+
+def test_secrets_seed_patterns_of_their_own(spark):
+    rng = random.Random(16)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n)) + "0123"
+    shared = [hexed(30) for _ in range(30)]
+    rows = [(i, f'w{rng.random()} token = "{x}" w{i}') for i, x in enumerate(shared)] + [(100 + i, f"v{rng.random()} sid :: {x} v{i}") for i, x in enumerate(shared)]
+    rows += [(200, f"here sid :: {hexed(30)} too"), (201, f"the part number {hexed(30)} fits"), (202, "token: abc"), (203, 'password="p4ss-1234-word"')]
+    out = {r.doc_id: [(privacy.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in privacy.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i][0][0] == "secret" for i in range(30)) and out[203] == [("secret", 10, 24)] and out[202] == [] == out[201]
+    assert out[100][0][0] == "secret" and out[200] == [("secret", 12, 46)]  # a second turn: known values teach a new pattern
+    assert privacy.redact(spark.createDataFrame(rows[-1:], "doc_id long, text string")).first().text == 'password="[SECRET]"'
+
+
 def test_private_odd_cases(spark):
     assert privacy.find_private(odd(spark)).count() == 10 and privacy.redact(odd(spark)).columns == odd(spark).columns
     assert privacy.find_private(none(spark)).count() == 0
@@ -267,11 +298,15 @@ def test_scheme_brings_every_partner_together():
                     assert np.intersect1d(scheme.entries(x, flags), scheme.entries(y, flags)).size
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [10**6, 0])
+def test_components(spark, task_edges):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 1), (7, 8), (5, 5)], "a long, b long")
-    assert {(r.node, r.label) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)}
-    chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r.label for r in components(chain).collect()} == {0}
+    assert {(r.node, r.label) for r in components(edges, task_edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)}
+    chain = spark.range(20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(3000).select(F.lit(-1).cast("long").alias("a"), (F.col("id") + 100).alias("b"))
+    labels = {r.node: r.label for r in components(chain.unionByName(star), task_edges).collect()}
+    assert len(labels) == 3022 and {n for n, x in labels.items() if x == 0} == set(range(21)) and {x for n, x in labels.items() if n >= 100} == {-1}
+    assert components(edges.limit(0), task_edges).count() == 0
 
 
 # Pages
@@ -332,6 +367,16 @@ def test_pages_marks_are_weights():
     assert pages.main_text("<main><h1>Title</h1><p>Word.</p></main>") == "Title\n\nWord." and pages.main_text(f"<article><h1>T</h1><p>x</p></article>{plain}") == f"T\n\nx\n\n{both}"
 
 
+def test_pages_without_marks_are_decided_by_their_neighbours():
+    prose = " ".join(["The cat of the house was in the garden and it is as old as the tree that was there for years."] * 4)
+    frame = "<body><nav><a href=/>Home</a></nav><div><h1>Title</h1><p>{}</p><p>Zork blar.</p></div><footer>x</footer>"
+    assert pages.main_text(frame.format(prose)) == f"Title\n\n{prose}\n\nZork blar."
+    assert pages.main_text(frame.format(prose).replace("<nav>", "<div>").replace("</nav>", "</div>").replace("footer", "p")) == f"Title\n\n{prose}"
+    assert pages.main_text(frame.format("It is as old as the tree in the garden of the house by the sea, and more.")).startswith("Title\n\nIt is")
+    deep = "<div>" * 60_000 + "<b>" * 60_000 + "<p>x</i></u>" * 60_000
+    assert pages.main_text(f"<article>{deep}</article>").count("x") == 60_000
+
+
 def test_pages_operator(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "t", 1), (2, None, None, "t", 1)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted(map(tuple, pages.extract_pages(df).collect())) == [(1, "u", "x", 1), (2, None, "", 0)] and pages.extract_pages(df.limit(0)).count() == 0
