@@ -65,11 +65,8 @@ def is_supported_place(text: Column) -> Column:
 # Places.
 def city_collect(text: Column) -> Column:
     renamed = {"Bangalore": "Bengaluru", "Mysore": "Mysuru"}
-    t = normal(text)
-    return F.coalesce(
-        L.first_word(t, [(c.lower(), renamed.get(c, c)) for c in L.COLLECT_CITIES] + [(s.lower(), s) for s in L.COLLECT_STATES]),
-        L.first_word(t, [("india", "India"), ("online", "Online"), ("virtual", "Online")]), F.lit("Unknown"),
-    )
+    places = [(c.lower(), renamed.get(c, c)) for c in L.COLLECT_CITIES] + [(s.lower(), s) for s in L.COLLECT_STATES]
+    return F.coalesce(L.first_word(normal(text), [*places, ("india", "India"), ("online", "Online"), ("virtual", "Online")]), F.lit("Unknown"))
 
 
 def city_rss(text: Column) -> Column:
@@ -113,7 +110,7 @@ def city_of_place(place: Column) -> Column:
 def foreign_place(text: Column) -> Column:
     """The longest country name that letters do not touch; empty if none."""
     longest = lambda t: F.coalesce(*[F.when(t.rlike(f"(?<![a-z])(?:{L.folded([c])})(?![a-z])"), F.lit(c)) for c in L.longest_first(L.OTHER_COUNTRIES)], F.lit(""))
-    return F.when(~_low(text).rlike(f"(?<![a-z]){FOREIGN}"), "").otherwise(let(_low(text), longest))
+    return let(_low(text), lambda t: F.when(t.rlike(f"(?<![a-z]){FOREIGN}"), longest(t)).otherwise(""))
 
 
 def mode_of(text: Column, place: Column) -> Column:
@@ -169,11 +166,17 @@ def registers(registration_url: Column, text: Column) -> Column:
     return (text_of(registration_url) != "") | text_of(text).rlike(REGISTERS)
 
 
-def is_listing(title: Column, text: Column, structured: Column, structured_name: Column, structured_start: Column) -> Column:
-    """A page of many events: by its title, by eight dates, or, with a structured event, by its phrases or its name."""
+def is_listing(title: Column, text: Column, structured: Column, structured_name: Column, structured_start: Column, dates: Column | None = None) -> Column:
+    """A page of many events: by its title, by eight dates, or, with a structured event, by its phrases or its name.
+    ``dates`` are those of the text, if they are known already."""
     phrases = F.size(L.found(text, L.LISTING_PHRASES)) >= 3
     generic = F.lower(meaningful(structured_name)).isin(L.GENERIC_NAMES) & (meaningful(structured_start) == "")
-    return L.contains_any(title, L.LISTING_PHRASES) | (F.size(all_dates(text)) >= 8) | (structured & (phrases | generic))
+    return L.contains_any(title, L.LISTING_PHRASES) | (F.size(all_dates(text) if dates is None else dates) >= 8) | (structured & (phrases | generic))
+
+
+def is_listing_reason(reason: Column) -> Column:
+    """Whether a rejection says that the page lists many events."""
+    return _low(reason).rlike("listing|index|category")
 
 
 def title_of_page(title: Column, text: Column) -> Column:

@@ -82,11 +82,11 @@ def all_dates(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(hits, date_text), lambda d: d != ""))
 
 
-def primary_date(text: Column) -> Column:
-    """A labelled date, or else the first of all_dates; empty if none."""
+def primary_date(text: Column, dates: Column | None = None) -> Column:
+    """A labelled date, or else the first of all_dates; empty if none. ``dates`` are the latter, if they are known already."""
     t = text_of(text)
     labelled = F.array(*[F.regexp_extract(t, LABEL + f"({p})", 1) for p in (rf"(?:{MONTHS})\s+\d{{1,2}}(?:,\s*\d{{4}})?", rf"\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}")])
-    return F.coalesce(F.get(F.filter(F.transform(labelled, date_text), lambda d: d != ""), F.lit(0)), F.get(all_dates(t), F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(labelled, date_text), lambda d: d != ""), F.lit(0)), F.get(all_dates(t) if dates is None else dates, F.lit(0)), F.lit(""))
 
 
 def detected_dates(start: Column, end: Column, page: Column) -> Column:

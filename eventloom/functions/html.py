@@ -27,6 +27,9 @@ class _Page(HTMLParser):
         self.links: list[dict] = []
         self.scripts: list[str] = []
         self.stack: list[tuple[str, int, int]] = []  # element, first text part, open link
+        self.open: dict[str, int] = {}  # elements of the stack by name
+        self.inside: list[int] = []  # open links
+        self.waiting: dict[int, list[tuple[dict, int]]] = {}  # links by the depth of the containers that hold them
         self.unseen = 0
         self.ld: list[str] | None = None
 
@@ -37,10 +40,15 @@ class _Page(HTMLParser):
         link = -1
         if tag == "a" and "href" in a:
             link = len(self.links)
-            self.links.append({"href": a["href"], "parts": [], "up": [s[1] for s in self.stack[-2:]], "depth": len(self.stack)})
+            self.links.append({"href": a["href"], "parts": [], "up": [s[1] for s in self.stack[-2:]]})
+            for k in range(1, len(self.links[-1]["up"]) + 1):
+                self.waiting.setdefault(len(self.stack) - k, []).append((self.links[-1], k))
         if tag in VOID:
             return
         self.stack.append((tag, len(self.parts), link))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if link >= 0:
+            self.inside.append(link)
         if tag in UNSEEN:
             self.unseen += 1
         if tag == "script" and a.get("type", "").lower() == "application/ld+json":
@@ -49,25 +57,22 @@ class _Page(HTMLParser):
             self.title = []
 
     def handle_endtag(self, tag):
-        if all(s[0] != tag for s in self.stack):
+        if not self.open.get(tag):
             return
         while self.stack:
-            name, _, _ = self.stack.pop()
+            name, _, link = self.stack.pop()
+            self.open[name] -= 1
+            if link >= 0:
+                self.inside.pop()
             self.unseen -= name in UNSEEN
-            self._closed(len(self.stack))
+            for x, k in self.waiting.pop(len(self.stack), ()):
+                x[f"c{k}"] = (x["up"][-k], len(self.parts))  # a container ends here: what it holds is the links' context
             if name == "script" and self.ld is not None:
                 self.scripts.append("".join(self.ld))
                 self.ld = None
             if name == tag:
                 break
 
-    def _closed(self, depth: int) -> None:
-        """Containers of links end here: what they hold is the links' context."""
-        for x in self.links:
-            for k in (1, 2):
-                if x["depth"] - k == depth and len(x["up"]) >= k and f"c{k}" not in x:
-                    x[f"c{k}"] = (x["up"][-k], len(self.parts))
-
     def handle_data(self, data):
         if self.ld is not None:
             self.ld.append(data)
@@ -77,9 +82,8 @@ class _Page(HTMLParser):
             self.title.append(data)
         if s := " ".join(data.split()):
             self.parts.append(s)
-            for _, _, link in self.stack:
-                if link >= 0:
-                    self.links[link]["parts"].append(s)
+            for link in self.inside:
+                self.links[link]["parts"].append(s)
 
 
 def flatten(value) -> list[dict]:
@@ -103,9 +107,13 @@ def parse(html: str | None) -> dict:
         except ValueError:
             continue
     links = []
+    held: dict[tuple[int, int], str] = {}  # links of a container share its text
     for x in p.links:
         spans = [x.get(f"c{k}", (0, len(p.parts))) for k in (1, 2)]
-        links.append({"text": " ".join(x["parts"]), "href": x["href"], "context": max((" ".join(p.parts[a:b]) for a, b in spans), key=len)})
+        for a, b in spans:
+            if (a, b) not in held:
+                held[a, b] = " ".join(p.parts[a:b])
+        links.append({"text": " ".join(x["parts"]), "href": x["href"], "context": max((held[s] for s in spans), key=len)})
     return {
         "title": " ".join("".join(p.title or []).split()), "text": " ".join(p.parts), "description": p.meta.get("description", ""), "og_description": p.meta.get("og:description", ""),
         "og_title": p.meta.get("og:title", ""), "links": links, "objects": [json.dumps(o, ensure_ascii=False) for o in objects],

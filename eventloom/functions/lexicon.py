@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 COLLECT_CITIES = [
     "Hyderabad", "Bengaluru", "Bangalore", "Mumbai", "Pune", "Chennai", "Delhi", "New Delhi", "Gurugram", "Gurgaon", "Noida", "Kolkata", "Kochi",
     "Ahmedabad", "Jaipur", "Chandigarh", "Bhubaneswar", "Lucknow", "Indore", "Coimbatore", "Visakhapatnam", "Vijayawada", "Thiruvananthapuram",
@@ -198,13 +200,17 @@ def has_word(text: Column, terms: Iterable[str]) -> Column:
 
 
 def first_within(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    """The value of the first term, in order, that is a substring; null if none."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(t)), F.lit(v)) for t, v in pairs])
+    """The value of the first term, in order, that is a substring; null if none. The text is computed once, and the list
+    is one literal, however long."""
+    known = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(v).alias("value")) for t, v in pairs])
+    return let(text, lambda t: F.get(F.filter(known, lambda p: F.contains(t, p["term"])), F.lit(0))["value"])
 
 
 def first_word(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    """The value of the first term, in order, that stands between word boundaries; null if none."""
-    return F.coalesce(*[F.when(has_word(text, [t]), F.lit(v)) for t, v in pairs])
+    """The value of the first term, in order, that stands between word boundaries; null if none. Most texts hold none of
+    the terms, which one folded pattern tells."""
+    pairs = list(pairs)
+    return let(text, lambda t: F.when(has_word(t, [x for x, _ in pairs]), F.coalesce(*[F.when(has_word(t, [x]), F.lit(v)) for x, v in pairs])))
 
 
 def found(text: Column, terms: Iterable[str]) -> Column:

@@ -9,16 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .columns import let
 from .lexicon import NULL_WORDS
 
 SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that stands in the plan once, held by a lambda's variable, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

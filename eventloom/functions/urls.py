@@ -96,9 +96,7 @@ def is_web(url: Column) -> Column:
     return text_of(url).rlike(r"(?i)^https?://")
 
 
-@F.pandas_udf(StringType())
-def resolved(base: pd.Series, ref: pd.Series) -> pd.Series:
-    """RFC 3986 resolution of a reference; null where it is malformed."""
+def _resolved(base: pd.Series, ref: pd.Series) -> pd.Series:
 
     def one(b, r):
         try:
@@ -109,6 +107,12 @@ def resolved(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([one(b, r) for b, r in zip(base, ref, strict=True)], dtype=object)
 
 
+def resolved(base: Column, ref: Column) -> Column:
+    """RFC 3986 resolution of a reference; null where it is malformed. Not deterministic to the optimizer, so filters on
+    the address stay above it and do not write it out once for each of their terms."""
+    return F.pandas_udf(_resolved, StringType()).asNondeterministic()(base, ref)
+
+
 def trust(host: Column, table: dict[str, int], empty: int = 5, other: int = 5) -> Column:
     """Score of the first listed domain that is the host or a parent of it."""
     out = F.lit(other)

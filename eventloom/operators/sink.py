@@ -34,11 +34,17 @@ def deliver(text: str, send: Callable[[str], dict | None], attempts: int = ATTEM
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """url and message of today's events that have a url."""
-    live = events.where("is_today and url is not null and url <> ''")
-    return live.select("url", message({c: F.col(c) for c in live.columns}).alias("message"))
+    """url, message and guard of events: ``blocked`` unless today's, ``failed`` without a url, else empty."""
+    url = F.trim(F.coalesce("url", F.lit("")))
+    guard = F.when(~F.coalesce("is_today", F.lit(False)), "blocked").when(url == "", "failed").otherwise("")
+    return events.select(url.alias("url"), message({c: F.col(c) for c in events.columns}).alias("message"), guard.alias("guard"))
+
+
+def delivery_results(batch: DataFrame, send: Callable[[str], dict | None], pause: float = PAUSE) -> list[tuple[str, str]]:
+    """(url, status) of each row of a batch that the alert limit bounds: sent, failed or blocked."""
+    return [(r.url, r.guard or ("sent" if deliver(r.message, send, pause=pause) else "failed")) for r in messages(batch).collect()]
 
 
 def send_alerts(batch: DataFrame, send: Callable[[str], dict | None], limit: int, pause: float = PAUSE) -> list[str]:
     """URLs delivered of at most ``limit`` rows."""
-    return [r.url for r in messages(batch).limit(limit).collect() if deliver(r.message, send, pause=pause)]
+    return [url for url, status in delivery_results(batch.limit(limit), send, pause) if status == "sent"]

@@ -19,12 +19,15 @@ def gated(verified: DataFrame, today: Column) -> DataFrame:
 
 
 def verified_events(rows: DataFrame, today: Column) -> DataFrame:
-    """The event columns of accepted rows (ord, url, source, ...), the first of each URL, by falling score."""
+    """``ord`` and the 29 event columns of accepted rows, the first of each URL. The candidate's own title, url, source and
+    description stand beside what its page says; it fills in for an event address or description that the page lacks."""
     accepted = gated(rows, today).where("gate = 'accepted'")
     events = accepted.select(
-        "ord", strip(F.col("url")).alias("url"), present(F.col("title")).alias("title"), present(F.col("source")).alias("source"), present(F.col("description")).alias("event_description"), F.col("score").alias("verification_score"),
-        "detected_dates", present(F.col("event_date"), F.date_format(today, "yyyy-MM-dd")).alias("event_date"), "event_end_date", "event_time", "event_location", "event_venue", "event_city", "event_state", "event_country",
-        "event_organizer", "event_type", "event_price", "event_mode", "registration_url", F.col("url").alias("event_url"), "has_registration", "has_topic", "has_event", "has_location", "has_date", "is_online", "date_source", "location_source", "is_today",
+        "ord", strip(F.col("candidate_title")).alias("title"), strip(F.col("url")).alias("url"), strip(F.col("source")).alias("source"), strip(F.col("candidate_description")).alias("description"),
+        F.col("title").alias("page_title"), F.col("score").alias("verification_score"), "has_registration", "has_date", "has_future_date", "has_location", F.col("has_india").alias("has_india_location"),
+        F.col("is_online").alias("has_online_signal"), "detected_dates", present(F.col("event_date"), F.date_format(today, "yyyy-MM-dd")).alias("event_date"), "event_end_date", "event_time", "event_location",
+        "event_venue", "event_city", "event_state", "event_country", "event_mode", "event_organizer", "event_type", "event_price", "registration_url",
+        present(F.col("final_url"), F.col("url")).alias("event_url"), present(F.col("page_description"), F.col("candidate_description")).alias("event_description"), "is_today",
     ).where("url <> ''")
     return first_per_key(events, F.col("url"), "ord")
 

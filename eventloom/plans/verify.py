@@ -17,11 +17,12 @@ def signals(rows: DataFrame, as_of: Column) -> DataFrame:
     """Add the verification columns to rows of reachable, title, text, description, og_description, event (JSON text or
     null) and registration_url."""
     e = F.col("event")
-    fields = rows.withColumns({"place": H.structured_place(e),
-        "structured": e.isNotNull(), "page_dates": D.all_dates(F.col("text")), "title": C.title_of_page(present(meaningful(F.get_json_object(e, "$.name")), F.col("title")), F.col("text")),
-        "description": C.description_of(F.get_json_object(e, "$.description"), F.col("description"), F.col("og_description"), F.col("text")),
+    dated = rows.withColumn("page_dates", D.all_dates(F.col("text")))
+    fields = dated.withColumns({
+        "place": H.structured_place(e), "structured": e.isNotNull(), "title": C.title_of_page(present(meaningful(F.get_json_object(e, "$.name")), F.col("title")), F.col("text")),
+        "page_description": C.description_of(F.get_json_object(e, "$.description"), F.col("description"), F.col("og_description"), F.col("text")),
         "start": D.date_text(H.at(e, "$.startDate", "$.startTime", "$.start")), "end": D.date_text(H.at(e, "$.endDate", "$.endTime", "$.end")),
-        "primary": D.primary_date(F.col("text")), "text_place": C.place_in_text(F.col("text")),
+        "primary": D.primary_date(F.col("text"), F.col("page_dates")), "text_place": C.place_in_text(F.col("text")),
     })
     own = F.col("place.text") != ""
     fields = fields.withColumns({
@@ -36,8 +37,8 @@ def signals(rows: DataFrame, as_of: Column) -> DataFrame:
         "event_organizer": C.organizer_of(H.at(e, "$.organizer.name", "$.organizer.legalName", "$.organizer[0].name"), F.col("text")),
         "event_type": C.type_of_page(H.at(e, "$.eventType", "$.type"), F.col("text")),
         "event_price": C.price_of_page(H.at(e, "$.offers[0].price", "$.offers[0].lowPrice", "$.offers.price", "$.offers.lowPrice"), H.at(e, "$.offers[0].priceCurrency", "$.offers.priceCurrency", "$.offers.currency"), F.col("text")),
-        "listing": C.is_listing(F.col("title"), F.col("text"), F.col("structured"), F.get_json_object(e, "$.name"), H.at(e, "$.startDate", "$.startTime")),
-        "has_topic": C.is_strong_topic(F.col("title"), F.col("description")), "has_event": C.is_event(F.col("title"), F.col("description"), F.col("text")), "has_registration": C.registers(F.col("registration_url"), F.col("text")),
+        "listing": C.is_listing(F.col("title"), F.col("text"), F.col("structured"), F.get_json_object(e, "$.name"), H.at(e, "$.startDate", "$.startTime"), F.col("page_dates")),
+        "has_topic": C.is_strong_topic(F.col("title"), F.col("page_description")), "has_event": C.is_event(F.col("title"), F.col("page_description"), F.col("text")), "has_registration": C.registers(F.col("registration_url"), F.col("text")),
     })
     # A listing page loses its dates before they are validated.
     reset = fields.withColumns({c: F.when(F.col("listing"), "").otherwise(F.col(c)) for c in ("event_date", "event_end_date")} | {"detected_dates": F.when(F.col("listing"), F.array().cast("array<string>")).otherwise(F.col("detected_dates"))})
@@ -60,11 +61,14 @@ def verify(candidates: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     Every detector reads the whole text; the text column that is kept ends after ``STORED_TEXT`` characters."""
     from eventloom.functions.urls import is_web, resolved
 
-    joined = candidates.join(pages.select("url", "html"), "url", "left").withColumn("page", H.parse_html("html"))
+    final = F.col("final_url") if "final_url" in pages.columns else F.col("url")
+    missing = [F.lit("").alias(c) for c in ("title", "description", "source") if c not in candidates.columns]
+    known = candidates.select("*", *missing).withColumnsRenamed({"title": "candidate_title", "description": "candidate_description"})
+    joined = known.join(pages.select("url", final.alias("final_url"), "html"), "url", "left").withColumn("page", H.parse_html("html"))
     first = F.get(F.filter("page.links", lambda x: F.lower(x["text"]).rlike("|".join(C.L.REGISTER_LABELS))), F.lit(0))
     rows = joined.withColumns({
-        "reachable": F.col("html").isNotNull(), "title": present(F.col("page.title"), F.col("page.og_title"), F.col("title")), "text": text_of(F.col("page.text")), "og_description": F.col("page.og_description"),
-        "description": F.col("page.description"), "event": H.event_object(F.col("page.objects")), "registration_url": F.coalesce(resolved(F.col("url"), first["href"]), F.lit("")),
+        "reachable": F.col("html").isNotNull(), "title": present(F.col("page.title"), F.col("page.og_title"), F.col("candidate_title")), "text": text_of(F.col("page.text")), "og_description": F.col("page.og_description"),
+        "description": F.col("page.description"), "event": H.event_object(F.col("page.objects")), "registration_url": F.coalesce(F.when(first.isNotNull(), resolved(F.coalesce("final_url", "url"), first["href"])), F.lit("")),
     }).withColumn("registration_url", F.when(is_web(F.col("registration_url")), F.col("registration_url")).otherwise(""))
     return signals(rows.drop("page", "html"), as_of).withColumn("text", F.left("text", F.lit(STORED_TEXT)))
 

@@ -15,14 +15,18 @@ from eventloom.functions import message as M
 from eventloom.functions import scoring as S
 from eventloom.functions import text as T
 from eventloom.functions import urls as U
+from eventloom.operators import report as B
 from eventloom.operators import select as O
 from eventloom.operators.durable import durable
 from eventloom.plans import collect as G
 from eventloom.plans import search_plan as P
 from eventloom.plans.corpus import AS_OF, corpus, corpus_sql
 from eventloom.plans.pipeline import alerts, gated, verified_events
-from eventloom.plans.verify import signals
+from eventloom.plans.run import collect_all, run_pipeline
+from eventloom.plans.verify import signals, verify
 from eventloom.sources import registry as R
+from eventloom.sources import state as W
+from eventloom.sources.feeds import feed_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -202,6 +206,9 @@ SQL["html_links"] = r"""with m as (select page_id, unnest(regexp_extract_all(htm
 QUERIES["html_visible_text"] = lambda s, d: _pages(s, d).select("page_id", col("page.title").alias("title"), F.length("page.text").cast("long").alias("n_chars"))
 QUERIES["html_scripts_hidden"] = lambda s, d: _pages(s, d).select("page_id", (F.contains("page.text", F.lit("track(")) | F.contains("page.text", F.lit("margin:0"))).alias("leaks"))
 SQL["html_scripts_hidden"] = "select page_id, false as leaks from pages"
+DECODED = lambda e: f"replace(replace(replace(replace({e}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+SQL["html_visible_text"] = rf"""select page_id, trim(regexp_replace({DECODED("regexp_extract(html, '(?i)<title>([^<]*)</title>', 1)")}, '\s+', ' ', 'g')) as title,
+  length(trim(regexp_replace({DECODED("regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g'))) as n_chars from pages"""
 
 # Search plans and registries.
 QUERIES["search_plan_a"] = lambda s, d: P.search_plan_a(s)
@@ -241,14 +248,17 @@ by_id("message", lambda: {"message": M.message({"title": col("title"), "event_da
 def verified(c: DataFrame) -> DataFrame:
     """The corpus as fetched pages: a third carries its JSON-LD, every 29th could not be reached."""
     rows = c.select(
-        "event_id", col("event_id").alias("ord"), "url", col("host").alias("source"), "title", "text", F.lit("").alias("description"), F.lit("").alias("og_description"), (col("event_id") % 29 != 0).alias("reachable"),
+        "event_id", col("event_id").alias("ord"), "url", col("host").alias("source"), "title", col("title").alias("candidate_title"), F.lit("").alias("candidate_description"), col("url").alias("final_url"), "text", F.lit("").alias("description"), F.lit("").alias("og_description"), (col("event_id") % 29 != 0).alias("reachable"),
         F.when((col("event_id") % 3 == 0) & H.is_event_object(col("jsonld")), col("jsonld")).alias("event"), F.lit("").alias("registration_url"),
     )
-    # Gates filter on what the stages compute; a cut keeps the optimizer from writing all stages into each filter.
-    return durable(signals(rows, TODAY()).select("ord", "event_id", "url", "source", "title", "description", "reachable", "score", "rejected_reason", "detected_dates", *EVENT))
+    return signals(rows, TODAY())
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """Gates filter on what the stages compute; a cut keeps the optimizer from writing all stages into each filter."""
+    return durable(rows.drop("text", "og_description", "event", "page_dates", "place", "primary", "start", "end"))
 
 
-EVENT = "event_date event_end_date event_time event_location event_venue event_city event_state event_country event_organizer event_type event_price event_mode registration_url has_registration has_topic has_event has_location has_date is_online date_source location_source".split()
 FLAGS = f"""v as (select event_id, url, title, text, event_id % 29 <> 0 as reachable, event_id % 3 = 0 and event_id % 5 <> 0 as structured, d_long, d_end, city,
   list_filter({ALL_SQL.replace('d_text', 'text')}, lambda x: x <> '') as ds, {PLACE_SQL} as tp, 'Hall ' || (event_id % 9) || ', ' || city || ', India' as sp,
   nullif({date_sql('regexp_extract(text, ' + q(rf'(?i)(?:event\s+date|date|starts?|starts?\s+on)\s*[:\-]?\s*({MONTHS}\s+\d{{1,2}},\s*\d{{4}})') + ', 1)')}, '') as p1,
@@ -270,15 +280,102 @@ on_corpus("score", lambda c: verified(c).select("event_id", "score", "event_date
 SQL["score"] = WITH + f", {FLAGS} select event_id, score, event_date, place as event_location, event_mode from s"
 DETECTED = "case when event_date = '' and end_date = '' then ds[1:5] when end_date in ('', event_date) then [event_date] when event_date = '' then [end_date] else [event_date, end_date] end"
 GATED = f", {FLAGS}, g as (select *, list_transform({DETECTED}, lambda x: cast(try_strptime(nullif(x, ''), '%d %B %Y') as date)) as dd from s), h as (select *, case when not reachable then 'unreachable' when score < 40 then 'low score' when len(dd) = 0 then 'unknown date' when not (date '{AS_OF}' between list_min(dd) and list_max(dd)) then 'not today' else 'accepted' end as gate from g)"
-on_corpus("gate_counts", lambda c: O.gate_counts(gated(verified(c), TODAY()), col("gate")), None)
+on_corpus("gate_counts", lambda c: O.gate_counts(gated(verified(c).select("reachable", "score", "detected_dates"), TODAY()), col("gate")), None)
 SQL["gate_counts"] = WITH + GATED + " select gate, count(*) as n from h group by gate"
 
 
 def flagship(c: DataFrame) -> DataFrame:
     sent = c.where("event_id % 17 = 0").select("url")
-    return alerts(verified_events(verified(c), TODAY()), sent).select("ord", "url", "title", "verification_score", "event_date", "event_location", "event_mode")
+    return alerts(verified_events(cut(verified(c)), TODAY()), sent).select("ord", "url", "title", "verification_score", "event_date", "event_location", "event_mode")
 
 
 on_corpus("pipeline_flagship", flagship, None)
 SQL["pipeline_flagship"] = WITH + GATED + ", a as (select arg_min(h, event_id) as r from h where gate = 'accepted' group by url) select r.event_id as ord, r.url as url, r.title as title, r.score as verification_score, r.event_date as event_date, r.place as event_location, r.event_mode as event_mode from a where r.url not in (select url from corpus where event_id % 17 = 0) order by r.score desc, r.event_id limit 10"
 on_corpus("listing_page", lambda c: c.select("event_id", C.is_listing(F.concat_ws(" ", F.when(col("event_id") % 6 == 0, "All Events"), "title"), F.repeat(F.concat("d_long", F.lit(" ")), 9), col("event_id") % 2 == 0, F.when(col("event_id") % 4 == 0, "events"), F.lit("")).alias("listing")), "select event_id, event_id % 6 = 0 or event_id % 4 = 0 as listing from corpus")
+
+
+# Reports, state and lookups.
+QUERIES["source_lookup"] = lambda s, d: R.source_by_key(R.sources(s), "luma").unionByName(R.source_by_key(R.sources(s), "missing")).select("key", "name", "url", "type", "enabled", "priority")
+SQL["source_lookup"] = "select 'luma' as key, 'Luma' as name, 'https://lu.ma/' as url, 'events' as type, true as enabled, cast(8 as int) as priority"
+REASON = lambda: F.concat(F.when(col("event_id") % 3 == 0, "Event Listing page ").when(col("event_id") % 3 == 1, "Category of ").otherwise("No date in "), "title")
+by_id("listing_reason", lambda: {"listing": C.is_listing_reason(REASON()), "none": C.is_listing_reason(F.lit(None).cast("string"))}, "event_id % 3 <> 2 as listing, false as none")
+by_id("title_case", lambda: {"shown": T.title_case(F.lower(col("city")))}, "list_aggregate(list_transform(string_split(lower(city), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') as shown")
+on_corpus("result_json", lambda c: B.as_json(c.select("event_id", "title", F.lit("").alias("price"), F.lit(None).cast("string").alias("none"))), "select to_json({'event_id': event_id, 'title': title, 'price': '', 'none': cast(null as varchar)}) as value from corpus")
+on_corpus("size_report", lambda c: B.sizes(c.where("event_id % 3 = 0"), c.where("event_id % 3 = 0").select(U.normalize_url(col("url"))).distinct()), f"select count(*) as raw, count(distinct {BARE}) as unique from corpus where event_id % 3 = 0")
+on_corpus("report_lines", lambda c: B.candidate_lines(c.select("event_id", "title", col("host").alias("source"), col("city").alias("description"), "url"), "event_id"), "select cast(row_number() over (order by event_id) as int) as number, '[' || row_number() over (order by event_id) || '] ' || title || chr(10) || '    Source: ' || host || chr(10) || '    ' || city || chr(10) || '    URL: ' || url as line from corpus order by event_id limit 50")
+on_corpus("event_report", lambda c: c.withColumns({"location": col("city"), "confidence": col("event_id") % 101, "source": col("host"), "published": F.when(col("event_id") % 2 == 0, col("d_long"))}).select("event_id", B.event_lines("event_id").alias("line")), "select event_id, event_id || '. ' || title || chr(10) || '   📍 Location: ' || city || chr(10) || '   ⭐ Confidence: ' || (event_id % 101) || '/100' || chr(10) || '   🌐 Source: ' || host || case when event_id % 2 = 0 then chr(10) || '   📅 Published: ' || d_long else '' end || chr(10) || '   🔗 ' || url as line from corpus")
+on_corpus("delivery_report", lambda c: B.delivery_counts(c.select("url", F.when(col("event_id") % 5 == 0, "blocked").when(col("event_id") % 3 == 0, "failed").otherwise("sent").alias("status"))), "select count(*) as attempted, count(*) filter (where event_id % 5 <> 0 and event_id % 3 <> 0) as sent, count(*) filter (where event_id % 5 <> 0 and event_id % 3 = 0) as failed, count(*) filter (where event_id % 5 = 0) as blocked from corpus")
+on_corpus("state_document", lambda c: W.state_document(c.where("event_id % 17 = 0").select("url")), "select '{\"sent_urls\":[' || string_agg('\"' || url || '\"', ',' order by url) || ']}' as value from (select distinct url from corpus where event_id % 17 = 0)")
+
+# The run, from fetched pages. Each event has a page of its own; the direct sources list them, some of them twice.
+PAGE_URL = "'https://owasp.org/t/' || event_id"
+
+
+def event_pages(c: DataFrame) -> DataFrame:
+    """url, html; every 29th page is missing, a third carries its JSON-LD."""
+    script = F.when(col("event_id") % 3 == 0, F.concat(F.lit('<script type="application/ld+json">'), col("jsonld"), F.lit("</script>"))).otherwise("")
+    html = F.concat(F.lit("<html><head><title>"), col("title"), F.lit("</title>"), script, F.lit("<style>p{}</style></head><body><p>"), col("text"), F.lit("</p></body></html>"))
+    return c.where("event_id % 29 <> 0").select(F.expr(PAGE_URL.replace("|| event_id", "|| cast(event_id as string)")).alias("url"), html.alias("html"))
+
+
+def listing_pages(c: DataFrame) -> DataFrame:
+    """The four direct sources: event_id % 4 tells the page; the second lists every eighth event of the first again."""
+    link = F.concat(F.lit('<section><div><a href="/t/'), col("event_id").cast("string"), F.lit('">'), col("title"), F.lit("</a></div></section>"))
+    own = c.select((col("event_id") % 4).alias("page"), "event_id", link.alias("link")).unionByName(c.where("event_id % 8 = 0").select(F.lit(1).cast("long").alias("page"), "event_id", link.alias("link")))
+    pages = own.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "link"))), lambda x: x["link"]), "").alias("body"))
+    urls = F.array(*[F.lit(r[2]) for r in R.DIRECT])
+    return pages.select(F.get(urls, col("page").cast("int")).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("<body>"), "body", F.lit("</body>")).alias("html"))
+
+
+def candidates_of(c: DataFrame) -> DataFrame:
+    return c.select("event_id", col("event_id").alias("ord"), F.expr(PAGE_URL.replace("|| event_id", "|| cast(event_id as string)")).alias("url"), "title", col("city").alias("description"), col("host").alias("source"))
+
+
+PAGED = f"with corpus0 as ({corpus_sql('duckdb')}), corpus as (select * replace ({PAGE_URL} as url, title || ' ' || text as text) from corpus0) "
+on_corpus("verify_pages", lambda c: verify(candidates_of(c), event_pages(c), TODAY()).select("ord", "reachable", "score", "rejected_reason", "event_date", "event_location", "event_mode", "date_source", "location_source"), None)
+SQL["verify_pages"] = PAGED + f", {FLAGS} select event_id as ord, reachable, score, case when reachable then reason else 'Page could not be reached' end as rejected_reason, case when reachable then event_date else '' end as event_date, case when reachable then place else '' end as event_location, case when reachable then event_mode else 'Offline' end as event_mode, case when not reachable then '' when structured then 'Schema.org' when event_date <> '' then 'Page text' else '' end as date_source, case when not reachable then '' when structured then 'Schema.org' when place <> '' then 'Page text' else '' end as location_source from s"
+TIME_SQL = r"coalesce(nullif(regexp_extract(h.text, '(?i)\b\d{1,2}:\d{2}\s*(?:AM|PM)\b'), ''), nullif(regexp_extract(h.text, '(?i)\b\d{1,2}\s*(?:AM|PM)\b'), ''), regexp_extract(h.text, '\b(?:[01]?\d|2[0-3]):[0-5]\d\b'))"
+on_corpus("event_columns", lambda c: verified_events(durable(verify(candidates_of(c), event_pages(c), TODAY()).drop("text")), TODAY()).withColumn("detected_dates", F.array_join("detected_dates", ",")), None)
+SQL["event_columns"] = PAGED + GATED + rf""" select h.event_id as ord, h.title, h.url, c.host as source, c.city as description, h.title as page_title, h.score as verification_score, h.reg as has_registration, true as has_date, true as has_future_date, h.place <> '' as has_location,
+  h.india as has_india_location, h.event_mode = 'Online' as has_online_signal, array_to_string({DETECTED}, ',') as detected_dates, h.event_date, case when cast(c.d_end as date) - c.d between 0 and 31 and structured then end_date else '' end as event_end_date,
+  case when structured then '09:30' else {TIME_SQL} end as event_time, h.place as event_location, case when structured then 'Hall ' || (h.event_id % 9) else '' end as event_venue, case when structured then h.city else {first_of('h.place', [(x, x.title()) for x in L.longest_first(L.INDIA_CITIES)], chr(39) * 2)} end as event_city,
+  '' as event_state, case when structured then 'India' else '' end as event_country, h.event_mode, case when structured then 'Guild' else trim(regexp_extract(h.text, '(?i)hosted by\s+([^|.\n]{{2,100}})', 1)) end as event_organizer, {first_of('h.text', [(w, w.title()) for w in L.PAGE_TYPES], "'Event'")} as event_type,
+  case when structured then 'INR ' || (h.event_id % 700) else {PRICE_SQL.replace('text', 'h.text')} end as event_price, '' as registration_url, h.url as event_url, left(h.text, 1000) as event_description, true as is_today from h join corpus c using (event_id) where gate = 'accepted'"""
+COLLECTED = f"""k as (select *, p.origin || '/t/' || event_id as link from corpus0 join (values (0, 'https://owasp.org', 'OWASP'), (1, 'https://owasp.org', 'OWASP'), (2, 'https://null.community', 'Null Community'), (3, 'https://www.securitybsides.com', 'BSides')) p(page, origin, name) on event_id % 4 = p.page or p.page = 1 and event_id % 8 = 0),
+  r as (select event_id, title, link, page, name,
+    {word("title || ' ' || title || ' ' || link", ['india', *L.COLLECT_CITIES, *L.COLLECT_STATES])} and {any_of("title || ' ' || title || ' ' || link", L.COLLECT_TOPICS)} and {any_of("title || ' ' || title || ' ' || link", L.COLLECT_TYPES)} as kept,
+    {COLLECT} as place from k)"""
+on_corpus("collect_run", lambda c: collect_all(c.sparkSession, listing_pages(c))[1].select("source", "title", "url", "description"), None)
+SQL["collect_run"] = PAGED + f", {COLLECTED} select min(name) as source, min(title) as title, case event_id % 4 when 2 then 'https://null.community' when 3 then 'https://www.securitybsides.com' else 'https://owasp.org' end || '/t/' || event_id as url, min('Detected location: ' || place || ' Platform: Other') as description from r where kept group by event_id"
+
+
+def feeds_of(c: DataFrame) -> DataFrame:
+    """A feed of thirty items to a query."""
+    item = F.concat(F.lit("<item><title>"), col("title"), F.lit("</title><link>"), col("url"), F.lit("</link><description>"), col("snippet"), F.lit("</description><pubDate>"), col("d_long"), F.lit("</pubDate></item>"))
+    rows = c.select(F.floor(col("event_id") / 30).alias("q"), F.struct("event_id", item.alias("item")).alias("x")).groupBy("q").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    return rows.select("q", F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("xs", lambda x: x["item"]), ""), F.lit("</channel></rss>")).alias("xml"))
+
+
+on_corpus("feed_run", lambda c: G.feed_events(feed_items(feeds_of(c)).withColumn("ord", col("q") * 30 + col("pos"))).select("ord", "title", "confidence", "location", "source", "published", "place"), None)
+SQL["feed_run"] = f"with corpus0 as ({corpus_sql('duckdb')}), corpus as (select * from corpus0 where event_id % 30 < 20), {LOCATED}, f as (select *, {CONFIDENCE} as confidence from l where {any_of(BOTH, L.LEX_TOPICS)} and {any_of(BOTH, L.RSS_EVENT_WORDS)} and location <> 'Unknown') select arg_max(event_id, (confidence, -event_id)) as ord, arg_max(title, (confidence, -event_id)) as title, max(confidence) as confidence, arg_max(location, (confidence, -event_id)) as location, arg_max({DOMAIN}, (confidence, -event_id)) as source, arg_max(d_long, (confidence, -event_id)) as published, min(event_id) as place from f group by {BARE}"
+
+
+def whole_run(c: DataFrame) -> DataFrame:
+    """A run over the listings, with a sender that refuses every message whose event is free: what it counted."""
+    spark = c.sparkSession
+    pages = event_pages(c)
+    hosts = F.when(col("url").rlike("/t/[0-9]*[02468]$"), col("url"))
+    odd = pages.where(hosts.isNull()).withColumn("url", F.when(F.regexp_extract("url", "([0-9]+)$", 1).cast("long") % 4 == 3, F.replace("url", F.lit("owasp.org"), F.lit("www.securitybsides.com"))).otherwise(col("url")))
+    even = pages.where(hosts.isNotNull()).withColumn("url", F.when(F.regexp_extract("url", "([0-9]+)$", 1).cast("long") % 4 == 2, F.replace("url", F.lit("owasp.org"), F.lit("null.community"))).otherwise(col("url")))
+    sent = c.where("event_id % 17 = 0").select(F.expr(PAGE_URL.replace("|| event_id", "|| cast(event_id as string)")).alias("url"))
+    run = run_pipeline(spark, listing_pages(c), odd.unionByName(even), sent, TODAY(), lambda text: {"ok": "Free" not in text}, pause=0)
+    accepted = run.gates.agg(F.coalesce(F.sum(F.when(col("gate") == "accepted", col("n"))), F.lit(0)).alias("accepted"))
+    one = run.sizes.select(F.lit(1).alias("k"), "*").join(run.deliveries.select(F.lit(1).alias("k"), "*"), "k").join(accepted.select(F.lit(1).alias("k"), "*"), "k")
+    return one.select("raw", "unique", "accepted", "attempted", "sent", "failed", "blocked")
+
+
+on_corpus("whole_run", whole_run, None)
+SQL["whole_run"] = PAGED.replace(PAGE_URL, "case event_id % 4 when 2 then 'https://null.community' when 3 then 'https://www.securitybsides.com' else 'https://owasp.org' end || '/t/' || event_id") + GATED + f""", {COLLECTED}, u as (select event_id, min(page) as page from r where kept group by event_id),
+  a as (select h.*, {PRICE_SQL.replace('text', 'h.text')} as cost, u.page from h join u using (event_id) where gate = 'accepted'),
+  b as (select * from a where not (event_id % 17 = 0 and event_id % 4 < 2) order by score desc, page, event_id limit 10)
+  select (select count(*) from r where kept) as raw, (select count(*) from u) as unique, (select count(*) from a) as accepted, (select count(*) from b) as attempted, (select count(*) from b where not (not structured and cost = 'Free')) as sent, (select count(*) from b where not structured and cost = 'Free') as failed, 0 as blocked"""

@@ -19,7 +19,6 @@ DIRECT = [
     ("null", "Null Community", "https://null.community/", "Null Community", True),
     ("bsides", "Security BSides", "https://www.securitybsides.com/", "BSides", True),
 ]
-SETTINGS = {"request_timeout": 20, "request_delay_seconds": 1, "max_results_per_query": 20, "max_events_per_source": 100, "max_pages_per_source": 10, "respect_robots_txt": True, "follow_external_links": False}
 EVENT_FIELDS = "title date time start_date end_date city state location venue organizer event_type price description registration_url event_url source_url source published".split()
 
 
@@ -33,7 +32,13 @@ def sources(spark: SparkSession) -> DataFrame:
 
 
 def direct_sources(spark: SparkSession) -> DataFrame:
-    return _frame(spark, DIRECT, ["key", "name", "url", "source", "enabled"])
+    """The pages that are read directly, numbered in their order."""
+    return _frame(spark, [(n, *r) for n, r in enumerate(DIRECT)], ["ord", "key", "name", "url", "source", "enabled"])
+
+
+def source_by_key(df: DataFrame, key: str) -> DataFrame:
+    """The row of a source key; no row if there is none."""
+    return df.where(F.col("key") == key)
 
 
 def enabled(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,5 +29,21 @@ def state_document(urls: DataFrame) -> DataFrame:
     return urls.agg(F.to_json(F.struct(listed.alias("sent_urls"))).alias("value"))
 
 
+def write_state(urls: DataFrame, path: str) -> bool:
+    """The state as an indented JSON file on any file system that the session reaches; False if it could not be written."""
+    spark = urls.sparkSession
+    text = json.dumps(json.loads(state_document(urls).first().value), indent=2, ensure_ascii=False)
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return True
+    except Py4JJavaError:
+        return False
+
+
 def save_state(urls: DataFrame, path: str) -> None:
     urls.select("url").where("url is not null and url <> ''").distinct().write.mode("append").parquet(path)
