@@ -148,12 +148,15 @@ def read_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sure_patterns(places: DataFrame, rounds: int = 3, kept: float = 0.5, sure: float = 0.8, doubt: float = 3.0) -> DataFrame:
-    """(pattern, kind) of score ``sure`` or more, from rows (pattern, instance, kind; -1 if no base rule matched).
+    """(pattern, kind) of score ``sure`` or more, from rows (pattern, instance, kind; -1 if no rule matched).
+
+    An instance that a rule matched anywhere is a seed wherever it stands, so it teaches its other patterns.
 
     A score is the sum of its instances' beliefs over their number plus ``doubt``, so a pattern needs a dozen instances
     that agree. Patterns below ``kept`` tell their instances nothing in the next turn.
     """
-    edges = durable(places.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
+    met = durable(places.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
+    edges = durable(met.drop("seed").join(met.groupBy("instance").agg(F.max("seed").alias("seed")), "instance"))
     size = edges.groupBy("pattern").agg((F.count("*") + doubt).alias("n"))
     belief = edges.where("seed >= 0").select("pattern", "instance", F.col("seed").alias("kind"), F.lit(1.0).alias("p"))
     unknown = edges.where("seed < 0").select("pattern", "instance")
