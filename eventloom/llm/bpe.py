@@ -62,11 +62,11 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
 
 class RankMap:
     """The rank map as literals: entries of pairs of ids, placed without collisions by displacements of their buckets, and
-    a plain table of the pairs of bytes."""
+    a plain table of the pairs of bytes. A plan should name each but once: the driver keeps its plans as text, too."""
 
     def __init__(self, ranks: dict[bytes, int]):
         pairs = pair_ranks(ranks)
-        self.size, self.buckets = _prime(2 * len(pairs) + 16), _prime(len(pairs) // 2 + 4)
+        self.size, self.buckets = _prime(len(pairs) * 4 // 3 + 16), _prime(len(pairs) // 3 + 4)
         self.entries, self.moves = [EMPTY] * self.size, [0] * self.buckets
         held: list[list[int]] = [[] for _ in range(self.buckets)]
         for key in pairs:
@@ -118,10 +118,10 @@ def encode_word(letters: Column, ranks: RankMap) -> Column:
     def merge(acc: Column, _: Column) -> Column:
         def at(k: Column) -> Column:  # the place of the pair's left piece, from 0; its right one is the next
             def moved(x: Column, i: Column) -> Column:
-                before = ranks.rank(entries, moves, x % SIDE * SIDE + F.shiftright(F.get(acc, k), 28)) * RANK + x % RANK
-                new = F.shiftright(x, 28)
-                joined = ranks.rank(entries, moves, new * SIDE + F.get(acc, k + 2) % SIDE) * RANK + x % RANK - x % SIDE + new
-                return F.when(i < k - 1, x).when(i > k + 1, x).when(i == k, joined).when(i < k, before).otherwise(F.lit(GONE))
+                new, joined = F.shiftright(F.get(acc, k), 28), i == k
+                key = F.when(joined, new * SIDE + F.get(acc, k + 2) % SIDE).otherwise(x % SIDE * SIDE + new)
+                ranked = let(key, lambda y: ranks.rank(entries, moves, y) * RANK + F.when(joined, x % RANK - x % SIDE + new).otherwise(x % RANK))
+                return F.when(i < k - 1, x).when(i > k + 1, x).when(i > k, F.lit(GONE)).otherwise(ranked)
 
             return F.when(F.get(acc, k) >= NONE * RANK, acc).otherwise(F.array_remove(F.transform(acc, moved), F.lit(GONE)))
 
