@@ -12,8 +12,8 @@ HUBS = 5_000
 TASK_EDGES = 2_000_000  # edges that a task holds with ease, should they all be one node's
 
 
-def least_neighbours(edges: DataFrame, count: int, task_edges: int) -> DataFrame:
-    """``edges`` (a, b), at most ``count``, each with m, the least of a and its neighbours.
+def least_neighbours(edges: DataFrame, count: int, task_edges: int) -> tuple[DataFrame, DataFrame]:
+    """(a, m), the least of each a and its neighbours, and ``edges`` (a, b), at most ``count``, each with the m of its a.
 
     Minima are summed before the shuffle, so a hub costs a row a task. Where a node could have more edges than a task
     should hold, hubs are taken apart: nodes with over ``count / HUBS`` edges. There are at most HUBS of them, however
@@ -22,11 +22,12 @@ def least_neighbours(edges: DataFrame, count: int, task_edges: int) -> DataFrame
     """
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("a", "m"))
     if count <= task_edges:
-        return edges.join(least.drop("degree"), "a")
+        least = least.drop("degree")
+        return least, edges.join(least, "a")
     least, limit = durable(least), count // HUBS
     hubs = F.broadcast(least.where(F.col("degree") > limit).select("a", "m"))
     others = edges.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("degree") <= limit).select("a", "m"), "a")
-    return edges.join(hubs, "a").unionByName(others)
+    return least.drop("degree"), edges.join(hubs, "a").unionByName(others)
 
 
 def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -43,7 +44,7 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         seen, count = state, 2 * state[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = least_neighbours(both, count, task_edges).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = least_neighbours(both, count, task_edges)[1].where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = large if count <= task_edges else durable(large)
-        hung = least_neighbours(large, count, task_edges)
-        now = durable(hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(hung.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        low, hung = least_neighbours(large, count, task_edges)
+        now = durable(hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
