@@ -96,15 +96,25 @@ def is_web(url: Column) -> Column:
     return text_of(url).rlike(r"(?i)^https?://")
 
 
+def _joined(base: str | None, ref: str | None) -> str | None:
+    try:
+        return urljoin(base or "", (ref or "").strip())
+    except ValueError:
+        return None
+
+
 def _resolved(base: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([_joined(b, r) for b, r in zip(base, ref, strict=True)], dtype=object)
+
+
+def _first_resolved(base: pd.Series, refs: pd.Series) -> pd.Series:
+    web = lambda u: (u or "").lower().startswith(("http://", "https://"))
+    return pd.Series([next((u for r in (() if rs is None else rs) if web(u := _joined(b, r))), "") for b, rs in zip(base, refs, strict=True)], dtype=object)
 
-    def one(b, r):
-        try:
-            return urljoin(b or "", (r or "").strip())
-        except ValueError:
-            return None
 
-    return pd.Series([one(b, r) for b, r in zip(base, ref, strict=True)], dtype=object)
+def first_resolved(base: Column, refs: Column) -> Column:
+    """The first of several references that resolves to a web address; empty if none."""
+    return F.pandas_udf(_first_resolved, StringType()).asNondeterministic()(base, refs)
 
 
 def resolved(base: Column, ref: Column) -> Column:

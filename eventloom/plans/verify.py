@@ -59,17 +59,17 @@ def signals(rows: DataFrame, as_of: Column) -> DataFrame:
 def verify(candidates: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     """Candidates (url, ...) left joined to pages (url, html); a page that is missing is not reachable.
     Every detector reads the whole text; the text column that is kept ends after ``STORED_TEXT`` characters."""
-    from eventloom.functions.urls import is_web, resolved
+    from eventloom.functions.urls import first_resolved
 
     final = F.col("final_url") if "final_url" in pages.columns else F.col("url")
     missing = [F.lit("").alias(c) for c in ("title", "description", "source") if c not in candidates.columns]
     known = candidates.select("*", *missing).withColumnsRenamed({"title": "candidate_title", "description": "candidate_description"})
     joined = known.join(pages.select("url", final.alias("final_url"), "html"), "url", "left").withColumn("page", H.parse_html("html"))
-    first = F.get(F.filter("page.links", lambda x: F.lower(x["text"]).rlike("|".join(C.L.REGISTER_LABELS))), F.lit(0))
+    labelled = F.transform(F.filter("page.links", lambda x: F.lower(x["text"]).rlike("|".join(C.L.REGISTER_LABELS))), lambda x: x["href"])
     rows = joined.withColumns({
         "reachable": F.col("html").isNotNull(), "title": present(F.col("page.title"), F.col("page.og_title"), F.col("candidate_title")), "text": text_of(F.col("page.text")), "og_description": F.col("page.og_description"),
-        "description": F.col("page.description"), "event": H.event_object(F.col("page.objects")), "registration_url": F.coalesce(F.when(first.isNotNull(), resolved(F.coalesce("final_url", "url"), first["href"])), F.lit("")),
-    }).withColumn("registration_url", F.when(is_web(F.col("registration_url")), F.col("registration_url")).otherwise(""))
+        "description": F.col("page.description"), "event": H.event_object(F.col("page.objects")), "registration_url": first_resolved(F.coalesce("final_url", "url"), labelled),
+    })
     return signals(rows.drop("page", "html"), as_of).withColumn("text", F.left("text", F.lit(STORED_TEXT)))
 
 

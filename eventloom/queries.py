@@ -379,3 +379,38 @@ SQL["whole_run"] = PAGED.replace(PAGE_URL, "case event_id % 4 when 2 then 'https
   a as (select h.*, {PRICE_SQL.replace('text', 'h.text')} as cost, u.page from h join u using (event_id) where gate = 'accepted'),
   b as (select * from a where not (event_id % 17 = 0 and event_id % 4 < 2) order by score desc, page, event_id limit 10)
   select (select count(*) from r where kept) as raw, (select count(*) from u) as unique, (select count(*) from a) as accepted, (select count(*) from b) as attempted, (select count(*) from b where not (not structured and cost = 'Free')) as sent, (select count(*) from b where not structured and cost = 'Free') as failed, 0 as blocked"""
+
+
+# Forms that the corpus itself does not write: each spelling of a place, organiser, price and kind, listing pages and links.
+def form(*values: str):
+    """One of several texts by event_id; {} is the title."""
+    parts = [F.replace(F.lit(v), F.lit("{}"), col("title")) for v in values]
+    return F.get(F.array(*parts), (col("event_id") % len(values)).cast("int"))
+
+
+def form_sql(*values: str) -> str:
+    return f"case event_id % {len(values)} " + " ".join(f"when {k} then replace({q(v)}, '{{}}', title)" for k, v in enumerate(values)) + " end"
+
+
+by_id("organizer_forms", lambda: {"organizer": C.organizer_of(form("", "n/a", " The  Guild ", "", ""), form("Organizer: {}. More", "was organised by {}|x", "hosted by us", "organized by {}", "nobody"))}, form_sql("{}", "{}", "The Guild", "{}", "") + " as organizer")
+by_id("place_forms", lambda: {"place": C.place_in_text(form("Venue - Hall {} | x", "It is held at Hall {}. More", "Taking place at Hall {}", "See you at Hall 3, Pune now", "nowhere"))}, form_sql("Venue - Hall {}", "held at Hall {}", "Taking place at Hall {}", "at Hall 3, Pune", "") + " as place")
+by_id("price_forms", lambda: {"cost": C.price_of_page(form("120", "0", "ask", "", "n/a"), form("INR", "USD", "INR", "", "EUR"), form("x", "x", "Rs. 1,500 now", "250 EUR", "a free event"))}, form_sql("INR 120", "USD 0", "Rs. 1,500", "250 EUR", "Free") + " as cost")
+by_id("type_forms", lambda: {"kind": C.type_of_page(form("Summit", "event", "EVENT", "", "none"), form("a webinar", "a Job workshop", "no kind", "Panel", "fireside TALK"))}, form_sql("Summit", "Workshop", "Event", "Panel", "Talk") + " as kind")
+
+
+def listings_of(c: DataFrame) -> DataFrame:
+    """What verification says of pages that list events."""
+    rows = c.select("event_id", "url", F.concat(F.lit("Upcoming Events: "), "title").alias("title"), "text", F.lit("").alias("description"), F.lit("").alias("og_description"), F.lit(True).alias("reachable"), H.event_object(F.array("jsonld")).alias("event"), F.lit("").alias("registration_url"))
+    return signals(rows.withColumn("event", F.when(col("event_id") % 2 == 0, F.regexp_replace("event", '"name":"[^"]*"', '"name":"All Events"'))), TODAY())
+
+
+on_corpus("listing_reset", lambda c: listings_of(c).select("event_id", "rejected_reason", "score", "event_date", "event_end_date", F.size("detected_dates").alias("n_dates"), "is_event_page"), "select event_id, 'Event listing/index/category page rather than a single individual event' as rejected_reason, cast(0 as int) as score, '' as event_date, '' as event_end_date, cast(0 as int) as n_dates, false as is_event_page from corpus")
+
+
+def linked_pages(c: DataFrame) -> DataFrame:
+    links = form('<a href="/about">About</a><a href="/r?{}">RSVP here</a>'.replace("{}", "x"), '<a href="mailto:a@b.org">Register</a><a href="https://lu.ma/z">Get <b>Tickets</b></a>', '<a href="http://[bad">Sign up</a>', '<a href="#top">Attend</a>', "<a>Register</a>")
+    return c.select(F.expr(PAGE_URL.replace("|| event_id", "|| cast(event_id as string)")).alias("url"), F.concat(F.lit("<title>"), "title", F.lit("</title><p>"), "text", F.lit("</p>"), links).alias("html"))
+
+
+on_corpus("registration_link", lambda c: verify(candidates_of(c), linked_pages(c), TODAY()).select("ord", "registration_url", "has_registration"), None)
+SQL["registration_link"] = PAGED + f"select event_id as ord, {form_sql('https://owasp.org/r?x', 'https://lu.ma/z', '', '#', '').replace(q('#'), 'url || ' + q('#top'))} as registration_url, event_id % 5 in (0, 1, 3) or regexp_matches(text || case event_id % 5 when 2 then ' Sign up' when 4 then ' Register' else '' end, '(?i)\\b(register|registration|rsvp|tickets|sign up|reserve|join event)\\b') as has_registration from corpus"
