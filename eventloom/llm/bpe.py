@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import bounded, table, tidy
 
 LONG = 256
 TASK_BYTES = 64_000_000
@@ -182,6 +182,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    tidy(docs.sparkSession)
 
     def numbered(batches):
         split, numbers = regex.compile(pattern), _Numbers()

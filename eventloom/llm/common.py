@@ -47,7 +47,15 @@ def durable(df: DataFrame) -> DataFrame:
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's collector run. Spark drops the files of shuffles and broadcasts that nothing refers to any more
+    only after it has; between the steps of an iterative operator that keeps their disk and the driver's heap small."""
+    spark.sparkContext._jvm.System.gc()
 
 
 SLICE_ROWS, SLICE_BYTES = 4096, 8_000_000
