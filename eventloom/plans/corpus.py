@@ -47,7 +47,7 @@ from (select *, topic || ' ' || format || ' ' || city as title,
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, title, text, snippet, url, jsonld and their ingredients."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").repartition(spark.sparkContext.defaultParallelism)  # one small file, costly rows
     name = "eventloom_events"
     events.createOrReplaceTempView(name)
     return spark.sql(corpus_sql("spark", name).replace("varchar(9)", "string").replace("varchar(19)", "string"))
