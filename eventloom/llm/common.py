@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,13 @@ def arrow_map(df: DataFrame, rows: Callable[[list], Iterator[tuple]], schema: st
     return bounded(df).mapInArrow(run, schema)
 
 
+def list_array(flat: np.ndarray, sizes: list[int], kind: pa.DataType = pa.int32()) -> pa.Array:
+    """Lists of ``sizes`` cut from flat values."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+
+
 def row_key(*columns: str) -> Column:
     """A key that is never null and equal only for equal rows: 128 bits of two seeded hashes."""
     return F.concat_ws("-", F.hex(F.xxhash64(*columns)), F.hex(F.xxhash64(F.lit(7), *columns)))

@@ -13,6 +13,7 @@ from .leaks import OP8_SQL, op8_leaks
 from .licences import op10_licences
 from .pages import op7_pages
 from .privacy import op5_private
+from .sentence import op12_sentence
 from .shards import op9_shards
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op1_toxicity
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_leaks": op8_leaks,
     "op9_shards": op9_shards,
     "op10_licences": op10_licences,
+    "op12_sentence": op12_sentence,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op6_copies": OP6_SQL, "op8_leaks": OP8_SQL}
