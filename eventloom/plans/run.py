@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import report
 from eventloom.operators.durable import durable
-from eventloom.operators.select import gate_counts, not_sent, top_rows
+from eventloom.operators.select import gate_counts, top_rows
 from eventloom.operators.sink import PAUSE, delivery_results
 from eventloom.sources import registry
+from eventloom.sources.sent import reject
 from eventloom.sources.state import write_state
 from eventloom.plans.collect import link_candidates, page_links, unique_candidates
 from eventloom.plans.pipeline import ALERTS, gated, verified_events
@@ -49,10 +50,10 @@ def run_pipeline(spark: SparkSession, listings: DataFrame, pages: DataFrame, sen
     """Collect from ``listings``, verify against ``pages``, deliver at most ``limit`` new events of ``today`` and, with
     ``state``, write what was delivered so far to that file. Each table that is read twice is written once."""
     raw, unique = collect_all(spark, listings)
-    candidates = durable(unique.withColumn("ord", F.col("at.ord") * F.lit(1_000_000).cast("long") + F.col("at.pos")).drop("at"))
+    candidates = durable(unique.withColumnRenamed("at", "ord"))
     verified = durable(verify(candidates, pages, today))
     events = durable(verified_events(verified, today))
-    fresh = top_rows(not_sent(events, sent), "verification_score", "ord", limit)
+    fresh = top_rows(reject(events, sent), "verification_score", "ord", limit)
     results = delivery_results(fresh, send, pause)
     delivered = [u for u, status in results if status == "sent"]
     if state and results:

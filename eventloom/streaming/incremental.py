@@ -1,41 +1,54 @@
-"""Incremental runs: each micro-batch delivers what the state table lacks, then adds what was delivered. A crash between
-the two delivers again, as a batch run does."""
+"""Incremental runs: each micro-batch, and each run that finds nothing new, is a step of the ledger."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from eventloom.operators.select import first_per_key, not_sent, top_rows
-from eventloom.operators.sink import PAUSE, send_alerts
+from eventloom.operators.sink import PAUSE
 from eventloom.plans.pipeline import ALERTS
-from eventloom.sources.state import save_state
+from eventloom.sources import files
+from eventloom.streaming.ledger import DONE, Ledger
 
 
 def state_table(spark: SparkSession, path: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema("url string").parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], "url string")
+    """The urls that the ledger at ``path`` has sent."""
+    return Ledger(spark, path).sent().where(f"status = '{DONE}'").select("url")
 
 
 def deliver_new(batch: DataFrame, state: str, send: Callable[[str], dict | None], limit: int = ALERTS, pause: float = PAUSE) -> list[str]:
-    """Deliver a batch's best new events; only what was delivered enters the state, and nothing new writes nothing."""
-    spark = batch.sparkSession
-    fresh = not_sent(first_per_key(batch, batch["url"], "ord"), state_table(spark, state))
-    sent = send_alerts(top_rows(fresh, "verification_score", "ord", limit), send, limit, pause)
-    if sent:
-        save_state(spark.createDataFrame([(u,) for u in sent], "url string"), state)
-    return sent
-
-
-def run_stream(events: DataFrame, state: str, checkpoint: str, send: Callable[[str], dict | None], limit: int = ALERTS, pause: float = PAUSE) -> StreamingQuery:
-    """Work off what is there and stop; the rest of a batch over the limit stays undelivered until it is seen again."""
-    return events.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: deliver_new(b, state, send, limit, pause)).start()
+    """Deliver the best of a batch's new events and of those that wait; what is left waits in the ledger."""
+    return [u for u, status in Ledger(batch.sparkSession, state).deliver(batch, send, limit, pause=pause) if status == DONE]
+
+
+class IncrementalRun:
+    """A started run. Once its stream is worked off, a run that saw no micro-batch takes a step over the backlog."""
+
+    def __init__(self, query: StreamingQuery, ledger: Ledger, began: int, step: Callable[[], object]):
+        self.query, self._ledger, self._began, self._step = query, ledger, began, step
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:  # noqa: N802 (as StreamingQuery has it)
+        ended = self.query.awaitTermination(timeout) if timeout else self.query.awaitTermination()
+        if not self.query.isActive and self._ledger.last()[0] == self._began:
+            self._step()
+        return ended
+
+
+def run_stream(events: DataFrame, state: str, checkpoint: str, send: Callable[[str], dict | None], limit: int = ALERTS, pause: float = PAUSE) -> IncrementalRun:
+    """Work off what is there and stop. Events over the limit, and events whose delivery failed, wait in the ledger and
+    go out in later runs, whether or not the source shows them again; a micro-batch that is replayed sends nothing twice."""
+    ledger = Ledger(events.sparkSession, state)
+
+    def step(batch: DataFrame, number: int) -> None:
+        stream = json.loads(files.get(events.sparkSession, f"{checkpoint}/metadata"))["id"]
+        Ledger(batch.sparkSession, state).deliver(batch, send, limit, (stream, number), pause=pause)
+
+    began = ledger.last()[0]
+    query = events.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(step).start()
+    return IncrementalRun(query, ledger, began, lambda: ledger.deliver(None, send, limit, pause=pause))
 
 
 def first_seen(events: DataFrame, time: str, key: str = "url", delay: str = "30 days") -> DataFrame:
