@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom import queries_streams
+from eventloom import queries_streams, queries_tables
 from eventloom.functions import classify as C
 from eventloom.functions import dates as D
 from eventloom.functions import html as H
@@ -416,6 +416,6 @@ def linked_pages(c: DataFrame) -> DataFrame:
 on_corpus("registration_link", lambda c: verify(candidates_of(c), linked_pages(c), TODAY()).select("ord", "registration_url", "has_registration"), None)
 SQL["registration_link"] = PAGED + f"select event_id as ord, {form_sql('https://owasp.org/r?x', 'https://lu.ma/z', '', '#', '').replace(q('#'), 'url || ' + q('#top'))} as registration_url, event_id % 5 in (0, 1, 3) or regexp_matches(text || case event_id % 5 when 2 then ' Sign up' when 4 then ' Register' else '' end, '(?i)\\b(register|registration|rsvp|tickets|sign up|reserve|join event)\\b') as has_registration from corpus"
 
-# Streams and state between runs.
-QUERIES |= queries_streams.QUERIES
-SQL |= queries_streams.SQL
+# Streams and state between runs; tables of terms and domains.
+QUERIES |= queries_streams.QUERIES | queries_tables.QUERIES
+SQL |= queries_streams.SQL | queries_tables.SQL
