@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .jsonld import first_event, walk
 from .text import let, meaningful, present
 
 UNSEEN = ("script", "style", "noscript", "svg", "template")
@@ -88,24 +88,14 @@ class _Page(HTMLParser):
 
 def flatten(value) -> list[dict]:
     """Every object in a JSON-LD value: those of a graph before it and again in their place."""
-    if isinstance(value, list):
-        return [x for v in value for x in flatten(v)]
-    if not isinstance(value, dict):
-        return []
-    graph = flatten(value["@graph"]) if "@graph" in value else []
-    return graph + [value] + [x for v in value.values() if isinstance(v, (dict, list)) for x in flatten(v)]
+    return list(walk(value)) if isinstance(value, (dict, list)) else []
 
 
 def parse(html: str | None) -> dict:
     p = _Page()
     p.feed(html or "")
     p.close()
-    objects = []
-    for s in p.scripts:
-        try:
-            objects += flatten(json.loads(s))
-        except ValueError:
-            continue
+    event = first_event(p.scripts)
     links = []
     held: dict[tuple[int, int], str] = {}  # links of a container share its text
     for x in p.links:
@@ -116,7 +106,7 @@ def parse(html: str | None) -> dict:
         links.append({"text": " ".join(x["parts"]), "href": x["href"], "context": max((held[s] for s in spans), key=len)})
     return {
         "title": " ".join("".join(p.title or []).split()), "text": " ".join(p.parts), "description": p.meta.get("description", ""), "og_description": p.meta.get("og:description", ""),
-        "og_title": p.meta.get("og:title", ""), "links": links, "objects": [json.dumps(o, ensure_ascii=False) for o in objects],
+        "og_title": p.meta.get("og:title", ""), "links": links, "objects": [] if event is None else [event],
     }
 
 

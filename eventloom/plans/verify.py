@@ -68,7 +68,7 @@ def verify(candidates: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     labelled = F.transform(F.filter("page.links", lambda x: F.lower(x["text"]).rlike("|".join(C.L.REGISTER_LABELS))), lambda x: x["href"])
     rows = joined.withColumns({
         "reachable": F.col("html").isNotNull(), "title": present(F.col("page.title"), F.col("page.og_title"), F.col("candidate_title")), "text": text_of(F.col("page.text")), "og_description": F.col("page.og_description"),
-        "description": F.col("page.description"), "event": H.event_object(F.col("page.objects")), "registration_url": first_resolved(F.coalesce("final_url", "url"), labelled),
+        "description": F.col("page.description"), "event": F.get("page.objects", F.lit(0)), "registration_url": first_resolved(F.coalesce("final_url", "url"), labelled),
     })
     return signals(rows.drop("page", "html"), as_of).withColumn("text", F.left("text", F.lit(STORED_TEXT)))
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions import html as H
 from eventloom.functions import urls as U
+from eventloom.functions.jsonld import typed_objects
+from eventloom.functions.sql import register
 from eventloom.operators import lexicon_join as J
 from eventloom.operators.suffix_join import suffix_join
 
@@ -89,9 +92,62 @@ domains as (
 select page_id, coalesce(domain, '') as domain, cast(coalesce(score, 5) as int) as score from hosts left join best using (page_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"lexicon_terms": lexicon_terms, "lexicon_longest": lexicon_longest, "domain_trust": domain_trust}
+# JSON-LD in shapes that nest: objects in lists in objects, a graph beside members, lists of types, broken text.
+SHAPES = [
+    '{"@type":"Thing","n":"#a","sub":{"@type":"Place","n":"#b","deep":[{"x":1},{"@type":"Event","n":"#c"}]},"list":[[{"@type":"T","n":"#d"}]]}',
+    '{"@graph":[{"@type":"WebPage","n":"#a"},{"@type":["X","MusicEvent"],"n":"#b","in":{"@type":"Event","n":"#c"}}],"@type":"Root","n":"#d","m":{"@type":"Y","n":"#e"}}',
+    '[{"n":"#no type","in":{"@type":"Z","n":"#a"}},{"@type":"business event","n":"#b"},7,{"@type":"Event","n":"#c"}]',
+    '{"@type":"Event","n":"#a"',
+    '{"@type":"Eventful","n":"#a","list":[{"@type":[],"n":"#b"},{"@type":null,"n":"#c"}]}',
+]
+
+
+def _shaped() -> str:
+    whens = " ".join(f"when {i} then '{x}'" for i, x in enumerate(SHAPES))
+    return f"select event_id, replace(case event_id % {len(SHAPES)} {whens} end, '#', cast(event_id as varchar(19))) as j from events"
+
+
+def jsonld_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed objects of nested JSON-LD in order, and the first event among them, as a page's script holds it."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").createOrReplaceTempView("eventloom_shapes")
+    rows = spark.sql(_shaped().replace("varchar(19)", "string").replace("from events", "from eventloom_shapes"))
+    page = H.parse_html(F.concat(F.lit('<p>x</p><script type="application/ld+json">'), "j", F.lit("</script>")))
+    names = F.array_join(F.transform(typed_objects("j"), lambda m: m["n"]), ",")
+    return rows.withColumn("page", page).select("event_id", F.coalesce(names, F.lit("broken")).alias("names"), F.coalesce(F.get_json_object(F.get("page.objects", F.lit(0)), "$.n"), F.lit("")).alias("event"))
+
+
+JSONLD_SQL = f"""
+with shaped as ({_shaped()}), tree as (
+  select event_id, t.id, t.fullkey, t.value from shaped, json_tree(case when json_valid(j) then j else '[]' end) as t where t.type = 'OBJECT'
+), typed as (
+  select event_id, row_number() over (partition by event_id order by case when contains(fullkey, '@graph') then 0 else 1 end, id) as place,
+    json_extract_string(value, '$.n') as n, lower(cast(json_extract(value, '$."@type"') as varchar)) as kind
+  from tree where list_contains(json_keys(value), '@type')
+)
+select event_id, case when json_valid(any_value(j)) then coalesce(string_agg(n, ',' order by place), '') else 'broken' end as names,
+  coalesce(arg_min(n, place) filter (where regexp_matches(kind, 'event"')), '') as event
+from shaped left join typed using (event_id) group by event_id
+"""
+
+
+def sql_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of pages by SQL alone: a table function beside each row."""
+    register(spark)
+    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("eventloom_pages")
+    return spark.sql("select p.page_id, l.pos, l.href, absolute_url(p.url, l.href) = l.url as same, plain_text(l.label) as label from eventloom_pages p, lateral extract_links(p.html, p.url) l")
+
+
+LINKS_SQL = r"""
+with m as (select page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') as found from pages),
+a as (select page_id, unnest(found) as a, unnest(range(len(found))) as pos from m)
+select page_id, cast(pos as int) as pos, regexp_extract(a, '"([^"]*)"', 1) as href, true as same, regexp_extract(a, '>([^<]*)<', 1) as label from a
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"lexicon_terms": lexicon_terms, "lexicon_longest": lexicon_longest, "domain_trust": domain_trust, "jsonld_nested": jsonld_nested, "sql_links": sql_links}
 SQL: dict[str, str] = {
     "lexicon_terms": WORDS_SQL + "select doc_id, term, count(*) as n, min(place) as first_at, cast(sum(place) as bigint) as sum_at from placed join lexicon on word = term group by doc_id, term",
     "lexicon_longest": _longest_sql(),
     "domain_trust": DOMAIN_SQL,
+    "jsonld_nested": JSONLD_SQL,
+    "sql_links": LINKS_SQL,
 }
