@@ -144,6 +144,11 @@ def price_of_page(price: Column, currency: Column, text: Column) -> Column:
     return F.coalesce(F.get(F.filter(hits, lambda h: h.rlike(r"\d")), F.lit(0)), F.when(t.rlike(FREE), "Free"), F.lit("Not specified"))
 
 
+def sane_price(price: Column) -> Column:
+    """A currency without an amount says nothing."""
+    return F.when(F.lower(F.trim(price)).isin(L.BARE_CURRENCIES), "Not specified").otherwise(price)
+
+
 def price_lex(text: Column) -> Column:
     return F.when(L.contains_any(text, L.LEX_FREE), "Free").when(L.contains_any(text, L.LEX_PAID), "Paid / Check event page").otherwise("")
 

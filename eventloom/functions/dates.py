@@ -105,6 +105,11 @@ def is_upcoming(text: Column, as_of: Column) -> Column:
     return F.coalesce(parse_date(text) >= as_of, F.lit(False))
 
 
+def is_day(text: Column, day: Column) -> Column:
+    """Whether the text's date is that day."""
+    return F.coalesce(parse_date(text) == day, F.lit(False))
+
+
 def covers(dates: Column, today: Column) -> Column:
     """Whether any of the dates is today, or today lies between the least and the greatest."""
     ds = F.filter(F.transform(dates, parse_whole), lambda d: d.isNotNull())

@@ -51,7 +51,7 @@ def signals(rows: DataFrame, as_of: Column) -> DataFrame:
     scored = checked.withColumn("rejected_reason", F.when(~F.col("reachable"), "Page could not be reached").otherwise(reason))
     return scored.withColumns({
         "event_end_date": D.sane_end(F.col("event_date"), F.col("event_end_date")),
-        "event_price": F.when(F.lower(F.trim("event_price")).isin(C.L.BARE_CURRENCIES), "Not specified").otherwise(F.col("event_price")),
+        "event_price": C.sane_price(F.col("event_price")),
         "score": S.verification_score(F.col("rejected_reason"), {k: F.col(k) for k in S.WEIGHTS}),
     })
 

@@ -18,6 +18,7 @@ from eventloom.functions import text as T
 from eventloom.functions import urls as U
 from eventloom.operators import report as B
 from eventloom.operators import select as O
+from eventloom.operators import sink as K
 from eventloom.operators.durable import durable
 from eventloom.plans import collect as G
 from eventloom.plans import search_plan as P
@@ -167,7 +168,7 @@ by_id("date_pipeline", lambda: {"parsed": D.parse_whole(col("d_text")), "whole":
 by_id("end_date_sanity", lambda: {"end_date": D.sane_end(col("d_long"), D.date_text(col("d_end")))}, "case when cast(d_end as date) - d between 0 and 31 then strftime(cast(d_end as date), '%d %B %Y') else '' end as end_date")
 by_id("detected_dates", lambda: {"dates": F.array_join(D.detected_dates(col("d_long"), D.date_text(col("d_end")), F.array().cast("array<string>")), ",")}, "case when d_long = strftime(cast(d_end as date), '%d %B %Y') then d_long else d_long || ',' || strftime(cast(d_end as date), '%d %B %Y') end as dates")
 by_id("today_filter", lambda: {"today": D.covers(F.array("d_long", D.date_text(col("d_end"))), TODAY())}, f"date '{AS_OF}' = d or date '{AS_OF}' = cast(d_end as date) or date '{AS_OF}' between least(d, cast(d_end as date)) and greatest(d, cast(d_end as date)) as today")
-by_id("future_filter", lambda: {"upcoming": D.is_upcoming(col("d_text"), TODAY()), "same_day": F.coalesce(D.parse_date(col("d_text")) == TODAY(), F.lit(False))}, f"coalesce({parsed_sql('d_text')} >= date '{AS_OF}', false) as upcoming, coalesce({parsed_sql('d_text')} = date '{AS_OF}', false) as same_day")
+by_id("future_filter", lambda: {"upcoming": D.is_upcoming(col("d_text"), TODAY()), "same_day": D.is_day(col("d_text"), TODAY())}, f"coalesce({parsed_sql('d_text')} >= date '{AS_OF}', false) as upcoming, coalesce({parsed_sql('d_text')} = date '{AS_OF}', false) as same_day")
 by_id("date_range", lambda: {"shown": D.date_range(col("d_long"), D.date_text(col("d_end")))}, "case when d_long = strftime(cast(d_end as date), '%d %B %Y') then d_long else d_long || ' – ' || strftime(cast(d_end as date), '%d %B %Y') end as shown")
 
 # Scores and selection.
@@ -416,6 +417,16 @@ def linked_pages(c: DataFrame) -> DataFrame:
 on_corpus("registration_link", lambda c: verify(candidates_of(c), linked_pages(c), TODAY()).select("ord", "registration_url", "has_registration"), None)
 SQL["registration_link"] = PAGED + f"select event_id as ord, {form_sql('https://owasp.org/r?x', 'https://lu.ma/z', '', '#', '').replace(q('#'), 'url || ' + q('#top'))} as registration_url, event_id % 5 in (0, 1, 3) or regexp_matches(text || case event_id % 5 when 2 then ' Sign up' when 4 then ' Register' else '' end, '(?i)\\b(register|registration|rsvp|tickets|sign up|reserve|join event)\\b') as has_registration from corpus"
 
+# Branches that the corpus does not reach: where a description comes from, prices without an amount, guards of the sender.
+some = lambda k, r, value, other: F.when(col("event_id") % k == r, value).otherwise(other)
+by_id("description_branches", lambda: {"description": C.description_of(some(4, 0, F.concat("topic", F.lit("  details ")), some(4, 1, F.lit("N/A"), F.lit(None))), some(3, 0, F.concat(F.lit("meta "), "city"), some(3, 1, F.lit(" "), F.lit("null"))), some(5, 0, F.lit("og text"), F.lit("")), some(2, 0, F.repeat("text", F.lit(12)), F.lit("plain text")))},
+      "left(case when event_id % 4 = 0 then topic || ' details' when event_id % 3 = 0 then 'meta ' || city when event_id % 5 = 0 then 'og text' when event_id % 2 = 0 then repeat(text, 12) else 'plain text' end, 1000) as description")
+TOKENS = ["Rs", " INR ", "₹", "INR 500", "Free", "", "usd", "£", "rs.", "$ 5"]
+by_id("price_sanity", lambda: {"price": C.sane_price(F.get(F.array(*[F.lit(t) for t in TOKENS]), (col("event_id") % len(TOKENS)).cast("int")))},
+      "case event_id % 10 when 3 then 'INR 500' when 4 then 'Free' when 5 then '' when 8 then 'rs.' when 9 then '$ 5' else 'Not specified' end as price")
+on_corpus("send_guards", lambda c: K.messages(c.select(some(7, 0, F.lit("  "), some(7, 1, F.lit(None), F.concat(F.lit(" https://e.org/"), "event_id"))).alias("url"), "title", some(3, 0, F.lit(True), some(3, 1, F.lit(False), F.lit(None))).alias("is_today"))).select("url", "guard"),
+          "select case when event_id % 7 < 2 then '' else 'https://e.org/' || event_id end as url, case when event_id % 3 <> 0 then 'blocked' when event_id % 7 < 2 then 'failed' else '' end as guard from corpus")
+
 # Streams and state between runs; tables of terms and domains.
 QUERIES |= queries_streams.QUERIES | queries_tables.QUERIES
 SQL |= queries_streams.SQL | queries_tables.SQL
