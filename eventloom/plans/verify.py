@@ -12,6 +12,7 @@ from eventloom.functions import scoring as S
 from eventloom.functions.text import meaningful, present, text_of
 
 STORED_TEXT = 20_000
+FEW = 200_000  # urls that are sent to every task of the pages' scan
 
 def signals(rows: DataFrame, as_of: Column) -> DataFrame:
     """Add the verification columns to rows of reachable, title, text, description, og_description, event (JSON text or
@@ -56,21 +57,29 @@ def signals(rows: DataFrame, as_of: Column) -> DataFrame:
     })
 
 
-def verify(candidates: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
-    """Candidates (url, ...) left joined to pages (url, html); a page that is missing is not reachable.
-    Every detector reads the whole text; the text column that is kept ends after ``STORED_TEXT`` characters."""
+def verify(candidates: DataFrame, pages: DataFrame, as_of: Column, few: int = FEW) -> DataFrame:
+    """Candidates (url, ...) left joined to pages (url, html; one row a url); a page that is missing is not reachable.
+
+    Pages are picked and parsed where they are: the candidates' urls go to them, by broadcast once they are counted to be
+    ``few`` at most, and only what was read of a page moves. Every detector reads the whole text; the text column that is
+    kept ends after ``STORED_TEXT`` characters."""
     from eventloom.functions.urls import first_resolved
 
     final = F.col("final_url") if "final_url" in pages.columns else F.col("url")
     missing = [F.lit("").alias(c) for c in ("title", "description", "source") if c not in candidates.columns]
     known = candidates.select("*", *missing).withColumnsRenamed({"title": "candidate_title", "description": "candidate_description"})
-    joined = known.join(pages.select("url", final.alias("final_url"), "html"), "url", "left").withColumn("page", H.parse_html("html"))
+    urls = known.select("url").where(F.col("url").isNotNull()).distinct()
+    urls = F.broadcast(urls) if urls.limit(few + 1).count() <= few else urls
+    asked = pages.select("url", final.alias("final_url"), "html").where(F.col("html").isNotNull()).join(urls, "url", "left_semi")
     labelled = F.transform(F.filter("page.links", lambda x: F.lower(x["text"]).rlike("|".join(C.L.REGISTER_LABELS))), lambda x: x["href"])
-    rows = joined.withColumns({
-        "reachable": F.col("html").isNotNull(), "title": present(F.col("page.title"), F.col("page.og_title"), F.col("candidate_title")), "text": text_of(F.col("page.text")), "og_description": F.col("page.og_description"),
-        "description": F.col("page.description"), "event": F.get("page.objects", F.lit(0)), "registration_url": first_resolved(F.coalesce("final_url", "url"), labelled),
+    read = asked.withColumn("page", H.parse_html("html")).select(
+        "url", "final_url", F.lit(True).alias("read"), F.col("page.title").alias("page_title"), F.col("page.og_title").alias("og_title"), F.col("page.text").alias("text"), F.col("page.description").alias("description"),
+        F.col("page.og_description").alias("og_description"), F.get("page.objects", F.lit(0)).alias("event"), first_resolved(F.coalesce("final_url", "url"), labelled).alias("registration_url"),
+    )
+    rows = known.join(read, "url", "left").withColumns({
+        "reachable": F.col("read").isNotNull(), "title": present(F.col("page_title"), F.col("og_title"), F.col("candidate_title")), "text": text_of(F.col("text")), "registration_url": F.coalesce("registration_url", F.lit("")),
     })
-    return signals(rows.drop("page", "html"), as_of).withColumn("text", F.left("text", F.lit(STORED_TEXT)))
+    return signals(rows.drop("read", "page_title", "og_title"), as_of).withColumn("text", F.left("text", F.lit(STORED_TEXT)))
 
 
 def gate() -> Column:
