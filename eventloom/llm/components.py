@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -12,39 +12,58 @@ HUBS = 5_000
 TASK_EDGES = 2_000_000  # edges that a task holds with ease, should they all be one node's
 
 
-def least_neighbours(edges: DataFrame, count: int, task_edges: int) -> tuple[DataFrame, DataFrame]:
+def least_neighbours(edges: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """(a, m), the least of each a and its neighbours, and ``edges`` (a, b), at most ``count``, each with the m of its a.
 
-    Minima are summed before the shuffle, so a hub costs a row a task. Where a node could have more edges than a task
-    should hold, hubs are taken apart: nodes with over ``count / HUBS`` edges. There are at most HUBS of them, however
-    large the input, so their minima are broadcast and their edges stay where they are; the edges of other nodes meet
-    theirs by a shuffle, in which no key holds more than a hub's share.
+    Minima are summed before the shuffle, so a hub costs a row a task. Hubs are taken apart: nodes with over
+    ``count / HUBS`` edges. There are at most HUBS of them, however large the input, so their minima are broadcast and
+    their edges stay where they are; the edges of other nodes meet theirs by a shuffle, in which no key holds more than a
+    hub's share.
     """
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("a", "m"))
-    if count <= task_edges:
-        least = least.drop("degree")
-        return least, edges.join(least, "a")
-    least, limit = durable(least), count // HUBS
+    least = durable(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("a", "m")))
+    limit = count // HUBS
     hubs = F.broadcast(least.where(F.col("degree") > limit).select("a", "m"))
     others = edges.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("degree") <= limit).select("a", "m"), "a")
     return least.drop("degree"), edges.join(hubs, "a").unionByName(others)
 
 
+def _both(edges: DataFrame, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
+    """Two edges of each row, in one pass."""
+    pairs = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (first, second)])
+    return edges.select(F.inline(pairs))
+
+
+def small_round(now: DataFrame) -> DataFrame:
+    """A round over edges that a task could hold, were they all one node's: minima are read beside the edges."""
+    least: Column = F.least("a", F.min("b").over(Window.partitionBy("a")))
+    large = _both(now, ("a", "b"), ("b", "a")).withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _both(large.withColumn("m", least), ("a", "m"), ("b", "m")).where("a <> b").distinct()
+
+
+def large_round(now: DataFrame, count: int) -> DataFrame:
+    both = _both(now, ("a", "b"), ("b", "a"))
+    large = durable(least_neighbours(both, count)[1].where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    low, hung = least_neighbours(large, count)
+    return hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """A durable copy, with its number of rows and a sum of their hashes from the pass that writes it."""
+    seen = Observation()
+    out = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
+    return out, seen.get
+
+
 def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b); label is the component's least node.
 
     Each round hangs the larger neighbours of every node, then the smaller ones, on the least of them. A round's edges
     are cut from their lineage, so a lost executor repeats one round at most.
     """
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        seen, count = state, 2 * state[0]
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = least_neighbours(both, count, task_edges)[1].where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large if count <= task_edges else durable(large)
-        low, hung = least_neighbours(large, count, task_edges)
-        now = durable(hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+    now, state = _counted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while state["n"]:
+        count, before = 2 * state["n"], state
+        now, state = _counted(small_round(now) if count <= task_edges else large_round(now, count))
+        if state == before:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

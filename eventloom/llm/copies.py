@@ -202,7 +202,8 @@ def common_shingles(docs: DataFrame, k: int, text: str = "text", times: float =
 
 
 def join_cell(sets: list[np.ndarray], sides: list[int] | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the sets that reach the threshold; with sides, only pairs across them count."""
+    """Links of a spanning forest of the sets that reach the threshold, from each set to one of its tree, so that few
+    rounds join the trees of cells; with sides, only pairs across them count."""
     flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = [len(s) for s in sets]
     df = np.bincount(inverse, minlength=len(flat))
@@ -217,7 +218,6 @@ def join_cell(sets: list[np.ndarray], sides: list[int] | None, num: int, den: in
 
     mark = np.full(len(flat), -1, np.int32)
     lists: dict[int, list[int]] = {}
-    links = []
     for i in sorted(range(len(sets)), key=lambda i: sizes[i]):
         n = sizes[i]
         order = np.lexsort((mine[i], df[mine[i]]))
@@ -234,10 +234,9 @@ def join_cell(sets: list[np.ndarray], sides: list[int] | None, num: int, den: in
             both = int(np.count_nonzero(mark[mine[j]] == i))
             if both * den >= num * (n + sizes[j] - both):
                 parent[root(j)] = root(i)
-                links.append((i, j))
         for t in prefix:
             lists.setdefault(t, []).append(i)
-    return links
+    return [(i, root(i)) for i in range(len(sets)) if root(i) != i]
 
 
 def link_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", cell: int = CELL, without_common: bool = False) -> DataFrame:
@@ -288,14 +287,14 @@ def link_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key:
     lists = posted.select(F.col("sig").alias("b"), first.alias("a")).where("a <> b")
     cells = components(lists)
 
-    classes = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    classes = sets.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("n").alias("n"))
     members = durable(classes.withColumn("node", short).join(cells, "node").select("digest", "rep", "n", "label"))
     big = members.groupBy("label").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / cell).cast("int"))
     total = big.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     groups = max(1, -(-total // (cell // 4)))
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     shared = members.join(big, "label").withColumn("block", block).select("digest", "rep", "label", "blocks", "block")
-    texts = source.join(shared, source.doc_id.eqNullSafe(shared.rep)).select("text", "digest", "label", "blocks", "block")
+    texts = source.select("text", row_key("doc_id", "text").alias("rep")).join(shared, "rep").select("text", "digest", "label", "blocks", "block")
 
     def read(columns):
         for t, digest, label, blocks, own in zip(*columns, strict=True):
