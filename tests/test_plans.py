@@ -23,7 +23,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("events", "pages"):
+    for t in ("events", "pages", "documents", "lineitem"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
