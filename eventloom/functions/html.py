@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +16,8 @@ UNSEEN = ("script", "style", "noscript", "svg", "template")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 SCHEMA = "title string, text string, description string, og_description string, og_title string, links array<struct<text:string,href:string,context:string>>, objects array<string>"
 
+# An ampersand that begins no closed reference; what scripts and styles hold is never decoded.
+UNCLOSED = re.compile(r"(?is)(<(script|style)\b.*?</\2)|&(?!(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);)")
 NAMES = ["title", "text", "description", "og_description", "og_title", "links", "objects"]
 
 
@@ -110,13 +113,23 @@ def parse(html: str | None) -> dict:
     }
 
 
+def closed_only(html: str | None) -> str:
+    """The page with every reference that lacks its semicolon written out as text."""
+    return UNCLOSED.sub(lambda m: m[1] or "&amp;", html or "")
+
+
 def _parsed(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(h) for h in html], columns=NAMES)
 
 
-def parse_html(html: Column | str) -> Column:
-    """The parsed page. Not deterministic to the optimizer, so a filter on a field of it cannot make it run twice."""
-    return F.pandas_udf(_parsed, SCHEMA).asNondeterministic()(html)
+def _parsed_closed(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse(closed_only(h)) for h in html], columns=NAMES)
+
+
+def parse_html(html: Column | str, unclosed: bool = True) -> Column:
+    """The parsed page. Not deterministic to the optimizer, so a filter on a field of it cannot make it run twice.
+    ``unclosed``: references without a semicolon (``&amp</p>``) are decoded, as browsers do; else they stay as written."""
+    return F.pandas_udf(_parsed if unclosed else _parsed_closed, SCHEMA).asNondeterministic()(html)
 
 
 def is_event_object(j: Column) -> Column:
