@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .columns import let
 from .lexicon import INVALID_TITLES, RSS_TRUST
 from .text import meaningful, normal, percent, strip, text_of
 
@@ -36,7 +37,11 @@ def parameter(url: Column, name: str) -> Column:
 def clean_url(url: Column) -> Column:
     """Stripped, without fragment; a registration redirect of the meetup host becomes the event page that it returns to,
     with the few parameters that matter."""
-    bare = strip(F.regexp_replace(strip(url), r"#.*$", ""))
+    return let(strip(F.regexp_replace(strip(url), r"#.*$", "")), lambda bare: let(parameter(bare, "returnUri"), lambda target: _returned(bare, target)))
+
+
+def _returned(bare: Column, target: Column) -> Column:
+    """Both are variables: written out at each place that names them, an address would plan for minutes."""
     redirect = F.contains(authority(bare), F.lit("meetup.com")) & (F.lower(F.regexp_replace(path(bare), r"/+$", "")) == "/register")
     target = parameter(bare, "returnUri")
     kept = F.array_compact(F.array(*[F.when(target.rlike(rf"[?&]{p}="), F.concat(F.lit(f"{p}="), F.replace(percent(parameter(target, p)), F.lit("%20"), F.lit("+")))) for p in KEPT_PARAMETERS]))

@@ -29,3 +29,15 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared checkpoint folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame, size: int = 4_000_000) -> DataFrame:
+    """``df``, its session set to send Python at most ``size`` bytes at once: by default 10,000 rows of any size go
+    together. A lower bound of the session's stays."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH).rstrip("b")) > size:
+        conf.set(BATCH, f"{size}b")
+    return df

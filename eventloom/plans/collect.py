@@ -14,18 +14,19 @@ from eventloom.operators.select import best_per_key, first_per_key
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Every link of pages (ord, url, source, html; status 200 only): ord, pos, source, title, url, context. A reference
-    that cannot be resolved drops its row alone."""
+    """Every link of pages (ord, url, source, html; status 200 only): ord, part, pos, source, title, url, context. A page
+    may come in several rows, numbered by ``part``. A reference that cannot be resolved drops its row alone."""
     fetched = pages.where("status = 200") if "status" in pages.columns else pages
-    links = fetched.withColumn("page", parse_html("html")).select("ord", F.col("url").alias("base"), "source", F.posexplode("page.links").alias("pos", "link"))
-    return links.select("ord", "pos", "source", "base", squeeze(F.col("link.text")).alias("title"), clean_url(resolved(F.col("base"), F.col("link.href"))).alias("url"), F.col("link.context").alias("context"))
+    part = F.col("part") if "part" in pages.columns else F.lit(0)
+    links = fetched.withColumns({"page": parse_html("html"), "part": part.cast("long")}).select("ord", F.col("url").alias("base"), "source", "part", F.posexplode("page.links").alias("pos", "link"))
+    return links.select("ord", "part", "pos", "source", "base", squeeze(F.col("link.text")).alias("title"), clean_url(resolved(F.col("base"), F.col("link.href"))).alias("url"), F.col("link.context").alias("context"))
 
 
 def link_candidates(links: DataFrame) -> DataFrame:
     """Links that may be events. The first link of a URL on a page stands for it before relevance is asked, so a first
     irrelevant link hides a later one."""
     usable = links.where((F.col("title") != "") & F.col("url").startswith("http") & (F.col("url") != clean_url(F.col("base")))).where(~is_invalid_link(F.col("title"), F.col("url")) & is_real_event_url(F.col("url")))
-    placed = usable.withColumn("at", F.struct("ord", "pos"))
+    placed = usable.withColumn("at", F.struct("ord", "part", "pos") if "part" in links.columns else F.struct("ord", "pos"))
     first = first_per_key(placed, F.struct(F.col("ord"), F.lower("url")), "at")
     return first.where(C.is_topical_link(F.col("title"), F.concat_ws(" ", "context", "url")) & C.india_relevance(F.col("title"), F.col("context"), F.col("url"))).withColumn(
         "description", F.concat_ws(" ", F.lit("Detected location:"), C.city_collect(F.concat_ws(" ", "title", "context", "url")), F.lit("Platform:"), platform(F.col("url")))

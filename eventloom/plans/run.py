@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.operators import report
-from eventloom.operators.durable import durable
+from eventloom.operators.durable import bounded, durable
 from eventloom.operators.select import gate_counts, top_rows
 from eventloom.operators.sink import PAUSE, delivery_results
 from eventloom.sources import registry
@@ -22,16 +22,21 @@ from eventloom.plans.verify import verify
 
 
 def source_listings(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Fetched pages (url, status, html) of the direct sources, then of the first search queries: ord, url, source, html."""
+    """Fetched pages (url, status, html; with part, where listings come in numbered parts) of the direct sources, then of
+    the first search queries: ord, url, source, part, html."""
     direct = registry.enabled(registry.direct_sources(spark)).select("ord", "url", "source")
     pages_of = F.create_map(*[F.lit(x) for k, (name, _) in enumerate(PAGES) for x in (name, k)])
     searched = search_urls(spark).select((F.lit(len(registry.DIRECT)) + F.col("ord") * len(PAGES) + pages_of[F.col("name")]).cast("int").alias("ord"), "url", F.col("name").alias("source"))
-    return direct.unionByName(searched).join(pages.where("status = 200").select("url", "html"), "url")
+    part = F.col("part") if "part" in pages.columns else F.lit(0)
+    # The registry is a few addresses; parts are dealt over the tasks, each of which parses its own.
+    return pages.where("status = 200").select("url", part.cast("long").alias("part"), "html").join(F.broadcast(direct.unionByName(searched)), "url")
 
 
 def collect_all(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(raw candidates, unique candidates) of all source listings."""
-    raw = durable(link_candidates(page_links(source_listings(spark, pages))))
+    """(raw candidates, unique candidates) of all source listings. The links are cut from their plan: the rules that pick
+    candidates name an address many times, and the planner would write out how it was resolved and cleaned each time."""
+    links = durable(page_links(bounded(source_listings(spark, pages))))
+    raw = durable(link_candidates(links))
     return raw, unique_candidates(raw)
 
 
