@@ -201,13 +201,23 @@ def common_shingles(docs: DataFrame, k: int, text: str = "text", times: float =
     return out
 
 
+def distinct(sets: list[np.ndarray]) -> np.ndarray:
+    """The sorted distinct shingles of a cell. Numbers for its sets are searched in them, set by set: to have them all from
+    one sort takes eight times the memory of the sets, and a cell of them is what a task holds at most."""
+    flat = np.concatenate(sets)
+    flat.sort()
+    return flat[np.concatenate(([True], flat[1:] != flat[:-1]))] if len(flat) else flat
+
+
 def join_cell(sets: list[np.ndarray], sides: list[int] | None, num: int, den: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the sets that reach the threshold, from each set to one of its tree, so that few
     rounds join the trees of cells; with sides, only pairs across them count."""
-    flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    flat = distinct(sets)
     sizes = [len(s) for s in sets]
-    df = np.bincount(inverse, minlength=len(flat))
-    mine = np.split(inverse, np.cumsum(sizes)[:-1])
+    mine = [np.searchsorted(flat, s).astype(np.int32) for s in sets]
+    df = np.zeros(len(flat), np.int32)
+    for m in mine:
+        df[m] += 1  # a set holds a shingle once
     parent = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -310,15 +320,15 @@ def link_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key:
     ).withColumn("big", F.when(F.col("bucket") < 0, F.col("label")))
 
     def joined(t: pa.Table) -> pa.Table:
-        by: dict[int, dict[bytes, tuple[int, bytes]]] = {}
+        by: dict[int, dict[bytes, tuple[int, np.ndarray]]] = {}
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        for label, digest, own, tokens in zip(t.column("label").to_pylist(), t.column("digest").to_pylist(), t.column("block").to_pylist(), t.column("tokens").to_pylist(), strict=True):
-            by.setdefault(label, {})[digest] = (own, tokens)
+        for label, digest, own, tokens in zip(t.column("label").to_pylist(), t.column("digest").to_pylist(), t.column("block").to_pylist(), t.column("tokens"), strict=True):
+            by.setdefault(label, {})[digest] = (own, np.frombuffer(tokens.as_buffer(), np.uint64))  # where Arrow holds it
         a, b = [], []
         for members_ in by.values():
             if len(members_) > 1:
                 names = sorted(members_)
-                found = join_cell([np.frombuffer(members_[x][1], np.uint64) for x in names], [members_[x][0] for x in names] if i != j else None, num, den)
+                found = join_cell([members_[x][1] for x in names], [members_[x][0] for x in names] if i != j else None, num, den)
                 a += [names[x] for x, _ in found]
                 b += [names[y] for _, y in found]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
