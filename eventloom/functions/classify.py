@@ -19,7 +19,7 @@ ORGANIZER = (r"(?i)organizer\s*[:\-]\s*([^|.\n]{2,100})", r"(?i)organised by\s+(
 PRICE = (r"(?i)(?:₹|INR|Rs\.?|USD|\$|EUR|€|GBP|£)\s*[\d,]+(?:\.\d{1,2})?", r"(?i)[\d,]+(?:\.\d{1,2})?\s*(?:INR|USD|EUR|GBP)")
 FREE = r"(?i)\bfree(?: registration| event)?\b"
 REGISTERS = r"(?i)\b(register|registration|rsvp|tickets|sign up|reserve|join event)\b"
-FOREIGN = f"(?:{L.folded(L.longest_first(L.OTHER_COUNTRIES))})(?![a-z])"
+FOREIGN = f"{L.branched(L.OTHER_COUNTRIES)}(?![a-z])"
 EVENT_HINT = r"(?i)\b(register|registration|rsvp|tickets|event date|starts?)\b"
 
 

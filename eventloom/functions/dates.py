@@ -77,16 +77,17 @@ def _whole(v: Column) -> Column:
 
 
 def all_dates(text: Column) -> Column:
-    """Every date of a text, by spelling and then by place, each once."""
-    hits = F.concat(*[F.regexp_extract_all(text_of(text), F.lit(p), F.lit(0)) for p in PAGE_ORDER])
-    return F.array_distinct(F.filter(F.transform(hits, date_text), lambda d: d != ""))
+    """Every date of a text, by spelling and then by place, each once. A month and day names no date without a year, and
+    with one it was found before, so the text is not searched for it."""
+    hits = F.concat(*[F.regexp_extract_all(text_of(text), F.lit(p.replace(r"\b(?:J", r"\b(?=[JFMASOND])(?:J")), F.lit(0)) for p in PAGE_ORDER if p != MONTH_DAY])
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(hits), date_text), lambda d: d != ""))
 
 
 def primary_date(text: Column, dates: Column | None = None) -> Column:
     """A labelled date, or else the first of all_dates; empty if none. ``dates`` are the latter, if they are known already."""
     t = text_of(text)
-    labelled = F.array(*[F.regexp_extract(t, LABEL + f"({p})", 1) for p in (rf"(?:{MONTHS})\s+\d{{1,2}}(?:,\s*\d{{4}})?", rf"\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}")])
-    return F.coalesce(F.get(F.filter(F.transform(labelled, date_text), lambda d: d != ""), F.lit(0)), F.get(all_dates(t) if dates is None else dates, F.lit(0)), F.lit(""))
+    labelled = [_written(parse_date(F.regexp_extract(t, LABEL + f"({p})", 1))) for p in (rf"(?:{MONTHS})\s+\d{{1,2}}(?:,\s*\d{{4}})?", rf"\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}")]
+    return F.coalesce(*labelled, F.get(all_dates(t) if dates is None else dates, F.lit(0)), F.lit(""))
 
 
 def detected_dates(start: Column, end: Column, page: Column) -> Column:

@@ -189,14 +189,26 @@ def folded(terms: Iterable[str]) -> str:
     return "|".join(re.sub(r"([.^$*+?()\[\]{}|\\&-])", r"\\\1", t.lower()) for t in terms)
 
 
+def branched(terms: Iterable[str]) -> str:
+    """``folded`` with common beginnings written once: a text's place is held against each first letter, not each term.
+    It tells whether a term matches; which one, where several do, it leaves open."""
+    by: dict[str, list[str]] = {}
+    words = sorted({t.lower() for t in terms})
+    for t in words:
+        if t:
+            by.setdefault(t[0], []).append(t[1:])
+    branches = "|".join(folded([c]) + branched(rest) for c, rest in by.items())
+    return branches if len(by) < 2 and "" not in words else f"(?:{branches})" + "?" * ("" in words) if by else ""
+
+
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
     """Whether any term is a substring of the lower-cased text; a null text is empty."""
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(f"(?:{folded(terms)})")
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(branched(terms))
 
 
 def has_word(text: Column, terms: Iterable[str]) -> Column:
     """Whether any term stands between word boundaries of the normalised text."""
-    return text.rlike(rf"(?U)\b(?:{folded(terms)})\b")
+    return text.rlike(rf"(?U)\b{branched(terms)}\b")
 
 
 def first_within(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dates as D
 from eventloom.functions.text import present, strip
+from eventloom.operators.durable import durable
 from eventloom.operators.select import first_per_key, not_sent, top_rows
 
-from .verify import gate
+from .verify import decide, gate, read_pages, signals
 
 ALERTS = 10
 
@@ -32,6 +33,16 @@ def verified_events(rows: DataFrame, today: Column) -> DataFrame:
     return first_per_key(events, F.col("url"), "ord")
 
 
+def gates_and_events(candidates: DataFrame, pages: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
+    """(gate of each candidate, verified events). All candidates are read and decided; what a page says beyond that is kept
+    and described of the accepted ones alone, which are few on a day."""
+    decided = decide(read_pages(candidates, pages), today)
+    own = [c for c in decided.columns if c != "gate"]
+    kept = durable(decided.select("gate", F.when(F.col("gate") == "accepted", F.struct(*own)).alias("row")))
+    described = durable(signals(kept.where("gate = 'accepted'").select("row.*"), today).drop("text"))
+    return kept.select("gate"), verified_events(described, today)
+
+
 def alerts(events: DataFrame, sent: DataFrame, limit: int = ALERTS) -> DataFrame:
     """The best events that were not delivered before; the rest waits for the next run."""
     return top_rows(not_sent(events, sent), "verification_score", "ord", limit)

@@ -16,9 +16,8 @@ from eventloom.sources import registry
 from eventloom.sources.sent import reject
 from eventloom.sources.state import write_state
 from eventloom.plans.collect import link_candidates, page_links, unique_candidates
-from eventloom.plans.pipeline import ALERTS, gated, verified_events
+from eventloom.plans.pipeline import ALERTS, gates_and_events
 from eventloom.plans.search_plan import PAGES, search_urls
-from eventloom.plans.verify import verify
 
 
 def source_listings(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -56,8 +55,8 @@ def run_pipeline(spark: SparkSession, listings: DataFrame, pages: DataFrame, sen
     ``state``, write what was delivered so far to that file. Each table that is read twice is written once."""
     raw, unique = collect_all(spark, listings)
     candidates = durable(unique.withColumnRenamed("at", "ord"))
-    verified = durable(verify(candidates, pages, today))
-    events = durable(verified_events(verified, today))
+    gates, found = gates_and_events(candidates, pages, today)
+    events = durable(found)
     fresh = top_rows(reject(events, sent), "verification_score", "ord", limit)
     results = delivery_results(fresh, send, pause)
     delivered = [u for u, status in results if status == "sent"]
@@ -65,4 +64,4 @@ def run_pipeline(spark: SparkSession, listings: DataFrame, pages: DataFrame, sen
         known = sent.select("url").unionByName(spark.createDataFrame([(u,) for u in delivered], "url string"))
         write_state(known, state)
     deliveries = report.delivery_counts(spark.createDataFrame(results, "url string, status string"))
-    return Run(events, gate_counts(gated(verified, today), F.col("gate")), report.sizes(raw, candidates), deliveries, delivered)
+    return Run(events, gate_counts(gates, F.col("gate")), report.sizes(raw, candidates), deliveries, delivered)

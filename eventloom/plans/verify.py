@@ -14,15 +14,34 @@ from eventloom.functions.text import meaningful, present, text_of
 STORED_TEXT = 20_000
 FEW = 200_000  # urls that are sent to every task of the pages' scan
 
+
+def _title(e: Column) -> Column:
+    return C.title_of_page(present(meaningful(F.get_json_object(e, "$.name")), F.col("title")), F.col("text"))
+
+
+def _description(e: Column) -> Column:
+    return C.description_of(F.get_json_object(e, "$.description"), F.col("description"), F.col("og_description"), F.col("text"))
+
+
+def _start(e: Column) -> Column:
+    return D.date_text(H.at(e, "$.startDate", "$.startTime", "$.start"))
+
+
+def _end(e: Column) -> Column:
+    return D.date_text(H.at(e, "$.endDate", "$.endTime", "$.end"))
+
+
+def _listing(e: Column) -> Column:
+    return C.is_listing(F.col("title"), F.col("text"), F.col("structured"), F.get_json_object(e, "$.name"), H.at(e, "$.startDate", "$.startTime"), F.col("page_dates"))
+
+
 def signals(rows: DataFrame, as_of: Column) -> DataFrame:
     """Add the verification columns to rows of reachable, title, text, description, og_description, event (JSON text or
     null) and registration_url."""
     e = F.col("event")
     dated = rows.withColumn("page_dates", D.all_dates(F.col("text")))
     fields = dated.withColumns({
-        "place": H.structured_place(e), "structured": e.isNotNull(), "title": C.title_of_page(present(meaningful(F.get_json_object(e, "$.name")), F.col("title")), F.col("text")),
-        "page_description": C.description_of(F.get_json_object(e, "$.description"), F.col("description"), F.col("og_description"), F.col("text")),
-        "start": D.date_text(H.at(e, "$.startDate", "$.startTime", "$.start")), "end": D.date_text(H.at(e, "$.endDate", "$.endTime", "$.end")),
+        "place": H.structured_place(e), "structured": e.isNotNull(), "title": _title(e), "page_description": _description(e), "start": _start(e), "end": _end(e),
         "primary": D.primary_date(F.col("text"), F.col("page_dates")), "text_place": C.place_in_text(F.col("text")),
     })
     own = F.col("place.text") != ""
@@ -38,7 +57,7 @@ def signals(rows: DataFrame, as_of: Column) -> DataFrame:
         "event_organizer": C.organizer_of(H.at(e, "$.organizer.name", "$.organizer.legalName", "$.organizer[0].name"), F.col("text")),
         "event_type": C.type_of_page(H.at(e, "$.eventType", "$.type"), F.col("text")),
         "event_price": C.price_of_page(H.at(e, "$.offers[0].price", "$.offers[0].lowPrice", "$.offers.price", "$.offers.lowPrice"), H.at(e, "$.offers[0].priceCurrency", "$.offers.priceCurrency", "$.offers.currency"), F.col("text")),
-        "listing": C.is_listing(F.col("title"), F.col("text"), F.col("structured"), F.get_json_object(e, "$.name"), H.at(e, "$.startDate", "$.startTime"), F.col("page_dates")),
+        "listing": _listing(e),
         "has_topic": C.is_strong_topic(F.col("title"), F.col("page_description")), "has_event": C.is_event(F.col("title"), F.col("page_description"), F.col("text")), "has_registration": C.registers(F.col("registration_url"), F.col("text")),
     })
     # A listing page loses its dates before they are validated.
@@ -57,12 +76,41 @@ def signals(rows: DataFrame, as_of: Column) -> DataFrame:
     })
 
 
+def decide(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Add ``gate`` to rows as ``signals`` takes them: the gate that stops the row once its signals are known, or accepted.
+
+    What only describes an event is left to ``signals``, and a detector reads only rows that those before it left: a
+    rejected row scores nothing whatever else its page says. Title, description and start come first, then the dates, then
+    the place."""
+    e, none = F.col("event"), F.lit("")
+    named = rows.withColumns({"raw_title": F.col("title"), "structured": e.isNotNull(), "title": _title(e), "page_description": _description(e)})
+    topical = named.withColumn("open", F.col("reachable") & C.is_strong_topic(F.col("title"), F.col("page_description")) & C.is_event(F.col("title"), F.col("page_description"), F.col("text")))
+    dated = topical.withColumns({"page_dates": F.when(F.col("open"), D.all_dates(F.col("text"))), "start": F.when(F.col("open"), _start(e))})
+    dated = dated.withColumn("event_date", F.when(F.col("open"), F.when(F.col("start") != "", F.col("start")).otherwise(D.primary_date(F.col("text"), F.col("page_dates")))))
+    coming = dated.withColumn("open", F.coalesce(F.col("open") & (F.col("event_date") != "") & D.is_upcoming(F.col("event_date"), as_of) & ~_listing(e), F.lit(False)))
+    placed = coming.withColumn("place", F.when(F.col("open"), H.structured_place(e)["text"]))
+    placed = placed.withColumn("place", F.when(F.col("open"), F.when(F.col("place") != "", F.col("place")).otherwise(C.place_in_text(F.col("text")))))
+    placed = placed.withColumn("event_mode", F.when(F.col("open"), C.mode_of(F.col("text"), F.col("place"))))
+    placed = placed.withColumn("has_india", F.when(F.col("open"), C.is_in_india(F.col("place"), F.col("text"), F.col("event_mode"))))
+    yes, no = F.lit(True), F.lit(False)
+    reason = F.when(F.col("open"), S.rejection(no, yes, yes, yes, yes, F.col("event_mode"), F.col("has_india"), none)).otherwise("rejected before")
+    left = placed.withColumn("open", reason == "")
+    flags = {k: yes for k in S.WEIGHTS} | {"structured": F.col("structured"), "has_location": F.col("place") != "", "has_india": F.col("has_india"), "has_registration": C.registers(F.col("registration_url"), F.col("text"))}
+    scored = left.withColumns({"score": F.when(F.col("open"), S.verification_score(none, flags)).otherwise(0), "detected_dates": F.when(F.col("open"), D.detected_dates(F.col("event_date"), _end(e), F.col("page_dates")))})
+    gated = scored.withColumn("is_today", F.when(F.col("open"), D.covers(F.col("detected_dates"), as_of))).withColumn("gate", gate())
+    return gated.select(*[F.col("raw_title").alias("title") if c == "title" else F.col(c) for c in rows.columns], "gate")
+
+
 def verify(candidates: DataFrame, pages: DataFrame, as_of: Column, few: int = FEW) -> DataFrame:
+    """All signals of ``read_pages``; the text column that is kept ends after ``STORED_TEXT`` characters."""
+    return signals(read_pages(candidates, pages, few), as_of).withColumn("text", F.left("text", F.lit(STORED_TEXT)))
+
+
+def read_pages(candidates: DataFrame, pages: DataFrame, few: int = FEW) -> DataFrame:
     """Candidates (url, ...) left joined to pages (url, html; one row a url); a page that is missing is not reachable.
 
     Pages are picked and parsed where they are: the candidates' urls go to them, by broadcast once they are counted to be
-    ``few`` at most, and only what was read of a page moves. Every detector reads the whole text; the text column that is
-    kept ends after ``STORED_TEXT`` characters."""
+    ``few`` at most, and only what was read of a page moves. Every detector reads the whole text."""
     from eventloom.functions.urls import first_resolved
 
     final = F.col("final_url") if "final_url" in pages.columns else F.col("url")
@@ -79,7 +127,7 @@ def verify(candidates: DataFrame, pages: DataFrame, as_of: Column, few: int = FE
     rows = known.join(read, "url", "left").withColumns({
         "reachable": F.col("read").isNotNull(), "title": present(F.col("page_title"), F.col("og_title"), F.col("candidate_title")), "text": text_of(F.col("text")), "registration_url": F.coalesce("registration_url", F.lit("")),
     })
-    return signals(rows.drop("read", "page_title", "og_title"), as_of).withColumn("text", F.left("text", F.lit(STORED_TEXT)))
+    return rows.drop("read", "page_title", "og_title")
 
 
 def gate() -> Column:

@@ -2,6 +2,7 @@
 
 import collections
 import os
+import re
 
 import duckdb
 import pytest
@@ -119,3 +120,24 @@ def test_stream(spark, tmp_path):
     _events(spark).write.parquet(src)
     run_stream(spark.readStream.schema(_events(spark).schema).parquet(src), at, str(tmp_path / "ck"), lambda m: {"ok": True}, pause=0).awaitTermination()
     assert sorted(r.url for r in state_table(spark, at).collect()) == ["a", "b"] and os.path.isdir(at)
+
+
+def test_gates_and_events_of_two_steps_are_those_of_all_signals(spark):
+    from eventloom.functions import lexicon as L
+    from eventloom.plans.corpus import AS_OF, corpus_sql
+    from eventloom.plans.pipeline import gated, gates_and_events, verified_events
+    from eventloom.plans.verify import decide, read_pages, signals
+    from eventloom.queries import candidates_of, event_pages
+
+    spark.range(4000).withColumnRenamed("id", "event_id").createOrReplaceTempView("two_steps")
+    c = spark.sql(corpus_sql("spark", "two_steps").replace("varchar(9)", "string").replace("varchar(19)", "string"))
+    today = F.lit(AS_OF).cast("date")
+    rows = read_pages(candidates_of(c), event_pages(c)).localCheckpoint()
+    full = gated(signals(rows, today), today).localCheckpoint()
+    assert dict(map(tuple, decide(rows, today).select("ord", "gate").collect())) == dict(map(tuple, full.select("ord", "gate").collect()))
+    gates, events = gates_and_events(candidates_of(c), event_pages(c), today)
+    expected = verified_events(full.drop("is_today", "gate"), today)
+    assert sorted(map(str, events.collect())) == sorted(map(str, expected.collect())) and events.count() > 10
+    assert gates.where("gate = 'accepted'").count() == events.count() and gates.count() == 4000
+    for terms in (["soc", "social", "so"], ["a.b", "a-c"], ["x"]):
+        assert sorted(t for t in ["soc", "social", "so", "sonar", "s", "a.b", "axb", "a-c", "x"] if re.fullmatch(L.branched(terms), t)) == sorted(terms)
