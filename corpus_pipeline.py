@@ -18,10 +18,12 @@ from eventloom.llm.common import free_name, row_key, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _rows_left(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of the documents by the key of id and text, under a name that no column of theirs has."""
+def _rows_left(docs: DataFrame, rows: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """Semi or anti join of the documents by the key of id and text, under a name that no column of theirs has. With
+    ``once``, rows equal in id and text are left once: they meet by the key already, so the texts do not move again."""
     key = free_name(docs, "__row")
-    return docs.withColumn(key, row_key("doc_id", "text")).join(rows.select(F.col("row").alias(key)).distinct(), key, how).select(*docs.columns)
+    left = docs.withColumn(key, row_key("doc_id", "text")).join(rows.select(F.col("row").alias(key)).distinct(), key, how)
+    return (left.dropDuplicates([key]) if once else left).select(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def one_of_each_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each component of near copies: five-word shingles, similarity of 0.8 or more. The least doc_id
     stays; documents without words are no copies of each other, rows equal in id and text are."""
     kept = copies.link_copies(docs, k=5, num=80, den=100, without_common=True).where("keep")
-    return _rows_left(docs, kept, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _rows_left(docs, kept, "left_semi", once=True)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Connected components by alternating stars, a few shuffles of the edges a round."""
+"""Connected components by alternating stars, a few shuffles of the edges a round; few edges are joined by one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -33,13 +36,6 @@ def _both(edges: DataFrame, first: tuple[str, str], second: tuple[str, str]) ->
     return edges.select(F.inline(pairs))
 
 
-def small_round(now: DataFrame) -> DataFrame:
-    """A round over edges that a task could hold, were they all one node's: minima are read beside the edges."""
-    least: Column = F.least("a", F.min("b").over(Window.partitionBy("a")))
-    large = _both(now, ("a", "b"), ("b", "a")).withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _both(large.withColumn("m", least), ("a", "m"), ("b", "m")).where("a <> b").distinct()
-
-
 def large_round(now: DataFrame, count: int) -> DataFrame:
     both = _both(now, ("a", "b"), ("b", "a"))
     large = durable(least_neighbours(both, count)[1].where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
@@ -54,16 +50,53 @@ def _counted(edges: DataFrame) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+def least_of_each(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the component of each of the nodes 0 to n - 1."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        low = np.minimum(least[a], least[b])
+        for x in (before[a], before[b], a, b):
+            np.minimum.at(least, x, low)
+        while (least[least] != least).any():
+            least = least[least]
+        if (least == before).all():
+            return least
+
+
+def joined(edges: pa.Table) -> pa.Table:
+    """(node, label) of the nodes of edges (a, b)."""
+    ends = pa.chunked_array([*edges.column("a").chunks, *edges.column("b").chunks]).combine_chunks().dictionary_encode()
+    nodes = ends.dictionary
+    order = pc.array_sort_indices(nodes).to_numpy()
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.arange(len(nodes))
+    at = rank[ends.indices.to_numpy()]
+    least = least_of_each(at[: len(edges)], at[len(edges) :], len(nodes))
+    return pa.table({"node": nodes.take(pa.array(order)), "label": nodes.take(pa.array(order[least]))})
+
+
 def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b); label is the component's least node.
 
     Each round hangs the larger neighbours of every node, then the smaller ones, on the least of them. A round's edges
-    are cut from their lineage, so a lost executor repeats one round at most.
+    are cut from their lineage, so a lost executor repeats one round at most. Edges that a task holds with ease, a fixed
+    number of them however large the input, are joined by one task without rounds: those of few edges cost the driver
+    thousands of tasks, each of next to nothing.
     """
     now, state = _counted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    kind = now.schema["a"].dataType.simpleString()
+
+    def whole(batches):
+        held = list(batches)
+        if held:
+            yield from joined(pa.Table.from_batches(held)).to_batches(max_chunksize=100_000)
+
     while state["n"]:
-        count, before = 2 * state["n"], state
-        now, state = _counted(small_round(now) if count <= task_edges else large_round(now, count))
+        if 2 * state["n"] <= task_edges:
+            return durable(now.coalesce(1).mapInArrow(whole, f"node {kind}, label {kind}"))
+        before = state
+        now, state = _counted(large_round(now, 2 * state["n"]))
         if state == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -309,6 +309,26 @@ def test_components(spark, task_edges):
     assert components(edges.limit(0), task_edges).count() == 0
 
 
+def test_few_edges_are_joined_in_few_jobs(spark):
+    rng = np.random.default_rng(5)
+    pairs = [tuple(bytes([x // 256, x % 256, 0]) for x in p) for p in rng.integers(0, 3000, (2000, 2)).tolist()]
+    least: dict[bytes, bytes] = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(len(pairs)):
+        before = dict(least)
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    edges = spark.createDataFrame(pairs, "a binary, b binary").localCheckpoint()
+    spark.sparkContext.setJobGroup("few edges", "")
+    out = components(edges)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {bytes(r.node): bytes(r.label) for r in out.collect()} == least and out.count() == len(least)
+    assert len(jobs) <= 6
+
+
 # Pages
 def test_pages_rules():
     article = "The cat of the house was in the garden and it is as old as the tree that was there for years. " * 3

@@ -83,3 +83,9 @@ def test_run_equals_brute_force(spark, tmp_path):
     want = [(r.doc_id, t or "", tuple(enc.encode_ordinary(t or ""))) for r, t in zip(rows, masked(rows))]
     got = P.run(spark, path).collect()
     assert same([(r.doc_id, r.text, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got], want) and all(r.n_tokens == len(r.ids) // 4 for r in got)
+
+
+def test_copies_stage_moves_texts_once(spark):
+    docs = documents(spark)
+    plan = P._rows_left(docs, docs.select("row"), "left_semi", once=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "Aggregate [__row" in plan  # of the keys, and of the rows by the key
