@@ -8,7 +8,8 @@ One narrow pass, without a shuffle, in three steps that each task streams throug
 2. A fold over the word's bytes merges the adjacent pair of the lowest rank, leftmost first, until no pair has a rank. It
    carries the ids of the pieces and the rank of each adjacent pair, so a merge looks up two pairs. The rank map is a
    literal: a table of pairs of ids, placed without collisions (hash and displace), so a lookup reads one place.
-3. The ids of the words are strung together for each document. Decoding is Spark's: the ids' binary pieces, concatenated.
+3. Decoding is Spark's: the binary pieces of a word's ids, concatenated. The ids of the words, and what they decode to, are
+   strung together for each document.
 
 The fold does work quadratic in a word's length, so words over ``LONG`` bytes are merged where they stand, with a heap.
 A task forgets its words after ``KNOWN`` of them, so its memory does not follow the size of its share.
@@ -100,34 +101,41 @@ def _prime(n: int) -> int:
 
 
 def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once; a lambda's variable holds it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is computed once. The variable of a fold's last step holds it: what an array's element or
+    a transform gives would be copied, and its type worked out anew for every row."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def encode_word(letters: Column, ranks: RankMap) -> Column:
     """ids, as array<bigint>, of a word given as the array of its bytes (0 to 255), at most LONG.
 
     The state is an array of a number a piece: the rank of the pair that it begins, the byte it begins at and its id, in
-    this order, so the least number is the leftmost pair of the lowest rank. A piece without a pair stands at each end.
+    this order, so the least number is the leftmost pair of the lowest rank.
     """
     first, entries, moves = ranks.literals()
-    edge = F.lit(NONE * RANK + SIDE - 1)
-    begun = F.transform(letters, lambda b, i: F.get(first, F.coalesce(b * 256 + F.get(letters, i + 1), b + 65_536)) + i * F.lit(SIDE))
-    state = F.concat(F.array(edge), begun, F.array(edge))
+    state = F.transform(letters, lambda b, i: F.get(first, F.coalesce(b * 256 + F.get(letters, i + 1), b + 65_536)) + i * F.lit(SIDE))
 
     def merge(acc: Column, _: Column) -> Column:
-        def at(k: Column) -> Column:  # the place of the pair's left piece, from 0; its right one is the next
-            def moved(x: Column, i: Column) -> Column:
-                new, joined = F.shiftright(F.get(acc, k), 28), i == k
-                key = F.when(joined, new * SIDE + F.get(acc, k + 2) % SIDE).otherwise(x % SIDE * SIDE + new)
-                ranked = let(key, lambda y: ranks.rank(entries, moves, y) * RANK + F.when(joined, x % RANK - x % SIDE + new).otherwise(x % RANK))
-                return F.when(i < k - 1, x).when(i > k + 1, x).when(i > k, F.lit(GONE)).otherwise(ranked)
+        def joined(least: Column) -> Column:
+            new = F.shiftright(least, 28)
 
-            return F.when(F.get(acc, k) >= NONE * RANK, acc).otherwise(F.array_remove(F.transform(acc, moved), F.lit(GONE)))
+            def ranked(key: Column, rest: Column) -> Column:
+                return let(key, lambda y: ranks.rank(entries, moves, y)) * RANK + rest
 
-        return let((F.array_position(acc, F.array_min(acc)) - 1).cast("int"), at)
+            def at(k: Column) -> Column:  # the place of the pair's right piece, from 0
+                def moved(x: Column, i: Column) -> Column:
+                    left = x % RANK - x % SIDE + new
+                    left = F.coalesce(ranked(new * SIDE + F.get(acc, k + 1) % SIDE, left), NONE * RANK + left)
+                    near = F.when(i == k, F.lit(GONE)).otherwise(F.when(i == k - 1, left).otherwise(ranked(x % SIDE * SIDE + new, x % RANK)))
+                    return F.when(i > k, x).otherwise(F.when(i < k - 2, x).otherwise(near))
 
-    return let(F.aggregate(letters, state, merge), lambda acc: F.transform(F.slice(acc, 2, F.size(acc) - 2), lambda x: x % SIDE))
+                return F.array_remove(F.transform(acc, moved), F.lit(GONE))
+
+            return let(F.array_position(acc, least).cast("int"), at)
+
+        return let(F.array_min(acc), lambda least: F.when(least >= NONE * RANK, acc).otherwise(joined(least)))
+
+    return F.aggregate(letters, state, merge, lambda acc: F.transform(acc, lambda x: x % SIDE))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -222,34 +230,37 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     def strung(batches):
         packed: list[bytes] = []
+        spelt: list[bytes] = []
         for batch in batches:
             kinds, keys, places = (batch.column(i).to_pylist() for i in range(3))
             ends = batch.column(3).offsets.to_pylist()
+            texts = batch.column(4).to_pylist()
             raw = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             first, out, held = ends[0], [], 0
             for i, kind in enumerate(kinds):
                 if kind == WORD:
                     packed.append(raw[4 * (ends[i] - first) : 4 * (ends[i + 1] - first)])
+                    spelt.append(texts[i])
                 elif kind == DOCUMENT:
-                    out.append((keys[i], b"".join([packed[x] for x in array("I", places[i])])))
-                    held += len(out[-1][1])
+                    at = array("I", places[i])
+                    out.append((keys[i], b"".join(map(packed.__getitem__, at)), b"".join(map(spelt.__getitem__, at))))
+                    held += len(out[-1][1]) + len(out[-1][2])
                     if held > 4_000_000:
                         yield documents(out)
                         out, held = [], 0
                 else:
-                    packed = []
+                    packed, spelt = [], []
             if out:
                 yield documents(out)
 
     def documents(out):
-        ids = [x for _, x in out]
-        lists = _lists(np.frombuffer(b"".join(ids), "<u4").astype(np.int32), [len(x) // 4 for x in ids], [False] * len(ids), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(ids, pa.binary()), lists], names=["key", "ids", "each"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["key", "ids", "decoded"])
 
     words = bounded(rows).coalesce(tasks).mapInArrow(numbered, "kind byte, key long, letters array<int>, places binary, done array<bigint>")
     merged = F.when(F.col("letters").isNotNull(), encode_word(F.col("letters"), RankMap(ranks))).otherwise(F.col("done"))
-    coded = words.select("kind", "key", "places", merged.alias("ids")).mapInArrow(strung, "key long, ids binary, each array<int>")
-    return coded.select(F.col("key").alias(key), F.size("each").cast("long").alias("n_tokens"), "ids", decode(F.col("each"), ranks).alias("decoded"))
+    spelled = words.select("kind", "key", "places", merged.alias("ids")).withColumn("decoded", decode(F.col("ids"), ranks))
+    coded = spelled.mapInArrow(strung, "key long, ids binary, decoded binary")
+    return coded.select(F.col("key").alias(key), F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -257,9 +268,9 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     pieces: list[str | None] = [None] * (max(ranks.values(), default=0) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = base64.b64encode(piece).decode()
-    literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<binary>")
     # Strings are only carriers of bytes here: neither cast changes any.
-    return let(literal, lambda ps: F.array_join(F.transform(ids, lambda i: F.get(ps, i).cast("string")), "").cast("binary"))
+    literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<binary>").cast("array<string>")
+    return let(literal, lambda ps: F.array_join(F.transform(ids, lambda i: F.get(ps, i)), "").cast("binary"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
